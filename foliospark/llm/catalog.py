@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from foliospark.llm import simhash
+from foliospark.llm import packing, quality_rules, sharding, simhash
 
 QUERIES = {
+    "op3_sharding": sharding.op3_sharding,
+    "op9_packing": packing.op9_packing,
+    "op1_quality_rules": quality_rules.op1_quality_rules,
     "op7_simhash": simhash.op7_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": quality_rules.OP1_SQL,
+}

@@ -12,12 +12,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 PIECE = 1 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_PLAIN = np.ones(256, dtype=bool)
+_PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -38,7 +41,8 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 _POW: dict[str, np.ndarray] = {}
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of an odd 64-bit base and of its inverse."""
     if not _POW or len(_POW["up"]) < n:
         m = max(n, 2 * PIECE)
         _POW.update(up=_powers(_BASE, m), down=_powers(_INVERSE, m))
@@ -85,15 +89,30 @@ def _cuts(raw: np.ndarray, at: np.ndarray) -> list[int]:
     return ends
 
 
-def scan(column: pa.Array, lower: bool = True) -> Words:
-    """Hashes of all words of all texts; lower folds A-Z before hashing."""
+def _alnum(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word bytes, folded bytes) where words are letters and digits only: also the marks of U+0080-00BF and U+2000-207F part words, and letters up to U+00DE fold."""
+    solid, folded = ~_PLAIN[x], _LOWER[x]
+    for lead, nexts, width in ((0xC2, None, 2), (0xE2, (0x80, 0x81), 3)):
+        at = np.flatnonzero(x[: len(x) - width + 1] == lead)
+        if nexts:
+            at = at[np.isin(x[at + 1], nexts)]
+        for k in range(width):
+            solid[at + k] = False
+    at = np.flatnonzero(x[:-1] == 0xC3) + 1
+    at = at[(x[at] >= 0x80) & (x[at] <= 0x9E) & (x[at] != 0x97)]
+    folded[at] += 0x20
+    return solid, folded
+
+
+def scan(column: pa.Array, lower: bool = True, alnum: bool = False) -> Words:
+    """Hashes of all words of all texts; lower folds A-Z before hashing; alnum takes runs of letters and digits, folded, instead."""
     raw, at = text_buffer(column)
     starts_of_texts = at[1:-1]
     kept_hashes, kept_starts, here = [], [], 0
     for end in _cuts(raw, at):
         x = raw[here:end]
-        up, down = _tables(len(x) + 1)
-        solid = ~_SPACE[x]
+        up, down = powers(len(x) + 1)
+        solid, folded = _alnum(x) if alnum else (~_SPACE[x], _LOWER[x] if lower else x)
         edge = np.empty(len(x), dtype=bool)
         edge[0] = True
         edge[1:] = ~solid[:-1]
@@ -105,7 +124,7 @@ def scan(column: pa.Array, lower: bool = True) -> Words:
         stop[:-1] = ~solid[1:]
         stop[inner - 1] = True
         ends = np.flatnonzero(solid & stop) + 1
-        folded = (_LOWER[x] if lower else x).astype(np.uint64) + np.uint64(1)
+        folded = folded.astype(np.uint64) + np.uint64(1)
         sums = np.empty(len(x) + 1, dtype=np.uint64)
         sums[0] = 0
         np.cumsum(folded * up[: len(x)], out=sums[1:])
@@ -121,3 +140,17 @@ def scan(column: pa.Array, lower: bool = True) -> Words:
 def word_hash(word: str) -> int:
     """The hash that scan() gives to one (already folded) word."""
     return int(scan(pa.array([word]), lower=False).hashes[0])
+
+
+def pieces(batch: pa.RecordBatch, place: int, most: int = 8 << 20):
+    """Slices of batch, without copies, whose texts in column `place` have about `most` bytes or are one row."""
+    column = batch.column(place)
+    if column.type not in (pa.string(), pa.large_string()):
+        column = column.cast(pa.string())
+    sizes = pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    here = 0
+    while here < len(sizes):
+        to = max(here + 1, int(np.searchsorted(ends, (ends[here - 1] if here else 0) + most, "right")))
+        yield batch.slice(here, to - here)
+        here = to

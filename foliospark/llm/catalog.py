@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from foliospark.llm import decontaminate, packing, quality_rules, sharding, simhash
+from foliospark.llm import decontaminate, packing, pii, quality_rules, sharding, simhash
 
 QUERIES = {
+    "op4_pii": pii.op4_pii,
     "op10_decontamination": decontaminate.op10_decontamination,
     "op3_sharding": sharding.op3_sharding,
     "op9_packing": packing.op9_packing,

@@ -14,6 +14,7 @@ texts are judged whole.
 
 from __future__ import annotations
 
+import functools
 import time
 from typing import NamedTuple
 
@@ -25,14 +26,14 @@ from foliospark.scratch import discard, stage
 SAMPLE_ROWS = 2000  # at most so many rows are timed; the order, not the verdict, follows from them
 MARK = "__fs_"
 
-SPACES = r"\t\n\u000B\u000C\r"
 TEXT = f"coalesce({MARK}text, '')"
-WORDS = f"{MARK}words"
+WORDS = "w"  # bound by the one lambda around the cascade, so that no rewrite can copy the splitting into inner lambdas
 #: Words: split at 0x20 and 0x09-0x0D.
-WORDS_SQL = f"array_remove(split(translate({TEXT}, '{SPACES}', '     '), ' '), '')"
-WORD_CHARS = f"length(translate({TEXT}, '{SPACES} ', ''))"
-SYMBOLS = f"(length({TEXT}) - length(translate({TEXT}, '#*$%&|<>', '')))"
-LINES = f"filter(split({TEXT}, '\\n'), l -> trim(translate(l, '{SPACES}', '     ')) <> '')"
+WORDS_SQL = f"array_remove(split({TEXT}, '[ \\\\t-\\\\r]'), '')"
+WORD_CHARS = f"length(array_join({WORDS}, ''))"
+SYMBOLS = f"regexp_count({TEXT}, '[#*$%&|<>]')"
+UPPER = f"regexp_count({TEXT}, '[A-Z]')"
+LINES = f"filter(split({TEXT}, '\\n'), l -> l rlike '[^ \\\\t-\\\\r]')"
 WINDOW = 5
 WINDOWS = f"if(size({WORDS}) < {WINDOW}, array(), transform(sequence(0, size({WORDS}) - {WINDOW}), i -> xxhash64({', '.join(f'{WORDS}[i + {k}]' for k in range(WINDOW))})))"
 #: Words covered by the windows whose hash occurs twice or more: neighbours in hash order give the windows, gaps in position order the cover.
@@ -57,17 +58,22 @@ RULES = [
     Rule("repeated_windows", f"100L * {REPEATED} > 20L * {N_WORDS}"),
     Rule("symbols", f"10 * {SYMBOLS} > {N_WORDS}"),
     Rule("word_length", f"{WORD_CHARS} < 2 * {N_WORDS} or {WORD_CHARS} > 15 * {N_WORDS}"),
-    Rule("shouting", f"2 * (length({TEXT}) - length(translate({TEXT}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > {WORD_CHARS}"),
+    Rule("shouting", f"2 * {UPPER} > {WORD_CHARS}"),
     Rule("repeated_lines", f"transform(array({LINES}), l -> 2 * (size(l) - size(array_distinct(l))) > size(l))[0]"),
     Rule("ellipsis_lines", f"transform(array({LINES}), l -> 10 * size(filter(l, x -> x like '%...' or x like '%…')) > 3 * size(l))[0]"),
     Rule("bullet_lines", f"transform(array({LINES}), l -> 10 * size(filter(l, x -> substr(x, 1, 1) in ('-', '*', '•'))) > 9 * size(l))[0]"),
-    Rule("wordless", f"10 * size(filter({WORDS}, x -> x rlike '\\\\p{{L}}')) < 7 * {N_WORDS}"),
+    Rule("wordless", f"10 * size(filter({WORDS}, x -> x rlike '\\\\p{{L}}')) < 5 * {N_WORDS}"),
+    Rule("stutter", f"10 * size(filter({WORDS}, (x, i) -> i > 0 and x = {WORDS}[greatest(i - 1, 0)])) > 3 * {N_WORDS}"),
 ]
 
 
+def over_words(sql: str) -> F.Column:
+    """A Column for SQL over the marked text and the word array w."""
+    return F.expr(f"transform(array({WORDS_SQL}), {WORDS} -> {sql})[0]")
+
+
 def _marked(docs: DataFrame, text_col: str) -> DataFrame:
-    text = docs[text_col].cast("string")
-    return docs.withColumn(f"{MARK}text", text).withColumn(WORDS, F.expr(WORDS_SQL))
+    return docs.withColumn(f"{MARK}text", docs[text_col].cast("string"))
 
 
 def estimate(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
@@ -77,7 +83,7 @@ def estimate(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "
     n = picked.count()
     found = []
     for rule in sorted(rules):
-        test = _marked(picked, "text").select(F.count_if(F.expr(rule.reject)).alias("n"))
+        test = _marked(picked, "text").select(F.count_if(over_words(rule.reject)).alias("n"))
         took, hits = [], 0
         for _ in range(2 if n else 0):
             began = time.perf_counter()
@@ -88,18 +94,15 @@ def estimate(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "
     return sorted(found, key=lambda x: (-(x[2] / x[1]) if x[1] else 0.0, x[0].name))
 
 
-def cascade(rules: list[Rule]) -> F.Column:
-    """The name of the first rule, in the given order, that rejects; null for a row that is kept."""
-    out = None
-    for rule in rules:
-        out = F.when(F.expr(rule.reject), F.lit(rule.name)) if out is None else out.when(F.expr(rule.reject), F.lit(rule.name))
-    return F.lit(None).cast("string") if out is None else out
+def cascade(rules: list[Rule]) -> str:
+    """SQL for the name of the first rule, in the given order, that rejects; null for a row that is kept."""
+    return "case " + " ".join(f"when {r.reject} then '{r.name}'" for r in rules) + " end" if rules else "cast(null as string)"
 
 
 def judge(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """docs with `__fs_rejected_by`, the first rule of the estimated order that rejects the row, or null."""
     order = [r for r, _, _ in estimate(docs, rules, text_col, sample_rows)]
-    return _marked(docs, text_col).withColumn(f"{MARK}rejected_by", cascade(order)).drop(f"{MARK}text", WORDS)
+    return _marked(docs, text_col).withColumn(f"{MARK}rejected_by", over_words(cascade(order))).drop(f"{MARK}text")
 
 
 def keep(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -115,13 +118,13 @@ def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     order = [r for r, _, _ in estimate(docs) if r.name not in ("few_words", "repeated_windows")]
-    counted = _marked(docs, "text").select(
-        "doc_id", f"{MARK}text", WORDS,
-        *[F.expr(sql).cast("long").alias(name) for name, sql in {"n_words": N_WORDS, "word_chars": WORD_CHARS, "n_symbols": SYMBOLS, "n_dup_lines": DUP_LINES, "n_repeat_words": REPEATED}.items()],
-    )
-    failed = F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")
-    judged = counted.withColumn("base_failed", failed).withColumn("kept", F.expr("not base_failed") & cascade(order).isNull())
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    counts = {"n_words": N_WORDS, "word_chars": WORD_CHARS, "n_symbols": SYMBOLS, "n_dup_lines": DUP_LINES, "n_repeat_words": REPEATED}
+    inner = f"named_struct('c', c, 'failed', c.n_words < 10 or 100 * c.n_repeat_words > 20 * c.n_words)"
+    fields = ", ".join(f"'{name}', cast({sql} as bigint)" for name, sql in counts.items())
+    order = [Rule(r.name, functools.reduce(lambda q, c: q.replace(c[1], f"b.c.{c[0]}"), counts.items(), r.reject)) for r in order]  # counts are there already
+    verdict = f"transform(array(transform(array(named_struct({fields})), c -> {inner})[0]), b -> named_struct('c', b.c, 'failed', b.failed, 'kept', if(b.failed, false, ({cascade(order)}) is null)))[0]"
+    judged = _marked(docs, "text").select("doc_id", over_words(verdict).alias("v"))
+    return judged.select("doc_id", *[f"v.c.{name}" for name in counts], F.col("v.failed").alias("base_failed"), F.col("v.kept").alias("kept"))
 
 
 _DUCK_SPACES = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -148,7 +151,8 @@ judged AS (
      OR 2 * n_dup_lines > len(l)
      OR 10 * len(list_filter(l, lambda x: ends_with(x, '...') OR ends_with(x, '…'))) > 3 * len(l)
      OR 10 * len(list_filter(l, lambda x: left(x, 1) IN ('-', '*', '•'))) > 9 * len(l)
-     OR 10 * len(list_filter(w, lambda x: regexp_matches(x, '\\p{{{{L}}}}'))) < 7 * n_words) AS rejected
+     OR 10 * len(list_filter(w, lambda x: regexp_matches(x, '\\p{{{{L}}}}'))) < 5 * n_words
+     OR 10 * len(list_filter(w, lambda x, i: i > 1 AND x = w[i - 1])) > 3 * n_words) AS rejected
   FROM counted
 )"""
 

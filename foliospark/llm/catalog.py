@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from foliospark.llm import decontaminate, hmm, packing, pii, quality_rules, sharding, simhash
+from foliospark.llm import decontaminate, hmm, langid, packing, pii, quality_rules, sharding, simhash
 
 QUERIES = {
+    "op8_language": langid.op8_language,
     "op5_hmm": hmm.op5_hmm,
     "op4_pii": pii.op4_pii,
     "op10_decontamination": decontaminate.op10_decontamination,

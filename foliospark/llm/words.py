@@ -104,6 +104,12 @@ def _alnum(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return solid, folded
 
 
+def letters(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(letter bytes, folded bytes): as for words of letters and digits, without the digits."""
+    solid, folded = _alnum(x)
+    return solid & ((x < 48) | (x > 57)), folded
+
+
 def scan(column: pa.Array, lower: bool = True, alnum: bool = False) -> Words:
     """Hashes of all words of all texts; lower folds A-Z before hashing; alnum takes runs of letters and digits, folded, instead."""
     raw, at = text_buffer(column)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from foliospark.llm import decontaminate, hmm, html_text, langid, packing, pii, quality_rules, sharding, simhash
+from foliospark.llm import decontaminate, hmm, html_text, importance, langid, packing, pii, quality_rules, sharding, simhash
 
 QUERIES = {
+    "op2_importance": importance.op2_importance,
     "op6_html": html_text.op6_html,
     "op8_language": langid.op8_language,
     "op5_hmm": hmm.op5_hmm,

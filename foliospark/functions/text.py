@@ -97,7 +97,7 @@ def language(fr: Column, en: Column, text: Column, default: str = "en") -> Colum
 def sentences(text: Column, least: int = 20) -> Column:
     """Sentences of `least` characters or more: blanks collapsed, cut after . ! or ? before a capital or digit."""
     flat = F.trim(F.regexp_replace(text, "\\s+", " "))
-    return F.filter(F.transform(F.split(flat, "(?<=[.!?])\\s+(?=[A-ZÀ-ÖØ-Þ0-9])"), F.trim), lambda s: F.length(s) >= least)
+    return F.filter(F.transform(F.split(flat, "(?<=[.!?])\\s+(?=[A-ZÀ-ÖØ-Þ0-9])"), lambda x: F.trim(x)), lambda s: F.length(s) >= least)
 
 
 def occurrences(text: Column, term: str) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foliospark.plans import retrieval
+from foliospark.plans import retrieval, structures, texts
 
-_MODULES = (retrieval,)
+_MODULES = (retrieval, texts, structures)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foliospark.plans import retrieval, structures, texts
+from foliospark.plans import chunks, graphs, retrieval, structures, texts, vectorial
 
-_MODULES = (retrieval, texts, structures)
+_MODULES = (retrieval, texts, structures, chunks, vectorial, graphs)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import tokens
+from foliospark.functions.text import TOKEN, tokens  # noqa: F401
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60

@@ -1,5 +1,5 @@
 """Readers and writers: fixture tables, JSON lines, document blocks, graph exports."""
 
-from foliospark.sources.tables import table
+from foliospark.sources.tables import spread, table
 
-__all__ = ["table"]
+__all__ = ["spread", "table"]

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm import words as W
+from foliospark.sources import table
 
 TOLERANCE = 0.2
 RECALL = 0.99
@@ -291,5 +292,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, block: int = BLOCK) ->
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
     """Every benchmark item found in every document: doc_id, item_id, edits, item_words."""
-    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return contaminations(docs, items)

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.words import pieces
+from foliospark.sources import table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
@@ -275,4 +276,4 @@ def main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 def op6_html(spark, sf_dir: str) -> DataFrame:
     """The main text of every page."""
-    return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return main_text(table(spark, sf_dir, "pages"))

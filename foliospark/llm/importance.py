@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm import words as W
 from foliospark.scratch import stage
+from foliospark.sources import table
 
 BUCKETS = 1 << 16
 TARGETS = 20_000
@@ -135,6 +136,6 @@ def resample(docs: DataFrame, targets: DataFrame, share: float = SHARE) -> DataF
 
 def op2_importance(spark, sf_dir: str) -> DataFrame:
     """Nine tenths of all documents drawn toward those labelled of good quality and not toxic."""
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 and t = 0").select("doc_id")
     return resample(docs, good)

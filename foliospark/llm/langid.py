@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm import words as W
+from foliospark.sources import table
 
 BUCKETS = 4096
 SAMPLE = 4000
@@ -167,7 +168,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def op8_language(spark, sf_dir: str) -> DataFrame:
     """The language of every document, learned from the labelled rows whose checksum's remainder by 4 is not 2."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
     model = learn(docs.where(~held).select(F.col("doc_id").alias("id"), "lang", "text"))
     return identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")

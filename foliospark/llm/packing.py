@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm import tokens as T
+from foliospark.sources import table
 
 BLOCK = 8192
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, segment long, loss_tokens long"
@@ -151,5 +152,5 @@ def conversations_as_examples(turns: DataFrame) -> DataFrame:
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 ids; one row per piece."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pack(documents_as_examples(docs)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm import boosting
 from foliospark.llm.words import pieces
+from foliospark.sources import table
 
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_CASES = 6000
@@ -303,4 +304,4 @@ def redact(docs: DataFrame) -> DataFrame:
 
 def op4_pii(spark, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
-    return find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return find(table(spark, sf_dir, "documents"))

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.scratch import discard, stage
+from foliospark.sources import table
 
 SAMPLE_ROWS = 2000  # at most so many rows are timed; the order, not the verdict, follows from them
 MARK = "__fs_"
@@ -116,7 +117,7 @@ def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     The two base rules read the counts that the result holds anyway; the other rules follow in the
     cascade's estimated order, for rows that the base keeps.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     order = [r for r, _, _ in estimate(docs) if r.name not in ("few_words", "repeated_windows")]
     counts = {"n_words": N_WORDS, "word_chars": WORD_CHARS, "n_symbols": SYMBOLS, "n_dup_lines": DUP_LINES, "n_repeat_words": REPEATED}
     inner = f"named_struct('c', c, 'failed', c.n_words < 10 or 100 * c.n_repeat_words > 20 * c.n_words)"

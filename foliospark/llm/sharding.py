@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.scratch import stage
+from foliospark.sources import table
 
 ATOMS = 4096
 SLACK = 0.002
@@ -92,5 +93,5 @@ def shard(docs: DataFrame, shards: int = 24, atoms: int = ATOMS, id_col: str = "
 
 def op3_sharding(spark, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 23 under the law of near-equal bytes."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     return shard(docs, 24).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from foliospark.operators.components import connected_components
 from foliospark.scratch import discard, stage
+from foliospark.sources import table
 
 HOT = 20_000
 
@@ -180,16 +181,16 @@ def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     fps = stage(fingerprints(docs, shingle), "simhash")
     classes = near_classes(fps, distance)
     best = fps.join(classes, "fp").groupBy("class_fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("b"), F.count(F.lit(1)).alias("_n"))
-    best = stage(best.select(F.col("b.doc_id").alias("_id"), F.col("b.fp").alias("_fp")), "keepers")
-    rows = fps.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select(F.col("doc_id").alias("_twice"))
-    twice = best.join(rows, F.col("_id").eqNullSafe(F.col("_twice")), "left_semi")
-    once = best.join(rows, F.col("_id").eqNullSafe(F.col("_twice")), "left_anti")
-    plain = docs.join(once, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    repeated = docs.join(twice.select("_id").distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    best = stage(best.select(F.col("b.doc_id").alias("__fs_id"), F.col("b.fp").alias("__fs_fp")), "keepers")
+    rows = fps.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__fs_rows")).where("__fs_rows > 1").select(F.col("doc_id").alias("__fs_twice"))
+    twice = best.join(rows, F.col("__fs_id").eqNullSafe(F.col("__fs_twice")), "left_semi")
+    once = best.join(rows, F.col("__fs_id").eqNullSafe(F.col("__fs_twice")), "left_anti")
+    plain = docs.join(once, F.col("doc_id").eqNullSafe(F.col("__fs_id")), "left_semi")
+    repeated = docs.join(twice.select("__fs_id").distinct(), F.col("doc_id").eqNullSafe(F.col("__fs_id")), "left_semi")
     cols = docs.columns
-    packed = stage(repeated.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row")), "repeats")
-    marked = _with_fp(packed, shingle).join(twice, F.col("_rid").eqNullSafe(F.col("_id")) & (F.col("_rfp") == F.col("_fp")))
-    single = marked.groupBy("_rid", "_rfp").agg(F.first("_row").alias("_row")).select("_row.*")
+    packed = stage(repeated.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__fs_row")), "repeats")
+    marked = _with_fp(packed, shingle).join(twice, F.col("__fs_rid").eqNullSafe(F.col("__fs_id")) & (F.col("__fs_rfp") == F.col("__fs_fp")))
+    single = marked.groupBy("__fs_rid", "__fs_rfp").agg(F.first("__fs_row").alias("__fs_row")).select("__fs_row.*")
     return plain.unionByName(single)
 
 
@@ -198,11 +199,11 @@ def _with_fp(packed: DataFrame, shingle: int) -> DataFrame:
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
 
-    return packed.select("_row", F.col("_row.doc_id").alias("_rid"), fp(F.col("_row.text")).alias("_rfp"))
+    return packed.select("__fs_row", F.col("__fs_row.doc_id").alias("__fs_rid"), fp(F.col("__fs_row.text")).alias("__fs_rfp"))
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for all of documents: 4-word shingles, 4 bits."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     out = near_duplicates(docs, shingle=4, distance=4)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1,8 +1,8 @@
 """A hidden Markov language model over word classes, trained by Baum-Welch over all training rows.
 
-A text is its words (A-Z folded) and one end. A word is known by a 64-bit hash and falls in one of CLASSES
-classes by that hash, so the emission table has a fixed size whatever the vocabulary; within its class a
-word has its smoothed share. The model's probability of a text is that of its class sequence, by the
+A text is its words (A-Z folded) and one end. A word is known by a 64-bit hash and falls in one of at most
+CLASSES classes by that hash (fewer for a small vocabulary, so that most classes hold several words), so
+the emission table is bounded whatever the vocabulary; within its class a word has its smoothed share. The model's probability of a text is that of its class sequence, by the
 scaled forward recursion over the whole text, times the shares of its words.
 
 Training makes ROUNDS passes over all training rows. Every task sums expected counts and sends at most
@@ -31,15 +31,15 @@ from pyspark.sql import functions as F
 
 from foliospark.llm import words as W
 from foliospark.scratch import stage
+from foliospark.sources import table
 
 STATES = 6
 CLASSES = 1 << 16
-ROUNDS = 2
+ROUNDS = 3
 SEGMENT = 1024
 FREQUENT = 1 << 18
 END = np.uint64(0xA24BAED4963EE407)
 STAY = 0.98
-PRIOR = 1000.0
 LN10 = float(np.log(10))
 
 
@@ -63,7 +63,13 @@ def with_ends(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds
 
 
-def classes_of(h: np.ndarray, classes: int = CLASSES) -> np.ndarray:
+def classes_for(words: int) -> int:
+    """A power of two up to CLASSES and a quarter of the words, so that most classes hold several."""
+    return min(CLASSES, max(256, 1 << max(0, words // 4).bit_length() - 1 if words >= 4 else 256))
+
+
+def classes_of(h: np.ndarray, classes: int) -> np.ndarray:
+    """Classes by the low bits of the hash; `classes` is a power of two."""
     return (h % np.uint64(classes)).astype(np.int64)
 
 
@@ -155,9 +161,9 @@ def initial(share: np.ndarray, states: int, seed: int = 5) -> Model:
     return Model(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
 
 
-def maximise(sums: Sums, share: np.ndarray) -> Model:
-    """The next model; the class shares are a prior of PRIOR tokens for each state."""
-    emit = sums.emit + PRIOR * share[:, None]
+def maximise(sums: Sums, share: np.ndarray, doubt: float) -> Model:
+    """The next model; each state's emissions are its expected counts, mixed by `doubt` with the smoothed class shares."""
+    emit = (1 - doubt) * sums.emit / np.maximum(sums.emit.sum(axis=0), 1e-9) + doubt * share[:, None]
     move = sums.move + 1.0
     start = sums.start + 1.0
     return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
@@ -225,18 +231,20 @@ def score(docs: DataFrame, held_out: F.Column, states: int = STATES, rounds: int
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     training = rows.where(~F.col("held_out"))
     counts = stage(word_counts(training), "word-counts")
-    kind = F.pmod(F.pmod(F.col("h"), F.lit(CLASSES)) + CLASSES, F.lit(CLASSES)).cast("int")
+    classes = classes_for(counts.count())
+    kind = F.pmod(F.col("h"), F.lit(classes)).cast("int")
     per_class = stage(counts.groupBy(kind.alias("k")).agg(F.sum("c").alias("kc"), F.count(F.lit(1)).alias("kv")), "class-counts")
     got = per_class.toPandas()  # at most CLASSES rows
-    tokens_of, words_of = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    tokens_of, words_of = np.zeros(classes, np.int64), np.zeros(classes, np.int64)
     tokens_of[got["k"].to_numpy()], words_of[got["k"].to_numpy()] = got["kc"].to_numpy(), got["kv"].to_numpy()
     n, v = int(tokens_of.sum()), int(words_of.sum())
-    share = (tokens_of + 1) / (n + CLASSES)
+    share = (tokens_of + words_of + 1) / (n + v + classes)
+    doubt = (v + 1) / (n + v + 1)  # the part that adding one to every count gives away
     model = initial(share, states)
     for _ in range(rounds):
-        model = maximise(_train_pass(training, model), share)
+        model = maximise(_train_pass(training, model), share, doubt)
     common, common_counts = _frequent(counts, FREQUENT)
-    common_class = classes_of(common)
+    common_class = classes_of(common, classes)
     base_of = np.log10((common_counts + 1) / (n + v + 1))
     own_of = np.log10((common_counts + 1) / (tokens_of + words_of + 1)[common_class])
     schema = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, own double, chain double, rest array<long>"
@@ -245,7 +253,7 @@ def score(docs: DataFrame, held_out: F.Column, states: int = STATES, rounds: int
         uid = TaskContext.get().partitionId() << 36
         for batch in (x for b in batches for x in W.pieces(b, 2, 24 << 20)):
             h, bounds = with_ends(batch.column(2))
-            chain = log_likelihood(model, classes_of(h), bounds) / LN10
+            chain = log_likelihood(model, classes_of(h, classes), bounds) / LN10
             at = np.minimum(np.searchsorted(common, h), max(0, len(common) - 1))
             hit = common[at] == h if len(common) else np.zeros(len(h), dtype=bool)
             sums = [np.add.reduceat(np.where(hit, table[at], 0.0) if len(common) else np.zeros(len(h)), bounds[:-1]) for table in (base_of, own_of)]
@@ -286,5 +294,5 @@ def score(docs: DataFrame, held_out: F.Column, states: int = STATES, rounds: int
 
 def op5_hmm(spark, sf_dir: str) -> DataFrame:
     """All documents scored by a model of those whose checksum's remainder by 7 is not 2."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     return score(docs, F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2)

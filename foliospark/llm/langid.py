@@ -6,7 +6,8 @@ from spherical k-means, so that a language of several styles is not one blurred
 language of the centroid of highest cosine; it is rejected if that cosine is under the language's threshold,
 the QUANTILE of its own training rows' cosines.
 
-Fitting takes at most SAMPLE labelled rows, evenly from all languages: those of the least id hashes. Their
+Fitting takes at most SAMPLE labelled rows, evenly from all languages: those of the least id hashes (and at
+most twice SAMPLE candidates). Their
 vectors are made on the executors; the driver holds at most SAMPLE x BUCKETS numbers. Predictions are made
 for every whole text, map-side, without a shuffle.
 
@@ -24,7 +25,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm import words as W
@@ -118,23 +119,33 @@ def fit(rows: list[tuple[str, np.ndarray]], centroids: int = CENTROIDS, quantile
 
 
 def learn(labelled: DataFrame, sample: int = SAMPLE, per_language: int = PER_LANGUAGE) -> Model:
-    """The model of labelled rows (id, lang, text), of which at most `sample`, evenly by language, are read."""
+    """The model of labelled rows (id, lang, text), of which at most `sample`, evenly by language, are read.
+
+    A row is a candidate if the hash of its id is under its language's share, which lets about a quarter more
+    rows through than wanted; of these the driver keeps the least hashes. No window sees a whole language.
+    """
+    spark = labelled.sparkSession
     known = labelled.where("lang is not null and text is not null")
-    langs = known.select("lang").distinct().count()
-    each = max(1, min(per_language, sample // max(1, langs)))
-    ranked = known.select("id", "lang").withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")))
-    picked = ranked.where(F.col("nth") <= each).select(F.col("id").alias("picked_id"), F.col("lang").alias("picked_lang")).distinct()
-    rows = known.join(F.broadcast(picked), F.col("id").eqNullSafe(F.col("picked_id")) & (F.col("lang") == F.col("picked_lang"))).select("id", "lang", "text")
+    sizes = sorted(((r["n"], r["lang"]) for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()), key=lambda x: x[1])
+    each = max(1, min(per_language, sample // max(1, len(sizes))))
+    shares = spark.createDataFrame([(lang, min(1 << 30, ((each * 5 // 4 + 32) << 30) // n + 1)) for n, lang in sizes], "picked_lang string, most long")
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    rows = known.join(F.broadcast(shares), F.col("lang") == F.col("picked_lang")).where(place < F.col("most")).select("lang", "text", place.alias("place"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(has_letter(batch.column(1))))
             for at, texts in _chunks(batch.column(1)):
                 counts = gram_counts(texts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([c.tobytes() for c in counts], pa.binary())], names=["lang", "counts"])
-
-    got = rows.dropDuplicates(["id", "lang"]).select("lang", "text").mapInArrow(run, "lang string, counts binary").limit(sample).collect()
-    return fit(sorted(((r["lang"], np.frombuffer(r["counts"], np.float32)) for r in got), key=lambda x: (x[0], x[1].tobytes())))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), batch.column(2).slice(at, len(texts)), pa.array([c.tobytes() for c in counts], pa.binary())], names=["lang", "place", "counts"])
+
+    got = rows.mapInArrow(run, "lang string, place long, counts binary").limit(2 * sample).collect()
+    kept: dict[str, list[np.ndarray]] = {}
+    for r in sorted(got, key=lambda r: (r["lang"], r["place"], r["counts"])):
+        own = kept.setdefault(r["lang"], [])
+        if len(own) < each:
+            own.append(np.frombuffer(r["counts"], np.float32))
+    return fit([(lang, c) for lang, own in kept.items() for c in own])
 
 
 def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:

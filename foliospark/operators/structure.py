@@ -59,7 +59,7 @@ def pagination(page: Column, printed: Column) -> Column:
 def printed_number(text: Column) -> Column:
     """The last line of only digits that is a number from 1 to 999, if any."""
     found = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x.rlike("^[0-9]{1,3}$"))
-    return F.element_at(F.filter(F.transform(found, lambda x: x.cast("int")), lambda x: x > 0), -1)
+    return F.try_element_at(F.filter(F.transform(found, lambda x: x.cast("int")), lambda x: x > 0), F.lit(-1))
 
 
 def heading(line: Column) -> Column:

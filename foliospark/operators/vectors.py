@@ -42,10 +42,11 @@ def counted(docs: DataFrame, grams: Column, key: str = "doc_id") -> DataFrame:
     return docs.select(key, F.explode(grams).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tfidf(docs: DataFrame, grams: Column, least_df: int = 2, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+def tfidf(docs: DataFrame, grams: Column, least_df: int = 2, most: int | None = None, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(weights (doc_id, term, w), idf (term, idf)): 1 + ln tf times ln((1 + n) / (1 + df)) + 1, length one.
 
     Terms in fewer than least_df documents are left out; of the rest the `most` frequent stay, if given.
+    Weights are returned for `terms` (term) only, if given; lengths are those of the whole vectors.
     """
     tf = counted(docs, grams)
     n = docs.agg(F.count(F.lit(1)).alias("n"))
@@ -54,23 +55,25 @@ def tfidf(docs: DataFrame, grams: Column, least_df: int = 2, most: int | None =
         df = df.orderBy(F.desc("total"), "term").limit(most)
     idf = df.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # n is one row
     raw = tf.join(idf, "term").select("doc_id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    return unit(raw), idf
+    return unit(raw, "doc_id", terms), idf
 
 
-def unit(raw: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Weights (key, term, w) at length one."""
+def unit(raw: DataFrame, key: str = "doc_id", terms: DataFrame | None = None) -> DataFrame:
+    """Weights (key, term, w) at length one; of `terms` only, if given, so that only those are moved again."""
     norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_n"))
-    return raw.join(norm, key).select(key, "term", (F.col("w") / F.col("_n")).alias("w"))
+    kept = raw if terms is None else raw.join(terms, "term", "left_semi")
+    return kept.join(norm, key).select(key, "term", (F.col("w") / F.col("_n")).alias("w"))
 
 
 def sparse_topk(docs: DataFrame, queries: DataFrame, grams: Column, k: int = 5, idf: bool = True, least_df: int = 2, most: int | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): cosine of TF-IDF (or plain count) vectors of docs and queries (query_id, text)."""
     q = counted(queries, grams, "query_id")
+    terms = q.select("term").distinct()
     if idf:
-        weights, table = tfidf(docs, grams, least_df, most)
+        weights, table = tfidf(docs, grams, least_df, most, terms)
         qw = q.join(table, "term").select("query_id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
     else:
-        weights = unit(counted(docs, grams).select("doc_id", "term", F.col("tf").cast("double").alias("w")))
+        weights = unit(counted(docs, grams).select("doc_id", "term", F.col("tf").cast("double").alias("w")), "doc_id", terms)
         qw = q.select("query_id", "term", F.col("tf").cast("double").alias("w"))
     qw = unit(qw, "query_id").withColumnRenamed("w", "qw")
     scores = weights.join(qw, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score"))

@@ -148,17 +148,20 @@ def answer(action: Column, kind: Column, match: Column, gold: Column, context: C
     return out.when((context < CONTEXT) | excerpt.isNull(), UNKNOWN).otherwise(excerpt)
 
 
-def nearest(questions: DataFrame, known: DataFrame, least_shared: int = 1) -> DataFrame:
+def nearest(questions: DataFrame, known: DataFrame, least_shared: int = 1, others_only: bool = False) -> DataFrame:
     """(question_id, known_id, score): for each question the known question of most similar words (Jaccard), ties to the smaller id.
 
     Candidates share `least_shared` words at least, found by an equality join on words, so pairs without a
-    common word, whose similarity is zero, never meet.
+    common word, whose similarity is zero, never meet. others_only leaves out a question's own id.
     """
     words = lambda f, i: f.select(F.col(i), F.array_distinct(F.split(normalize_text(F.col("question")), " ")).alias("w"))
     q, k = words(questions, "question_id"), words(known, "known_id")
     a = q.select("question_id", F.size("w").alias("na"), F.explode("w").alias("t"))
     b = k.select("known_id", F.size("w").alias("nb"), F.explode("w").alias("t"))
-    shared = a.join(b, "t").groupBy("question_id", "known_id", "na", "nb").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least_shared)
+    met = a.join(b, "t")
+    if others_only:
+        met = met.where("question_id <> known_id")
+    shared = met.groupBy("question_id", "known_id", "na", "nb").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least_shared)
     scored = shared.select("question_id", "known_id", F.round(F.col("c") / (F.col("na") + F.col("nb") - F.col("c")), 6).alias("score"))
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), "known_id")
     return scored.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

@@ -114,8 +114,7 @@ def query_history_50(spark, d):
 def nearest_question_jaccard(spark, d):
     """For every benchmark passage the nearest other one by shared words."""
     items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("question"))
-    q = items.where("item_id % 2 = 0").withColumnRenamed("item_id", "question_id")
-    return A.nearest(q, items.where("item_id % 2 = 1").withColumnRenamed("item_id", "known_id"))
+    return A.nearest(items.withColumnRenamed("item_id", "question_id"), items.withColumnRenamed("item_id", "known_id"), others_only=True)
 
 
 def evidence_anchor(spark, d):
@@ -137,12 +136,12 @@ def evidence_missing(spark, d):
 
 
 def type_classifier(spark, d):
-    """Predicted language of documents by the question-type classifier, trained on those of odd ids."""
+    """Predicted language of all documents by the question-type classifier, trained on those of odd ids."""
     docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("label"), F.col("text"))
     from foliospark.operators.vectors import char_grams
 
     model = A.fit_types(docs.where("doc_id % 2 = 1"))
-    out = model.transform(docs.where("doc_id % 2 = 0").withColumn("grams", char_grams(F.col("text"))))
+    out = model.transform(docs.withColumn("grams", char_grams(F.col("text"))))
     return out.select("doc_id", "label", F.col("prediction").cast("int").alias("predicted"))
 
 
@@ -193,7 +192,7 @@ ORACLE_SQL = {
       FROM (SELECT question_id AS k, estimated_type, {_ACT}[question_id % 4 + 1] AS action FROM ft) GROUP BY 1""",
     "query_history_50": "SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 50",
     "nearest_question_jaccard": """WITH w AS (SELECT item_id, list_distinct(string_split(trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g')), ' ')) AS w FROM benchmark),
-      s AS (SELECT a.item_id AS question_id, b.item_id AS known_id, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS score FROM w a, w b WHERE a.item_id % 2 = 0 AND b.item_id % 2 = 1)
+      s AS (SELECT a.item_id AS question_id, b.item_id AS known_id, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS score FROM w a, w b WHERE a.item_id <> b.item_id)
       SELECT question_id, known_id, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, known_id) AS r FROM s WHERE score > 0) WHERE r = 1""",
     "evidence_anchor": f"""WITH {_FLATS}, h AS (SELECT item_id, doc_id, t, instr(t, needle) AS place FROM fd JOIN fi ON contains(t, needle)), g AS (SELECT *, (place - length(string_split(t[1:place - 1], '. ')[-1])) AS start FROM h)
       SELECT item_id, doc_id, place, md5(substring(t, start, 480)) AS digest, start FROM g""",

@@ -76,7 +76,7 @@ def reference_split(spark, d):
 
 def inclusion_policy(spark, d):
     """Keep or leave out every page, and why; every 17th page is blank here."""
-    text = F.when(F.col("doc_id") % 17 == 0, "").otherwise(F.substring("text", 1, 160))
+    text = F.when(F.col("doc_id") % 17 == 0, "").otherwise(F.col("text"))
     p = S.with_zone(_pages(spark, d)).withColumn("r", S.inclusion(F.col("zone"), F.length(F.trim(text))))
     return p.select("doc_id", "zone", F.col("r.keep").alias("keep"), F.col("r.reason").alias("reason"))
 
@@ -176,7 +176,7 @@ ORACLE_SQL = {
     "toc_lead_end": f"WITH {_P}, {_TOC} SELECT doc, page, title, greatest(page, coalesce(lead(page) OVER (PARTITION BY doc ORDER BY page, level, title) - 1, 206))::INTEGER AS page_end FROM toc",
     "reference_split": f"""WITH {_P}, {_TOC}, h AS (SELECT p.doc, p.page AS start, greatest(p.page, coalesce(min(toc.page) - 1, p.page))::INTEGER AS "end" FROM p LEFT JOIN toc ON toc.doc = p.doc AND toc.page > p.page WHERE doc_id % 23 = 5 GROUP BY p.doc, p.page)
       SELECT p.doc, p.page, start, "end" FROM p JOIN h ON h.doc = p.doc AND p.page BETWEEN start AND "end" """,
-    "inclusion_policy": f"""WITH {_P}, {_Z}, q AS (SELECT *, length(trim(CASE WHEN doc_id % 17 = 0 THEN '' ELSE text[1:160] END)) AS n, zone IN {S.KEPT_ZONES} AS ok FROM z),
+    "inclusion_policy": f"""WITH {_P}, {_Z}, q AS (SELECT *, length(trim(CASE WHEN doc_id % 17 = 0 THEN '' ELSE text END)) AS n, zone IN {S.KEPT_ZONES} AS ok FROM z),
       r AS (SELECT doc_id, zone, CASE WHEN NOT ok THEN CASE zone {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in S.REASONS.items())} ELSE 'hors_perimetre' END WHEN n = 0 THEN 'page_blanche'
         WHEN zone = 'appendix_c' AND n < 150 THEN 'annexe_c_sans_texte_exploitable' WHEN zone <> 'appendix_c' AND n < 120 THEN 'page_quasi_vide_ou_titre_seul' END AS reason FROM q) SELECT doc_id, zone, reason IS NULL AS keep, reason FROM r""",
     "content_type": f"""WITH {_P}, {_Z}, q AS (SELECT doc_id, zone, {_TITLE} AS title, ltrim(CASE doc_id % 13 WHEN 0 THEN 'Figure 3 ' || text WHEN 1 THEN 'Table A.1 ' || text ELSE text END)[1:80] AS head FROM z)

@@ -117,6 +117,12 @@ def nearest_question_jaccard(spark, d):
     return A.nearest(items.withColumnRenamed("item_id", "question_id"), items.withColumnRenamed("item_id", "known_id"), others_only=True)
 
 
+def nearest_question_blended(spark, d):
+    """For every benchmark passage the nearest other one by letters and words."""
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("question"))
+    return A.nearest_blended(items.withColumnRenamed("item_id", "question_id"), items.withColumnRenamed("item_id", "known_id"), others_only=True)
+
+
 def evidence_anchor(spark, d):
     """Documents that hold a passage, blanks collapsed, with its place and the sentence context around it, 480 characters at most."""
     flat = lambda c: F.trim(F.regexp_replace(c, "\\s+", " "))
@@ -175,7 +181,7 @@ _FLATS = "fd AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS
 
 QUERIES = {
     f.__name__: f
-    for f in (route_features, route_state, policy_argmax, routing_accuracy, q_training, q_feedback_fold, feedback_stream, context_confidence, final_confidence, answer_rules, query_history_50, nearest_question_jaccard,
+    for f in (route_features, route_state, policy_argmax, routing_accuracy, q_training, q_feedback_fold, feedback_stream, context_confidence, final_confidence, answer_rules, query_history_50, nearest_question_jaccard, nearest_question_blended,
               evidence_anchor, evidence_missing, type_classifier)
 }
 

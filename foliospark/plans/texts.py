@@ -57,6 +57,14 @@ def unicode_normalise(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(t.cast("binary")).alias("digest"), F.length(t).cast("long").alias("n"))
 
 
+def unicode_nfc(spark, d):
+    """Checksum of every text, with some letters decomposed, after composition."""
+    from foliospark.functions.python import nfc
+
+    loose = F.replace(F.replace("text", F.lit("é"), F.lit("e\u0301")), F.lit("ü"), F.lit("u\u0308"))
+    return _docs(spark, d).select("doc_id", F.md5(nfc(loose).cast("binary")).alias("digest"))
+
+
 def normalize_text(spark, d):
     """Checksum and length of every text in key form."""
     t = T.normalize_text(F.col("text"))
@@ -174,7 +182,7 @@ _HYPH = f"hf AS (SELECT compound, count(*) AS n FROM (SELECT unnest(regexp_extra
 
 QUERIES = {
     f.__name__: f
-    for f in (language_detect, language_confusion, tokens_vocab, word_freq, inline_hyphen_freq, running_lines, unicode_normalise, normalize_text, page_number_lines, paragraph_merge, caption_sessions,
+    for f in (language_detect, language_confusion, tokens_vocab, word_freq, inline_hyphen_freq, running_lines, unicode_normalise, unicode_nfc, normalize_text, page_number_lines, paragraph_merge, caption_sessions,
               hyphen_repair, boundary_lookahead, term_counts, exact_duplicates, stats_grouping_sets, coverage_check, cleaning_check, sentence_stats)
 }
 
@@ -186,6 +194,7 @@ ORACLE_SQL = {
     "inline_hyphen_freq": f"WITH {_HYPH} SELECT * FROM hf",
     "running_lines": f"WITH {_LINES}, {_RUN} SELECT * FROM rl",
     "unicode_normalise": f"SELECT doc_id, md5({_duck()}) AS digest, length({_duck()})::BIGINT AS n FROM documents",
+    "unicode_nfc": "SELECT doc_id, md5(text) AS digest FROM documents",
     "normalize_text": "SELECT doc_id, md5(t) AS digest, length(t)::BIGINT AS n FROM (SELECT doc_id, trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g')) AS t FROM documents)",
     "page_number_lines": """SELECT regexp_full_match(trim(line), '[0-9]{1,4}') OR regexp_full_match(lower(trim(line)), '[ivxlcdm]{1,8}') OR regexp_full_match(lower(trim(line)), '(page|p\\.)\\s*[0-9]{1,4}') AS is_number, count(*) AS n
       FROM (SELECT CASE o_orderkey % 5 WHEN 0 THEN 'Page ' || o_orderkey WHEN 1 THEN o_orderkey::VARCHAR WHEN 2 THEN 'xiv' WHEN 3 THEN 'p. ' || o_orderkey % 100 ELSE o_orderkey || ' was cold' END AS line FROM orders) GROUP BY 1""",

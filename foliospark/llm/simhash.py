@@ -157,19 +157,18 @@ def links(distinct: DataFrame, distance: int = 4, hot: int = HOT) -> DataFrame:
     return out
 
 
-def near_classes(fps: DataFrame, distance: int = 4, id_col: str = "doc_id") -> DataFrame:
-    """(fp, class_fp, component_id) for each distinct fingerprint of fps (id_col, fp): its class and the class's least id."""
-    distinct = stage(fps.groupBy("fp").agg(F.min(id_col).alias("least_id")), "fingerprints")
+def near_classes(distinct: DataFrame, distance: int = 4) -> DataFrame:
+    """(fp, class_fp) for each row of distinct fingerprints: the least fingerprint, signed, of its class."""
     roots = connected_components(links(distinct.select("fp"), distance))
-    classed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("class_fp"))
-    least = classed.groupBy("class_fp").agg(F.min("least_id").alias("component_id"))
-    return classed.join(least, "class_fp").select("fp", "class_fp", "component_id")
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(*distinct.columns, F.coalesce("root", "fp").alias("class_fp"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, fp, class_fp, component_id."""
     fps = stage(fingerprints(docs, shingle, id_col, text_col), "simhash")
-    return fps.join(near_classes(fps, distance, id_col), "fp").select(id_col, "fp", "class_fp", "component_id")
+    classed = near_classes(stage(fps.groupBy("fp").agg(F.min(id_col).alias("least_id")), "fingerprints"), distance)
+    least = classed.groupBy("class_fp").agg(F.min("least_id").alias("component_id"))
+    return fps.join(classed.join(least, "class_fp").select("fp", "class_fp", "component_id"), "fp").select(id_col, "fp", "class_fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
@@ -179,8 +178,9 @@ def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     equal ones any one. All columns of docs are returned, and no others.
     """
     fps = stage(fingerprints(docs, shingle), "simhash")
-    classes = near_classes(fps, distance)
-    best = fps.join(classes, "fp").groupBy("class_fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("b"), F.count(F.lit(1)).alias("_n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("b")
+    classed = near_classes(stage(fps.groupBy("fp").agg(first), "fingerprints"), distance)
+    best = classed.groupBy("class_fp").agg(F.min("b").alias("b"))
     best = stage(best.select(F.col("b.doc_id").alias("__fs_id"), F.col("b.fp").alias("__fs_fp")), "keepers")
     rows = fps.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__fs_rows")).where("__fs_rows > 1").select(F.col("doc_id").alias("__fs_twice"))
     twice = best.join(rows, F.col("__fs_id").eqNullSafe(F.col("__fs_twice")), "left_semi")

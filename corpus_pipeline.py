@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @shipped
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near-duplicates: 4-word shingles, fingerprints within 4 bits."""
-    return simhash.keep_one(docs, shingle=4, distance=4)
+    """One row of each class of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    return simhash.keep_one(docs, shingle=5, similarity=0.8)
 
 
 @shipped

@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.llm.words import mix
 from foliospark.operators.components import connected_components
 from foliospark.scratch import discard, stage
 from foliospark.sources import table
@@ -171,35 +172,179 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col
     return fps.join(classed.join(least, "class_fp").select("fp", "class_fp", "component_id"), "fp").select(id_col, "fp", "class_fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
+WIDE = 8  # words of 64 bits of a wide fingerprint
+RECALL = 0.98
+
+
+def wide_fingerprint(text: str | None, shingle: int = 5) -> bytes:
+    """512 bits by the same rule, from eight mixes of each shingle hash; zero for a text without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = len(words)
+    if n == 0:
+        return bytes(8 * WIDE)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    ends = list(accumulate(len(w) + 1 for w in words))
+    h = np.array([digest(joined[a : b - 1], 42) for a, b in zip([0, *ends], ends[shingle - 1 :], strict=False)] or [digest(joined, 42)], dtype=np.uint64)
+    counts = np.zeros(64 * WIDE, np.int64)
+    salts = np.arange(WIDE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(h), 255 * 16):  # bounds the bits held, whatever the length
+        m = mix(h[at : at + 255 * 16, None] + salts)
+        bits = np.unpackbits(m.view(np.uint8).reshape(len(m), -1), axis=1, bitorder="little")
+        for k in range(0, len(bits), 255):
+            counts += bits[k : k + 255].sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(h), bitorder="little").tobytes()
+
+
+def differing_share(similarity: float) -> float:
+    """The expected share of differing bits of two sets of the given Jaccard similarity."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def bands_for(distinct: int, similarity: float, recall: float = RECALL) -> list[np.ndarray]:
+    """Bit places of each block. A block is about as wide as log2 of the fingerprints, and blocks are as many as let a pair of the similarity share one with the wanted probability."""
+    width = max(16, max(1, distinct - 1).bit_length())
+    share = (1 - differing_share(similarity)) ** width
+    rng = np.random.default_rng(64)
+    return [np.sort(rng.choice(64 * WIDE, width, replace=False)) for _ in range(int(np.ceil(np.log(1 - recall) / np.log(1 - share))))]
+
+
+def distance_for(similarity: float) -> int:
+    """Differing bits up to which wide fingerprints link: the expected number at the similarity and one deviation more."""
+    p, n = differing_share(similarity), 64 * WIDE
+    return int(n * p + np.sqrt(n * p * (1 - p)))
+
+
+def _wide_rows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WIDE)
+
+
+def wide_forest(nodes: np.ndarray, fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """As near_forest(), for wide fingerprints (rows of fps) named by nodes."""
+    out: list[tuple[int, int]] = []
+    while len(nodes) > 1:
+        frontier = [(nodes[0], fps[0])]
+        nodes, fps = nodes[1:], fps[1:]
+        while frontier and len(nodes):
+            name, here = frontier.pop()
+            near = np.bitwise_count(fps ^ here).sum(axis=1) <= distance
+            if near.any():
+                out += [(int(name), int(x)) for x in nodes[near]]
+                frontier += list(zip(nodes[near], fps[near], strict=True))
+                nodes, fps = nodes[~near], fps[~near]
+    return out
+
+
+def _wide_runs(distance: int):
+    """Over rows sorted by the group columns (all but node and wide), emit each group's forest; a group may span batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list | None = None
+
+        def emit(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            x = np.array(found, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["u", "v"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [*(c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]), _wide_rows(batch.columns[-1])]
+            if held is not None:
+                cols = [np.concatenate([a, b]) for a, b in zip(held, cols, strict=True)]
+            change = np.zeros(len(cols[0]), dtype=bool)
+            change[0] = True
+            for c in cols[:-2]:
+                change[1:] |= c[1:] != c[:-1]
+            starts = np.flatnonzero(change)
+            held = [c[starts[-1] :] for c in cols]
+            found: list[tuple[int, int]] = []
+            for k in np.flatnonzero(np.diff(starts) > 1):
+                found += wide_forest(cols[-2][starts[k] : starts[k + 1]], cols[-1][starts[k] : starts[k + 1]], distance)
+            if found:
+                yield emit(found)
+        if held is not None and len(held[0]) > 1:
+            found = wide_forest(held[-2], held[-1], distance)
+            if found:
+                yield emit(found)
+
+    return run
+
+
+def wide_links(distinct: DataFrame, similarity: float = 0.8, hot: int = HOT) -> DataFrame:
+    """(u, v): links between rows of distinct (node, wide) by shared blocks and Hamming distance, as spanning forests."""
+    bands, distance = bands_for(distinct.count(), similarity), distance_for(similarity)
+
+    def keys_of(column: pa.Array) -> np.ndarray:
+        bits = np.unpackbits(_wide_rows(column).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+        return np.stack([bits[:, b] @ (1 << np.arange(len(b), dtype=np.int64)) for b in bands], axis=1)
+
+    def keyed(full: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1024):
+                    batch = whole.slice(at, 1024)
+                    keys, n = keys_of(batch.column(1)), batch.num_rows
+                    part = pa.array(np.tile(np.arange(len(bands), dtype=np.int32), n))
+                    if full:
+                        rows = pa.array(np.repeat(np.arange(n), len(bands)))
+                        yield pa.RecordBatch.from_arrays([part, pa.array(keys.ravel()), batch.column(0).take(rows), batch.column(1).take(rows)], names=["part", "key", "node", "wide"])
+                    else:
+                        yield pa.RecordBatch.from_arrays([part, pa.array(keys.ravel())], names=["part", "key"])
+
+        return run
+
+    frame = distinct.select("node", "wide")
+    sizes = stage(frame.mapInArrow(keyed(False), "part int, key long").groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot), "hot")
+    rows = frame.mapInArrow(keyed(True), "part int, key long, node long, wide binary")
+    any_hot = sizes.limit(1).count() > 0
+    cold = rows.join(sizes.select("part", "key"), ["part", "key"], "left_anti") if any_hot else rows
+    out = cold.repartition("part", "key").sortWithinPartitions("part", "key").select("part", "key", "node", "wide").mapInArrow(_wide_runs(distance), "u long, v long")
+    if any_hot:
+        cut = rows.join(sizes, ["part", "key"]).withColumn("s", F.ceil(F.col("n") / hot).cast("int")).withColumn("c", F.pmod(F.xxhash64("node"), F.col("s")).cast("int"))
+        pairs = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).select("part", "key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "node", "wide")
+        out = out.union(pairs.repartition("part", "key", "i", "j").sortWithinPartitions("part", "key", "i", "j").mapInArrow(_wide_runs(distance), "u long, v long"))
+    return out
+
+
+def _wide_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(t.as_py(), shingle) for t in batch.column(1)], pa.binary())], names=["doc_id", "wide"])
+
+    return picked.mapInArrow(run, "doc_id long, wide binary").select("doc_id", "wide", F.xxhash64("wide").alias("fp"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without near-duplicates: of each class the row with the least doc_id (a null id only where no other is).
 
-    Where several rows of the class share that doc_id, the one with the least fingerprint stays, and of
-    equal ones any one. All columns of docs are returned, and no others.
+    Texts are near-duplicates from about the given Jaccard similarity of their word shingles on, which in 64
+    bits would differ in too many to tell or to find by exact blocks. So fingerprints have 512 bits, blocks
+    are sampled bits, as many as find a pair at the similarity with probability RECALL, and the Hamming
+    distance over all bits decides. Where several rows of the class share the least doc_id, the one with the
+    least fingerprint hash stays, and of equal ones any one. All columns of docs are returned, and no others.
     """
-    fps = stage(fingerprints(docs, shingle), "simhash")
+    fps = stage(_wide_fingerprints(docs, shingle), "simhash")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("b")
-    classed = near_classes(stage(fps.groupBy("fp").agg(first), "fingerprints"), distance)
-    best = classed.groupBy("class_fp").agg(F.min("b").alias("b"))
+    distinct = stage(fps.groupBy("fp").agg(first, F.first("wide").alias("wide")), "fingerprints")
+    roots = connected_components(wide_links(distinct.select(F.col("fp").alias("node"), "wide"), similarity))
+    best = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("b").alias("b"))
     best = stage(best.select(F.col("b.doc_id").alias("__fs_id"), F.col("b.fp").alias("__fs_fp")), "keepers")
     rows = fps.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__fs_rows")).where("__fs_rows > 1").select(F.col("doc_id").alias("__fs_twice"))
     twice = best.join(rows, F.col("__fs_id").eqNullSafe(F.col("__fs_twice")), "left_semi")
     once = best.join(rows, F.col("__fs_id").eqNullSafe(F.col("__fs_twice")), "left_anti")
     plain = docs.join(once, F.col("doc_id").eqNullSafe(F.col("__fs_id")), "left_semi")
     repeated = docs.join(twice.select("__fs_id").distinct(), F.col("doc_id").eqNullSafe(F.col("__fs_id")), "left_semi")
-    cols = docs.columns
-    packed = stage(repeated.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__fs_row")), "repeats")
-    marked = _with_fp(packed, shingle).join(twice, F.col("__fs_rid").eqNullSafe(F.col("__fs_id")) & (F.col("__fs_rfp") == F.col("__fs_fp")))
-    single = marked.groupBy("__fs_rid", "__fs_rfp").agg(F.first("__fs_row").alias("__fs_row")).select("__fs_row.*")
-    return plain.unionByName(single)
+    packed = stage(repeated.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__fs_row")), "repeats")
 
+    @F.pandas_udf("binary")
+    def wide(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: wide_fingerprint(t, shingle))
 
-def _with_fp(packed: DataFrame, shingle: int) -> DataFrame:
-    @F.pandas_udf("long")
-    def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
-
-    return packed.select("__fs_row", F.col("__fs_row.doc_id").alias("__fs_rid"), fp(F.col("__fs_row.text")).alias("__fs_rfp"))
+    marked = packed.select("__fs_row", F.col("__fs_row.doc_id").alias("__fs_rid"), F.xxhash64(wide(F.col("__fs_row.text"))).alias("__fs_rfp"))
+    marked = marked.join(twice, F.col("__fs_rid").eqNullSafe(F.col("__fs_id")) & (F.col("__fs_rfp") == F.col("__fs_fp")))
+    single = marked.groupBy("__fs_rid", "__fs_rfp").agg(F.first("__fs_row").alias("__fs_row")).select("__fs_row.*")
+    return plain.unionByName(single)
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from foliospark.llm import catalog, decontaminate, hmm, html_text, importance, langid, packing, pii, quality_rules, simhash, tokens, words
 
@@ -246,6 +247,65 @@ def slow_classes(fps: dict, distance: int = 4):
     return {i: find(i) for i in ids}
 
 
+def shingles(text, size=5):
+    w = split(fold(text))
+    return frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1)))
+
+
+def jaccard_classes(docs, ids, least):
+    sets, holders, root = {i: shingles(docs[i]) for i in ids}, collections.defaultdict(list), {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sorted(ids):
+        for s in sets[i]:
+            holders[s].append(i)
+    for a, b in {p for found in holders.values() for p in itertools.combinations(found, 2)}:
+        if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {i: find(i) for i in ids}
+
+
+def test_keep_one_by_similarity(spark):
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(4000)}" for _ in range(rng.randint(120, 400))] for _ in range(120)]
+    rows, near, far = [], [], []
+    for i, w in enumerate(base):
+        rows.append((i, " ".join(w)))
+        for k, share in ((1, 0.008), (2, 0.15)):  # Jaccard about 0.92 and 0.3
+            edited = [f"x{rng.randrange(9999)}" if rng.random() < share else x for x in w]
+            rows.append((1000 * k + i, " ".join(edited)))
+        docs = {j: t for j, t in rows[-3:]}
+        (near if len(shingles(docs[i]) & shingles(docs[1000 + i])) >= 0.83 * len(shingles(docs[i]) | shingles(docs[1000 + i])) else far).append(1000 + i)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_one(df).collect()}
+    assert set(range(120)) | set(range(2000, 2120)) <= kept and not kept & set(near) and len(near) > 60
+    frame = spark.createDataFrame([(i, simhash.wide_fingerprint(t)) for i, t in rows], "node long, wide binary")
+    roots = [{frozenset(x) for x in group(simhash.wide_links(frame, hot=h).collect())} for h in (2, 20_000)]
+    assert roots[0] == roots[1]
+
+
+def group(links):
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in links:
+        root[find(r["u"])] = find(r["v"])
+    out = collections.defaultdict(set)
+    for x in list(root):
+        out[find(x)].add(x)
+    return out.values()
+
+
 def test_op7(spark, data_dir, docs):
     fps = {i: slow_fingerprint(t) for i, t in docs.items()}
     want = slow_classes(fps)
@@ -412,8 +472,10 @@ def test_pipeline(spark, data_dir, docs):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{data_dir}/documents.parquet'")
     kept = {i for i, ok in con.sql(f"WITH {quality_rules.duck_judged('documents')} SELECT doc_id, NOT base_failed AND NOT rejected FROM judged").fetchall() if ok}
-    classes = slow_classes({i: slow_fingerprint(docs[i]) for i in kept})
-    kept = {i for i in kept if classes[i] == i}
+    stage = corpus_pipeline.near_dedup(spark, spark.read.parquet(f"{data_dir}/documents.parquet").where(F.col("doc_id").isin(list(kept))), data_dir)
+    single = {r["doc_id"] for r in stage.select("doc_id").collect()}
+    assert {i for i, c in jaccard_classes(docs, kept, 0.68).items() if c == i} <= single <= {i for i, c in jaccard_classes(docs, kept, 0.85).items() if c == i}
+    kept = single
     items = [norm_words(t) for (t,) in duckdb.sql(f"SELECT text FROM '{data_dir}/benchmark.parquet'").fetchall()]
 
     def dirty(t):

@@ -25,6 +25,7 @@ from foliospark.scratch import discard, stage
 from foliospark.sources import table
 
 SAMPLE_ROWS = 2000  # at most so many rows are timed; the order, not the verdict, follows from them
+SAMPLE_BYTES = 1 << 16  # longer texts are judged, but not timed: what the driver holds is bounded
 MARK = "__fs_"
 
 TEXT = f"coalesce({MARK}text, '')"
@@ -80,8 +81,10 @@ def _marked(docs: DataFrame, text_col: str) -> DataFrame:
 def estimate(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
     """(rule, seconds per row, share rejected) in cascade order, from at most sample_rows rows of docs."""
     rules = RULES if rules is None else rules
-    picked = stage(docs.select(F.col(text_col).cast("string").alias("text")).sample(0.5, 7).limit(sample_rows), "rule-sample")
-    n = picked.count()
+    text = F.col(text_col).cast("string")
+    rows = docs.select(text.alias("text")).where(text.isNull() | (F.octet_length(text) <= SAMPLE_BYTES)).sample(0.5, 7).take(sample_rows)  # reads as few partitions as it needs
+    n = len(rows)
+    picked = stage(docs.sparkSession.createDataFrame(rows, "text string").coalesce(1), "rule-sample")
     found = []
     for rule in sorted(rules):
         test = _marked(picked, "text").select(F.count_if(over_words(rule.reject)).alias("n"))

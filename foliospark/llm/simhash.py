@@ -219,8 +219,15 @@ def _wide_rows(column: pa.Array) -> np.ndarray:
 
 
 def wide_forest(nodes: np.ndarray, fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """As near_forest(), for wide fingerprints (rows of fps) named by nodes."""
+    """As near_forest(), for wide fingerprints (rows of fps) of named nodes; fingerprints of one node are linked already, and only links between nodes not yet joined are returned."""
     out: list[tuple[int, int]] = []
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
     while len(nodes) > 1:
         frontier = [(nodes[0], fps[0])]
         nodes, fps = nodes[1:], fps[1:]
@@ -228,7 +235,11 @@ def wide_forest(nodes: np.ndarray, fps: np.ndarray, distance: int) -> list[tuple
             name, here = frontier.pop()
             near = np.bitwise_count(fps ^ here).sum(axis=1) <= distance
             if near.any():
-                out += [(int(name), int(x)) for x in nodes[near]]
+                for x in np.unique(nodes[near]).tolist():
+                    a, b = find(int(name)), find(x)
+                    if a != b:
+                        root[b] = a
+                        out.append((int(name), x))
                 frontier += list(zip(nodes[near], fps[near], strict=True))
                 nodes, fps = nodes[~near], fps[~near]
     return out
@@ -269,9 +280,8 @@ def _wide_runs(distance: int):
     return run
 
 
-def wide_links(distinct: DataFrame, similarity: float = 0.8, hot: int = HOT) -> DataFrame:
-    """(u, v): links between rows of distinct (node, wide) by shared blocks and Hamming distance, as spanning forests."""
-    bands, distance = bands_for(distinct.count(), similarity), distance_for(similarity)
+def wide_links(distinct: DataFrame, bands: list[np.ndarray], distance: int, hot: int = HOT) -> DataFrame:
+    """(u, v): links between nodes of distinct (node, wide) by shared blocks and Hamming distance, as spanning forests."""
 
     def keys_of(column: pa.Array) -> np.ndarray:
         bits = np.unpackbits(_wide_rows(column).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
@@ -299,12 +309,26 @@ def wide_links(distinct: DataFrame, similarity: float = 0.8, hot: int = HOT) ->
     cold = rows.join(sizes.select("part", "key"), ["part", "key"], "left_anti") if any_hot else rows
     out = cold.repartition("part", "key").sortWithinPartitions("part", "key").select("part", "key", "node", "wide").mapInArrow(_wide_runs(distance), "u long, v long")
     if any_hot:
-        cut = rows.join(sizes, ["part", "key"]).withColumn("s", F.ceil(F.col("n") / hot).cast("int")).withColumn("c", F.pmod(F.xxhash64("node"), F.col("s")).cast("int"))
+        cut = rows.join(sizes, ["part", "key"]).withColumn("s", F.ceil(F.col("n") / hot).cast("int")).withColumn("c", F.pmod(F.xxhash64("wide"), F.col("s")).cast("int"))
         pairs = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).select("part", "key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "node", "wide")
         out = out.union(pairs.repartition("part", "key", "i", "j").sortWithinPartitions("part", "key", "i", "j").mapInArrow(_wide_runs(distance), "u long, v long"))
     return out
 
 
+def wide_classes(distinct: DataFrame, similarity: float = 0.8, first: int = 8, hot: int = HOT) -> DataFrame:
+    """distinct (fp, wide, ...) with class_fp, one fp of the row's class.
+
+    The first few blocks join most of a large class; the other blocks then return only links between what
+    is still apart, so their links do not grow with the number of blocks a dense class shares.
+    """
+    bands, distance = bands_for(distinct.count(), similarity), distance_for(similarity)
+    now = distinct.withColumn("class_fp", F.col("fp"))
+    for some in (bands[:first], bands[first:]):
+        roots = connected_components(wide_links(now.select(F.col("class_fp").alias("node"), "wide"), some, distance, hot))
+        now = stage(now.join(roots.withColumnRenamed("node", "class_fp"), "class_fp", "left").select(*distinct.columns, F.coalesce("root", "class_fp").alias("class_fp")), "classes")
+    return now
+
+
 def _wide_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -327,8 +351,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     fps = stage(_wide_fingerprints(docs, shingle), "simhash")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("b")
     distinct = stage(fps.groupBy("fp").agg(first, F.first("wide").alias("wide")), "fingerprints")
-    roots = connected_components(wide_links(distinct.select(F.col("fp").alias("node"), "wide"), similarity))
-    best = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("b").alias("b"))
+    best = wide_classes(distinct, similarity).groupBy("class_fp").agg(F.min("b").alias("b"))
     best = stage(best.select(F.col("b.doc_id").alias("__fs_id"), F.col("b.fp").alias("__fs_fp")), "keepers")
     rows = fps.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__fs_rows")).where("__fs_rows > 1").select(F.col("doc_id").alias("__fs_twice"))
     twice = best.join(rows, F.col("__fs_id").eqNullSafe(F.col("__fs_twice")), "left_semi")

@@ -284,26 +284,14 @@ def test_keep_one_by_similarity(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {r["doc_id"] for r in simhash.keep_one(df).collect()}
     assert set(range(120)) | set(range(2000, 2120)) <= kept and not kept & set(near) and len(near) > 60
-    frame = spark.createDataFrame([(i, simhash.wide_fingerprint(t)) for i, t in rows], "node long, wide binary")
-    roots = [{frozenset(x) for x in group(simhash.wide_links(frame, hot=h).collect())} for h in (2, 20_000)]
-    assert roots[0] == roots[1]
-
-
-def group(links):
-    root = {}
-
-    def find(x):
-        root.setdefault(x, x)
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for r in links:
-        root[find(r["u"])] = find(r["v"])
-    out = collections.defaultdict(set)
-    for x in list(root):
-        out[find(x)].add(x)
-    return out.values()
+    frame = spark.createDataFrame([(i, simhash.wide_fingerprint(t)) for i, t in rows], "fp long, wide binary")
+    found = []
+    for hot in (2, 20_000):
+        classes = collections.defaultdict(set)
+        for r in simhash.wide_classes(frame, hot=hot).collect():
+            classes[r["class_fp"]].add(r["fp"])
+        found.append({frozenset(c) for c in classes.values()})
+    assert found[0] == found[1]
 
 
 def test_op7(spark, data_dir, docs):

@@ -134,6 +134,13 @@ def resample(docs: DataFrame, targets: DataFrame, share: float = SHARE) -> DataF
     return rows.select("doc_id", "n_grams", "log_weight", kept.alias("kept"))
 
 
+def good_share(labels: DataFrame) -> float:
+    """The share of labelled ids of good quality that are not toxic, as a sample size for resample(); 1 without labels."""
+    judged = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
+    got = judged.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("q = 1 and t = 0")).alias("good")).first()
+    return got["good"] / got["n"] if got["n"] else 1.0
+
+
 def op2_importance(spark, sf_dir: str) -> DataFrame:
     """Nine tenths of all documents drawn toward those labelled of good quality and not toxic."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")

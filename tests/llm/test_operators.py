@@ -94,6 +94,17 @@ def test_op2(spark, data_dir, docs):
     assert {i for i, r in got.items() if r["kept"]} == set(best)
 
 
+def test_op2_size_from_labels(spark):
+    rng = random.Random(2)
+    texts = [(i, " ".join(f"{'bad' if i % 10 < 3 else 'fine'}{rng.randrange(50)}" for _ in range(60))) for i in range(1000)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 > 0), int(i % 10 in (1, 2))) for i in range(500)], "doc_id long, quality int, toxic int")
+    share = importance.good_share(labels)
+    assert share == 0.7 and importance.good_share(labels.where("false")) == 1.0
+    kept = {r["doc_id"] for r in importance.resample(df, labels.where("quality = 1 and toxic = 0"), share).where("kept").collect()}
+    assert kept == {i for i in range(1000) if i % 10 >= 3}
+
+
 def test_radix_cut(spark):
     values = [5, -3, 5, 2**62, -(2**63), 2**63 - 1, 5, 0]
     df = spark.createDataFrame([(v,) for v in values], "v long")

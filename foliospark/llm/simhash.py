@@ -20,10 +20,9 @@ from collections.abc import Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm.words import mix
@@ -329,29 +328,142 @@ def wide_classes(distinct: DataFrame, similarity: float = 0.8, first: int = 8, h
     return now
 
 
-def _wide_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+SAMPLE = 10_000  # texts of which frequent shingles are counted
+FREQUENT = 65_536  # frequent shingles held
+MARK = 32  # words of 64 bits of a parity mark
+PROBES = 2
+REPRESENTATIVES = 4
+
+
+def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The distinct shingle hashes of one text, ascending; one fixed hash for a text without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    ends = list(accumulate(len(w) + 1 for w in words))
+    return np.unique(np.array([digest(joined[a : b - 1], 42) for a, b in zip([0, *ends], ends[shingle - 1 :], strict=False)] or [digest(joined, 42)], dtype=np.uint64).view(np.int64))
+
+
+def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, hashes) of texts (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(t.as_py(), shingle) for t in batch.column(1)], pa.binary())], names=["doc_id", "wide"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(t.as_py(), shingle) for t in batch.column(1)], pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, hashes array<long>")
+
+
+def _frequent(texts: DataFrame, rows: int, shingle: int) -> np.ndarray:
+    """The shingles found in three or more of about SAMPLE distinct texts, rarest first. They order shingles and decide nothing."""
+    some = texts.where(F.pmod(F.xxhash64("node"), F.lit(max(1, rows // SAMPLE))) == 0).dropDuplicates(["node"])
+    counts = _shingle_sets(some, shingle).select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    got = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
+    return got["h"].to_numpy(np.int64)[::-1]
 
-    return picked.mapInArrow(run, "doc_id long, wide binary").select("doc_id", "wide", F.xxhash64("wide").alias("fp"))
+
+def prefix_places(hashes: np.ndarray, ranks: np.ndarray, similarity: float) -> np.ndarray:
+    """Places of the first shingles by (rank, hash). Two sets of the similarity share one of these, as any order of all shingles would do."""
+    return np.lexsort((hashes, ranks))[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1]
+
+
+def parity_mark(hashes: np.ndarray) -> np.ndarray:
+    """MARK words whose bit j is the parity of the hashes that fall on j. Two marks differ in no more bits than their sets in hashes."""
+    at = (hashes.view(np.uint64) % np.uint64(64 * MARK)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=64 * MARK) & 1, bitorder="little").view(np.int64)
+
+
+def _prefixes(texts: DataFrame, frequent: np.ndarray, shingle: int, similarity: float) -> DataFrame:
+    """(node, size, mark, prefix) of texts (node, text): the number of shingles, their parity mark and the first ones, rare before frequent."""
+    order = np.argsort(frequent)
+    known = frequent[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                sizes, marks, prefixes = [], [], []
+                for t in batch.column(1):
+                    h = shingle_hashes(t.as_py(), shingle)
+                    ranks = np.zeros(len(h), np.int64)
+                    if len(known):
+                        found = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                        ranks = np.where(known[found] == h, order[found] + 1, 0)
+                    sizes.append(len(h))
+                    marks.append(parity_mark(h))
+                    prefixes.append(h[prefix_places(h, ranks, similarity)])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(marks, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))], names=["node", "size", "mark", "prefix"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, size int, mark array<long>, prefix array<long>")
+
+
+def _candidates(shared: DataFrame, similarity: float, probe: int | None) -> DataFrame:
+    """Distinct pairs (u, v, ru, rv) of nodes not yet joined that share a key and may have the similarity by sizes and places.
+
+    With a probe, only pairs of a few representatives of each key with its other nodes; without, all pairs:
+    one node of such a pair lies outside of the class most frequent at the key.
+    """
+    if probe is not None:
+        picks = [F.min_by(F.struct("node", "size", "pos", "root"), F.xxhash64("node", F.lit(REPRESENTATIVES * probe + i))) for i in range(REPRESENTATIVES)]
+        left = shared.groupBy("key").agg(F.array_distinct(F.array(*picks)).alias("x")).select("key", F.explode("x").alias("x"))
+        left = left.select("key", F.col("x.node").alias("a"), F.col("x.size").alias("sa"), F.col("x.pos").alias("pa"), F.col("x.root").alias("ra"))
+    else:
+        most = shared.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
+        left = shared.join(most, "key").where("root <> most").select("key", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("pos").alias("pa"), F.col("root").alias("ra"))
+    able = F.least(F.col("sa") - F.col("pa"), F.col("size") - F.col("pos")) * (1 + similarity) >= (F.col("sa") + F.col("size")) * similarity - 1e-6
+    pairs = left.join(shared, "key").where((F.col("ra") != F.col("root")) & able)
+    first = F.col("a") < F.col("node")
+    return pairs.select(F.least("a", "node").alias("u"), F.greatest("a", "node").alias("v"), F.when(first, F.col("ra")).otherwise(F.col("root")).alias("ru"), F.when(first, F.col("root")).otherwise(F.col("ra")).alias("rv")).distinct()
+
+
+def similar_classes(texts: DataFrame, rows: int, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(node, root) of every node that may have a near-duplicate: root is one node of its class.
+
+    texts (node, text) may repeat a node with its text. Classes are the closure of all pairs whose sets of
+    shingles have at least the similarity (Jaccard): such sets share one of their first shingles in any one
+    order of all shingles, so pairs are sought by these, rare shingles first. Pairs whose parity marks differ
+    in more bits than sets of the similarity do are dropped; the whole sets decide on the others. A few
+    representatives of a key are compared first, so a dense class is joined before all pairs are.
+    """
+    found = _prefixes(texts, _frequent(texts, rows, shingle), shingle, similarity).groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "mark", "prefix")])
+    found = stage(found, "prefixes")
+    keyed = found.select("node", "size", F.posexplode("prefix").alias("pos", "key"))
+    at = Window.partitionBy("key")
+    shared = stage(keyed.withColumn("n", F.count(F.lit(1)).over(at)).where("n > 1").drop("n"), "shared")
+    roots = stage(shared.select("node").distinct().withColumn("root", F.col("node")), "classes")
+    marks = found.select("node", "size", "mark")
+    apart = sum((F.bit_count(F.col("mu")[i].bitwiseXOR(F.col("mv")[i])) for i in range(MARK)), F.lit(0))
+    for probe in (*range(PROBES), None):
+        pairs = _candidates(shared.join(roots, "node"), similarity, probe)
+        marked = pairs.join(marks.toDF("u", "nu", "mu"), "u").join(marks.toDF("v", "nv", "mv"), "v")
+        pairs = stage(marked.where(apart * (1 + similarity) <= (F.col("nu") + F.col("nv")) * (1 - similarity) + 1e-6).select("u", "v", "ru", "rv"), "pairs")
+        nodes = stage(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "nodes")
+        sets = stage(_shingle_sets(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]), shingle), "sets")
+        both = pairs.join(sets.toDF("u", "hu"), "u").join(sets.toDF("v", "hv"), "v")
+        same = F.size(F.array_intersect("hu", "hv")) * (1 + similarity) >= (F.size("hu") + F.size("hv")) * similarity - 1e-6
+        joined = connected_components(both.where(same).select(F.col("ru").alias("u"), F.col("rv").alias("v")))
+        discard(pairs, nodes, sets)
+        joined = joined.select(F.col("node").alias("root"), F.col("root").alias("least"))
+        roots = stage(roots.join(joined, "root", "left").select("node", F.coalesce("least", "root").alias("root")), "classes")
+    discard(shared, found)
+    return roots
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without near-duplicates: of each class the row with the least doc_id (a null id only where no other is).
 
-    Texts are near-duplicates from about the given Jaccard similarity of their word shingles on, which in 64
-    bits would differ in too many to tell or to find by exact blocks. So fingerprints have 512 bits, blocks
-    are sampled bits, as many as find a pair at the similarity with probability RECALL, and the Hamming
-    distance over all bits decides. Where several rows of the class share the least doc_id, the one with the
-    least fingerprint hash stays, and of equal ones any one. All columns of docs are returned, and no others.
+    Texts are near-duplicates if the Jaccard similarity of their sets of word shingles is the given one or
+    more; a class is the closure of that. Every such pair is found and no other, but for chance equality of
+    64-bit hashes. Where several rows of the class share the least doc_id, the one with the least text hash
+    stays, and of equal ones any one. All columns of docs are returned, and no others.
     """
-    fps = stage(_wide_fingerprints(docs, shingle), "simhash")
+    text = F.col("text").cast("string")
+    fps = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("fp")), "texts")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("b")
-    distinct = stage(fps.groupBy("fp").agg(first, F.first("wide").alias("wide")), "fingerprints")
-    best = wide_classes(distinct, similarity).groupBy("class_fp").agg(F.min("b").alias("b"))
+    distinct = stage(fps.groupBy("fp").agg(first), "distinct")
+    classes = similar_classes(docs.select(F.xxhash64(text).alias("node"), text.alias("text")), fps.count(), shingle, similarity)
+    best = distinct.join(classes.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("class_fp")).agg(F.min("b").alias("b"))
     best = stage(best.select(F.col("b.doc_id").alias("__fs_id"), F.col("b.fp").alias("__fs_fp")), "keepers")
     rows = fps.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__fs_rows")).where("__fs_rows > 1").select(F.col("doc_id").alias("__fs_twice"))
     twice = best.join(rows, F.col("__fs_id").eqNullSafe(F.col("__fs_twice")), "left_semi")
@@ -359,12 +471,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     plain = docs.join(once, F.col("doc_id").eqNullSafe(F.col("__fs_id")), "left_semi")
     repeated = docs.join(twice.select("__fs_id").distinct(), F.col("doc_id").eqNullSafe(F.col("__fs_id")), "left_semi")
     packed = stage(repeated.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__fs_row")), "repeats")
-
-    @F.pandas_udf("binary")
-    def wide(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: wide_fingerprint(t, shingle))
-
-    marked = packed.select("__fs_row", F.col("__fs_row.doc_id").alias("__fs_rid"), F.xxhash64(wide(F.col("__fs_row.text"))).alias("__fs_rfp"))
+    marked = packed.select("__fs_row", F.col("__fs_row.doc_id").alias("__fs_rid"), F.xxhash64(F.col("__fs_row.text").cast("string")).alias("__fs_rfp"))
     marked = marked.join(twice, F.col("__fs_rid").eqNullSafe(F.col("__fs_id")) & (F.col("__fs_rfp") == F.col("__fs_fp")))
     single = marked.groupBy("__fs_rid", "__fs_rfp").agg(F.first("__fs_row").alias("__fs_row")).select("__fs_row.*")
     return plain.unionByName(single)

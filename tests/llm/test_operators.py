@@ -305,6 +305,25 @@ def test_keep_one_by_similarity(spark):
     assert found[0] == found[1]
 
 
+def test_keep_one_is_exact(spark):
+    rng = random.Random(80)
+    texts = {}
+    for i in range(150):  # pairs on both sides of 0.8, and some chains
+        w = [f"w{rng.randrange(9000)}" for _ in range(rng.randint(8, 300))]
+        texts[i] = " ".join(w)
+        for k in (1, 2):
+            runs = max(1, round(len(w) * 0.02 * rng.random() * k))
+            for _ in range(runs):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(9999)}"
+            texts[1000 * k + i] = " ".join(w)
+    sets = {i: shingles(t) for i, t in texts.items()}
+    close = [len(sets[i % 1000] & sets[i]) / len(sets[i % 1000] | sets[i]) for i in sets if i >= 1000]
+    assert sum(0.8 <= j < 0.85 for j in close) > 10 and sum(0.7 <= j < 0.8 for j in close) > 10
+    want = {i for i, c in jaccard_classes(texts, texts, 0.8).items() if c == i}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.keep_one(df).collect()} == want
+
+
 def test_op7(spark, data_dir, docs):
     fps = {i: slow_fingerprint(t) for i, t in docs.items()}
     want = slow_classes(fps)

@@ -24,11 +24,11 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Encoder:
-    """encode(text) gives the ids that the tokenizer file gives without special tokens.
+    """encode(text) gives the ids of Tokenizer.encode(text, add_special_tokens=False).
 
     The ranks are read from the file and run by tiktoken, whose ids are the same and come several times
-    faster; a text that its pattern engine refuses goes to the tokenizers library itself. The strings of
-    special tokens are ordinary text.
+    faster. A text that its pattern engine refuses, or that holds the string of one of the file's added
+    tokens (one id there, and a place where the tokenizer parts a text), goes to the tokenizers library itself.
     """
 
     def __init__(self, path: str) -> None:
@@ -39,13 +39,16 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = _byte_letters()
-        special = {x["id"] for x in spec.get("added_tokens", [])}
+        added = spec.get("added_tokens") or []
+        special = {x["id"] for x in added}
+        self._added = tuple(x["content"] for x in added)
         ranks = {bytes(letters[c] for c in word): i for word, i in spec["model"]["vocab"].items() if i not in special}
         self._fast = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._slow = Tokenizer.from_file(path)
-        self._slow.encode_special_tokens = True
 
     def encode(self, text: str) -> list[int]:
+        if any(x in text for x in self._added):
+            return self._slow.encode(text, add_special_tokens=False).ids
         try:
             return self._fast.encode_ordinary(text)
         except (KeyboardInterrupt, SystemExit, MemoryError):

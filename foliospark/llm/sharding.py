@@ -3,8 +3,9 @@
 Rows of equal text are one group. A group whose share of bytes, tokens or rows exceeds 1/ATOMS is an item
 of its own; all other groups fall into ATOMS atoms by their hash, so the driver packs at most 4 x ATOMS
 items whatever the input. Items go, largest first, to the shard where the dot product of the item with the
-residual capacities is highest, among the shards whose byte capacity holds it. A group larger than a
-shard's capacity cannot stay whole: its rows are dealt over pieces of at most half a shard. Slots are
+residual capacities is highest, among the shards whose capacities of bytes, tokens and rows all hold it; where
+none does, among those that stay within SLACK of equal bytes, to the one that goes least over its tokens and
+rows. So bytes keep the law. A group larger than a shard's capacity cannot stay whole: its rows are dealt over pieces of at most half a shard. Slots are
 numbered within (input partition, shard) and offset by the counts of the partitions before, so no task
 sees a whole shard.
 
@@ -28,13 +29,19 @@ SLACK = 0.002
 
 def place(items: np.ndarray, shards: int, slack: float = SLACK) -> np.ndarray:
     """The shard of each item; items are rows of non-negative shares of the totals (bytes first)."""
+    spare = slack / shards
     left = np.full((shards, items.shape[1]), 1.0 / shards)
     out = np.zeros(len(items), np.int64)
     for i in np.lexsort((np.arange(len(items)), -items.max(axis=1, initial=0.0))):
         item = items[i]
-        fits = left[:, 0] + slack / shards >= item[0]
-        score = left @ item
-        k = int(np.argmax(np.where(fits, score, -np.inf))) if fits.any() else int(np.argmax(left[:, 0]))
+        after = left + spare - item
+        fits = (after >= 0).all(axis=1)
+        if fits.any():
+            k = int(np.argmax(np.where(fits, left @ item, -np.inf)))
+        elif (after[:, 0] >= 0).any():
+            k = int(np.argmax(np.where(after[:, 0] >= 0, after[:, 1:].min(axis=1), -np.inf)))
+        else:
+            k = int(np.argmax(left[:, 0]))
         out[i] = k
         left[k] -= item
     return out

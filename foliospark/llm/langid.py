@@ -6,9 +6,8 @@ from spherical k-means, so that a language of several styles is not one blurred
 language of the centroid of highest cosine; it is rejected if that cosine is under the language's threshold,
 the QUANTILE of its own training rows' cosines.
 
-Fitting takes at most SAMPLE labelled rows, evenly from all languages: those of the least id hashes (and at
-most twice SAMPLE candidates). Their
-vectors are made on the executors; the driver holds at most SAMPLE x BUCKETS numbers. Predictions are made
+Fitting takes at most SAMPLE labelled rows, evenly from all languages: those of the least hashes of id and
+text, equal rows counting once. Their vectors are made on the executors; the driver holds at most SAMPLE x BUCKETS numbers. Predictions are made
 for every whole text, map-side, without a shuffle.
 
 Edge cases. A null text, or one without a letter, is `und` at score 0. A null language is not learned from;
@@ -121,16 +120,17 @@ def fit(rows: list[tuple[str, np.ndarray]], centroids: int = CENTROIDS, quantile
 def learn(labelled: DataFrame, sample: int = SAMPLE, per_language: int = PER_LANGUAGE) -> Model:
     """The model of labelled rows (id, lang, text), of which at most `sample`, evenly by language, are read.
 
-    A row is a candidate if the hash of its id is under its language's share, which lets about a quarter more
-    rows through than wanted; of these the driver keeps the least hashes. No window sees a whole language.
+    A row is a candidate if the hash of its id and text is under its language's share, which lets about a quarter
+    more rows through than wanted; equal rows are one candidate, so neither null ids nor one repeated row can fill
+    the sample. Of the candidates the driver keeps the least hashes. No window sees a whole language.
     """
     spark = labelled.sparkSession
     known = labelled.where("lang is not null and text is not null")
     sizes = sorted(((r["n"], r["lang"]) for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()), key=lambda x: x[1])
     each = max(1, min(per_language, sample // max(1, len(sizes))))
     shares = spark.createDataFrame([(lang, min(1 << 30, ((each * 5 // 4 + 32) << 30) // n + 1)) for n, lang in sizes], "picked_lang string, most long")
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    rows = known.join(F.broadcast(shares), F.col("lang") == F.col("picked_lang")).where(place < F.col("most")).select("lang", "text", place.alias("place"))
+    place = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))
+    rows = known.join(F.broadcast(shares), F.col("lang") == F.col("picked_lang")).where(place < F.col("most")).select("lang", "text", place.alias("place")).dropDuplicates(["lang", "place"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,7 +139,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, per_language: int = PER_LAN
                 counts = gram_counts(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), batch.column(2).slice(at, len(texts)), pa.array([c.tobytes() for c in counts], pa.binary())], names=["lang", "place", "counts"])
 
-    got = rows.mapInArrow(run, "lang string, place long, counts binary").limit(2 * sample).collect()
+    got = rows.mapInArrow(run, "lang string, place long, counts binary").collect()  # about 1.25 x sample rows, by the shares
     kept: dict[str, list[np.ndarray]] = {}
     for r in sorted(got, key=lambda r: (r["lang"], r["place"], r["counts"])):
         own = kept.setdefault(r["lang"], [])

@@ -4,6 +4,7 @@ Two generative models count hashed word 1- and 2-grams in BUCKETS places: of all
 labelled good (target). A text's log importance weight is the sum over its n-grams of the log ratio of
 target to raw. The sample without replacement in proportion to the weights is the k texts of highest
 log weight plus Gumbel noise, k being `share` of the rows; the noise is a hash of the id, so a run repeats.
+The query takes the share that the labels give: that of labelled ids which are good and not toxic.
 
 The raw model counts every text. The target model counts at most TARGETS labelled texts, those of the least
 id hashes, whose ids are broadcast. The driver holds BUCKETS rows of counts. The k-th key is found exactly
@@ -33,7 +34,7 @@ from foliospark.sources import table
 
 BUCKETS = 1 << 16
 TARGETS = 20_000
-SHARE = 0.9
+SHARE = 0.9  # of resample() where the caller names none
 _PAIR = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -142,7 +143,7 @@ def good_share(labels: DataFrame) -> float:
 
 
 def op2_importance(spark, sf_dir: str) -> DataFrame:
-    """Nine tenths of all documents drawn toward those labelled of good quality and not toxic."""
+    """As large a share of all documents as the labels call good and not toxic, drawn toward those."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 and t = 0").select("doc_id")
-    return resample(docs, good)
+    return resample(docs, good, good_share(labels))

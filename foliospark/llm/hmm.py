@@ -6,12 +6,13 @@ the emission table is bounded whatever the vocabulary; within its class a word h
 scaled forward recursion over the whole text, times the shares of its words.
 
 Training makes ROUNDS passes over all training rows. Every task sums expected counts and sends at most
-CLASSES rows; Spark adds them up and the driver holds one table of CLASSES x STATES. For expected counts
-only, a text longer than SEGMENT tokens is cut into segments, each token in one; scoring cuts nothing.
+CLASSES rows; Spark adds them up and the driver holds one table of CLASSES x STATES. Work is done by segments
+of SEGMENT tokens, so that long texts are as quick as short ones; the forward and backward vectors are carried
+over the cuts, so counts and scores are those of whole texts.
 
 Word counts never leave the cluster: the words of the highest counts (at most FREQUENT of them) are
-broadcast, and the other words of a text are joined to the count table, which also keeps common words out
-of the join. Two words of one hash would count as one; among V words that is expected V^2 / 2^65 times.
+broadcast, and the other words of a text, each once with its number, are joined to the count table, which also
+keeps common words out of the join. Two words of one hash would count as one; among V words that is expected V^2 / 2^65 times.
 
 Edge cases. A null or blank text is the end alone. A row with a null id is a training row, as its
 checksum is none. Repeated rows count and are scored each. Without training rows the counts are zero and
@@ -36,7 +37,7 @@ from foliospark.sources import table
 STATES = 6
 CLASSES = 1 << 16
 ROUNDS = 3
-SEGMENT = 1024
+SEGMENT = 2048
 FREQUENT = 1 << 18
 END = np.uint64(0xA24BAED4963EE407)
 STAY = 0.98
@@ -110,15 +111,67 @@ def no_sums(model: Model) -> Sums:
     return Sums(np.zeros_like(model.start, dtype=float), np.zeros_like(model.move, dtype=float), np.zeros(model.emit.shape), np.zeros(1))
 
 
-def expect(model: Model, tokens: np.ndarray, bounds: np.ndarray, sums: Sums) -> None:
-    """Add the expected counts of the class sequences, cut into segments, to sums."""
+def _carried(model: Model, tokens: np.ndarray, begin: np.ndarray, size: np.ndarray, nth: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(state shares before each segment, backward vector at each segment's last token) for segments in text order.
+
+    Every segment but a text's first becomes the matrix of its tokens, states x states, by one forward pass from
+    each state; chaining those along a text gives the exact vectors at the cuts. Ends of texts have backward ones.
+    """
+    k, n = len(model.start), len(begin)
+    before, after = np.zeros((n, k)), np.ones((n, k))
+    inner = np.flatnonzero(~last)  # a text's last segment sends nothing on
+    order, first, alive = _by_step(begin[inner], size[inner])
+    head = nth[inner][order] == 0
+    a = np.where(head[:, None, None], model.start, np.eye(k))  # of a head, all rows are alike
+    logs = np.zeros((len(inner), k))
+    for t, m in enumerate(alive):
+        step = a[:m] @ model.move
+        if t == 0:
+            step[head] = a[head]
+        step *= model.emit[tokens[first[:m] + t]][:, None, :]
+        scale = step.sum(axis=2)
+        a[:m] = step / scale[:, :, None]
+        logs[:m] += np.log(scale)
+    matrix = np.empty_like(a)
+    matrix[order] = a * np.exp(logs - logs.max(axis=1, keepdims=True))[:, :, None]
+    row = dict(zip(inner.tolist(), range(len(inner)), strict=True))
+    for i in inner.tolist():
+        m = matrix[row[i]]
+        v = m[0] if nth[i] == 0 else before[i] @ m
+        before[i + 1] = v / v.sum()
+    for i in inner[::-1].tolist():
+        if not last[i + 1]:
+            v = matrix[row[i + 1]] @ after[i + 1]
+        else:
+            v = _backward(model, tokens[begin[i + 1] : begin[i + 1] + size[i + 1]])
+        after[i] = v / (before[i + 1] @ v)
+    return before, after
+
+
+def _backward(model: Model, tokens: np.ndarray) -> np.ndarray:
+    """The backward vector, up to its scale, before the given tokens of one text's end."""
+    v = np.ones(len(model.start))
+    for x in tokens[::-1]:
+        v = model.move @ (model.emit[x] * v)
+        v /= v.max()
+    return v
+
+
+def expect(model: Model, tokens: np.ndarray, bounds: np.ndarray, sums: Sums, segment: int = SEGMENT) -> None:
+    """Add the expected counts of the class sequences to sums.
+
+    The unit of work is a segment of a sequence; the vectors at both of its cuts are those of the whole
+    sequence, so the counts are those of forward and backward passes over it uncut.
+    """
     sizes = np.diff(bounds)
-    cuts = -(-sizes // SEGMENT)
+    cuts = -(-sizes // segment)
     owner = np.repeat(np.arange(len(sizes)), cuts)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-    begin = bounds[:-1][owner] + nth * SEGMENT
-    order, begin, alive = _by_step(begin, np.minimum(SEGMENT, bounds[1:][owner] - begin))
-    first = nth[order] == 0
+    begin = bounds[:-1][owner] + nth * segment
+    size, last = np.minimum(segment, bounds[1:][owner] - begin), nth == cuts[owner] - 1
+    before, after = _carried(model, tokens, begin, size, nth, last)
+    order, begin, alive = _by_step(begin, size)
+    first, before, after = nth[order] == 0, before[order].astype(np.float32), after[order].astype(np.float32)
     at = np.concatenate([[0], np.cumsum(alive)])
     emit, move = model.emit.astype(np.float32), model.move.astype(np.float32)
     back = np.ascontiguousarray(move.T)
@@ -129,25 +182,25 @@ def expect(model: Model, tokens: np.ndarray, bounds: np.ndarray, sums: Sums) ->
         seen = laid[at[t] : at[t + 1]]
         seen[:] = tokens[begin[:n] + t]
         a = emit[seen]
-        a *= model.start.astype(np.float32) if t == 0 else post[at[t - 1] : at[t - 1] + n] @ move
+        a *= np.where(first[:, None], model.start.astype(np.float32), before @ move) if t == 0 else post[at[t - 1] : at[t - 1] + n] @ move
         scale = a.sum(axis=1)
         a /= scale[:, None]
         post[at[t] : at[t + 1]], scales[at[t] : at[t + 1]] = a, scale
     sums.log[0] += float(np.log(scales.astype(float)).sum())
-    later = np.zeros((0, len(model.start)), np.float32)
+    toward = np.zeros((0, len(model.start)), np.float32)
     joint = np.zeros(model.move.shape)
     for t in range(len(alive) - 1, -1, -1):
-        n, m = alive[t], len(later)
-        ahead = np.ones((n, len(model.start)), np.float32)
+        n, m = alive[t], len(toward)
+        ahead = after[:n].copy()
         if m:
-            toward = emit[laid[at[t + 1] : at[t + 2]]] * later / scales[at[t + 1] : at[t + 2], None]
             joint += post[at[t] : at[t] + m].T @ toward
             ahead[:m] = toward @ back
+        toward = emit[laid[at[t] : at[t + 1]]] * ahead / scales[at[t] : at[t + 1], None]
         post[at[t] : at[t + 1]] *= ahead
-        later = ahead
-    sums.move[:] += joint * model.move
     if len(alive):
+        joint += before[~first].T @ toward[~first]
         sums.start[:] += post[: at[1]][first].sum(axis=0)
+    sums.move[:] += joint * model.move
     for k in range(len(model.start)):
         sums.emit[:, k] += np.bincount(laid, post[:, k], len(model.emit))
 
@@ -223,7 +276,7 @@ def _frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], c[order]
 
 
-def score(docs: DataFrame, held_out: F.Column, states: int = STATES, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out: F.Column, states: int = STATES, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs.
 
     Rows where held_out is true take no part in training. Scores are log10.
@@ -243,11 +296,11 @@ def score(docs: DataFrame, held_out: F.Column, states: int = STATES, rounds: int
     model = initial(share, states)
     for _ in range(rounds):
         model = maximise(_train_pass(training, model), share, doubt)
-    common, common_counts = _frequent(counts, FREQUENT)
+    common, common_counts = _frequent(counts, frequent)
     common_class = classes_of(common, classes)
     base_of = np.log10((common_counts + 1) / (n + v + 1))
     own_of = np.log10((common_counts + 1) / (tokens_of + words_of + 1)[common_class])
-    schema = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, own double, chain double, rest array<long>"
+    schema = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, own double, chain double, rest array<long>, times array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 36
@@ -258,17 +311,23 @@ def score(docs: DataFrame, held_out: F.Column, states: int = STATES, rounds: int
             hit = common[at] == h if len(common) else np.zeros(len(h), dtype=bool)
             sums = [np.add.reduceat(np.where(hit, table[at], 0.0) if len(common) else np.zeros(len(h)), bounds[:-1]) for table in (base_of, own_of)]
             known = np.add.reduceat(hit.astype(np.int64), bounds[:-1])
-            left = h[~hit].view(np.int64)
-            ends = np.concatenate([[0], np.cumsum(np.diff(bounds) - known)]).astype(np.int32)
             m = batch.num_rows
+            left, text = h[~hit].view(np.int64), np.repeat(np.arange(m), np.diff(bounds) - known)
+            order = np.lexsort((left, text))
+            left, text = left[order], text[order]
+            new = np.ones(len(left), dtype=bool)
+            new[1:] = (left[1:] != left[:-1]) | (text[1:] != text[:-1])
+            places = np.flatnonzero(new)
+            times = np.diff(np.append(places, len(left))).astype(np.int32)
+            left, ends = left[places], np.searchsorted(text[places], np.arange(m + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(uid, uid + m)), batch.column(0), batch.column(1), pa.array(np.diff(bounds)), pa.array(known), *map(pa.array, sums), pa.array(chain), pa.ListArray.from_arrays(pa.array(ends), pa.array(left))],
+                [pa.array(np.arange(uid, uid + m)), batch.column(0), batch.column(1), pa.array(np.diff(bounds)), pa.array(known), *map(pa.array, sums), pa.array(chain), *(pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (left, times))],
                 names=[x.split()[0] for x in schema.split(", ")],
             )
             uid += m
 
     scored = stage(rows.select(F.col("doc_id").cast("long"), "held_out", "text").mapInArrow(run, schema), "scored")
-    rare = scored.where(F.size("rest") > 0).select("uid", F.explode("rest").alias("h"))
+    rare = scored.where(F.size("rest") > 0).select("uid", F.inline(F.arrays_zip(F.col("rest").alias("h"), F.col("times").alias("times"))))
     c1 = F.coalesce("c", F.lit(0)) + 1
     valued = (
         rare.join(counts, "h", "left")
@@ -276,15 +335,15 @@ def score(docs: DataFrame, held_out: F.Column, states: int = STATES, rounds: int
         .join(F.broadcast(per_class), "k", "left")  # at most CLASSES rows
         .select(
             "uid",
-            F.log10(c1 / F.lit(float(n + v + 1))).alias("b"),
-            F.log10(c1 / (F.coalesce("kc", F.lit(0)) + F.coalesce("kv", F.lit(0)) + 1)).alias("o"),
-            F.when(c1 > 1, 1).otherwise(0).alias("w"),
+            (F.col("times") * F.log10(c1 / F.lit(float(n + v + 1)))).alias("b"),
+            (F.col("times") * F.log10(c1 / (F.coalesce("kc", F.lit(0)) + F.coalesce("kv", F.lit(0)) + 1))).alias("o"),
+            F.when(c1 > 1, F.col("times")).otherwise(0).alias("w"),
         )
         .groupBy("uid").agg(F.sum("b").alias("b"), F.sum("o").alias("o"), F.sum("w").alias("w"))
     )
     zero = F.lit(0.0)
     return (
-        scored.drop("rest").join(valued, "uid", "left")
+        scored.drop("rest", "times").join(valued, "uid", "left")
         .select(
             F.col("doc_id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("w", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
             (F.col("base") + F.coalesce("b", zero)).alias("base_score"), (F.col("chain") + F.col("own") + F.coalesce("o", zero)).alias("score"),

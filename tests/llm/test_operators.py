@@ -76,7 +76,8 @@ def test_op1_cascade_order(spark):
 
 def test_op2(spark, data_dir, docs):
     got = {r["doc_id"]: r for r in rows(spark, data_dir, "op2_importance")}
-    assert set(got) == set(docs) and sum(r["kept"] for r in got.values()) == math.ceil(importance.SHARE * len(docs))
+    ((share,),) = duckdb.sql(f"SELECT avg((q = 1 AND t = 0)::INT) FROM (SELECT min(quality) AS q, max(toxic) AS t FROM '{data_dir}/labels.parquet' GROUP BY doc_id)").fetchall()
+    assert set(got) == set(docs) and sum(r["kept"] for r in got.values()) == math.ceil(share * len(docs))
     good = {i for (i,) in duckdb.sql(f"SELECT doc_id FROM '{data_dir}/labels.parquet' GROUP BY 1 HAVING min(quality) = 1 AND max(toxic) = 0").fetchall()}
     raw, target = np.ones(importance.BUCKETS), np.ones(importance.BUCKETS)
     for i, t in docs.items():
@@ -90,7 +91,7 @@ def test_op2(spark, data_dir, docs):
         at, _, n = importance.grams(pa.array([t]))
         assert got[i]["n_grams"] == n[0] and got[i]["log_weight"] == pytest.approx(ratio[at].sum(), abs=1e-6)
         keys[i] = ratio[at].sum() + importance.gumbel(np.array([i], np.int64).view(np.uint64))[0]
-    best = sorted(keys, key=keys.get, reverse=True)[: math.ceil(importance.SHARE * len(docs))]
+    best = sorted(keys, key=keys.get, reverse=True)[: math.ceil(share * len(docs))]
     assert {i for i, r in got.items() if r["kept"]} == set(best)
 
 
@@ -212,9 +213,72 @@ def test_op5_recursions_against_paths():
         logs.append(math.log(total))
         start, move, emit = start + st / total, move + mv / total, emit + em / total
     assert np.allclose(hmm.log_likelihood(m, toks, bounds), logs)
-    sums = hmm.no_sums(m)
-    hmm.expect(m, toks, bounds, sums)
-    assert np.allclose(sums.start, start, atol=1e-4) and np.allclose(sums.move, move, atol=1e-4) and np.allclose(sums.emit, emit, atol=1e-4)
+    for segment in (1, 2, 3, 100):  # cuts lose nothing
+        sums = hmm.no_sums(m)
+        hmm.expect(m, toks, bounds, sums, segment)
+        assert np.allclose(sums.start, start, atol=1e-4) and np.allclose(sums.move, move, atol=1e-4) and np.allclose(sums.emit, emit, atol=1e-4)
+        assert sums.log[0] == pytest.approx(sum(logs), abs=1e-3)
+    long = rng.integers(0, c, 20_000)
+    found = []
+    for segment in (512, 30_000):
+        sums = hmm.no_sums(m)
+        hmm.expect(m, long, np.array([0, len(long)]), sums, segment)
+        found.append(sums)
+    assert all(np.allclose(x, y, rtol=1e-3, atol=1e-2) for x, y in zip(*found, strict=True))
+
+
+def plain_hmm(docs, train, states, rounds):
+    """The model by loops over single tokens of plain word lists; classes and hashes are the module's own."""
+    seqs = {i: [int(h) for h in hmm.with_ends(pa.array([t]))[0]] for i, t in docs.items()}
+    counts = collections.Counter(h for i in train for h in seqs[i])
+    classes = hmm.classes_for(len(counts))
+    of = {h: h % classes for s in seqs.values() for h in s}
+    kc, kv = np.zeros(classes), np.zeros(classes)
+    for h, n in counts.items():
+        kc[of[h]] += n
+        kv[of[h]] += 1
+    n, v = kc.sum(), kv.sum()
+    share, doubt = (kc + kv + 1) / (n + v + classes), (v + 1) / (n + v + 1)
+    m = hmm.initial(share, states)
+
+    def forward(s):
+        rows, scales, a = [], [], None
+        for h in s:
+            a = (m.start if a is None else a @ m.move) * m.emit[of[h]]
+            scales.append(a.sum())
+            a = a / scales[-1]
+            rows.append(a)
+        return rows, scales
+
+    for _ in range(rounds):
+        start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((classes, states))
+        for i in train:
+            rows, scales = forward(seqs[i])
+            b = np.ones(states)
+            for t in range(len(rows) - 1, -1, -1):
+                emit[of[seqs[i][t]]] += rows[t] * b
+                if t:
+                    e = m.emit[of[seqs[i][t]]] * b / scales[t]
+                    move += np.outer(rows[t - 1], e) * m.move
+                    b = m.move @ e
+                else:
+                    start += rows[0] * b
+        emit = (1 - doubt) * emit / emit.sum(axis=0) + doubt * share[:, None]
+        move, start = move + 1.0, start + 1.0
+        m = hmm.Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+    own = lambda h: math.log10((counts.get(h, 0) + 1) / (kc[of[h]] + kv[of[h]] + 1))
+    return {i: sum(map(math.log10, forward(s)[1])) + sum(map(own, s)) for i, s in seqs.items()}
+
+
+def test_op5_scores_against_a_plain_model(spark):
+    rng = random.Random(6)
+    topics = [[f"{t}{k}" for k in range(60)] for t in "xyz"]
+    docs = {i: " ".join(rng.choice(topics[i % 3]) for _ in range(rng.randint(0, 90))) for i in range(40)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    want = plain_hmm(docs, [i for i in docs if i % 5], 3, 2)
+    for frequent in (hmm.FREQUENT, 20):  # with and without words of the join
+        got = hmm.score(df, F.col("doc_id") % 5 == 0, states=3, rounds=2, frequent=frequent).collect()
+        assert all(r["score"] == pytest.approx(want[r["doc_id"]], rel=2e-4, abs=2e-3) for r in got) and len(got) == 40
 
 
 def test_op6(spark, data_dir):
@@ -414,6 +478,16 @@ def test_op9(spark, data_dir, docs):
     assert used >= 0.98 * 2048 * (len(places) - 8)  # one part-filled sequence a task
 
 
+def test_op9_special_tokens():
+    from tokenizers import Tokenizer
+
+    path = tokens.default_path()
+    slow, fast = Tokenizer.from_file(path), tokens.encoder(path)
+    for text in ("hello <|endoftext|> world", "<|endoftext|><|endoftext|>", "a<|endoftext|>b", "<|endoftext|", "plain"):
+        assert fast.encode(text) == slow.encode(text, add_special_tokens=False).ids, text
+    assert fast.encode("a <|endoftext|>").count(50256) == 1
+
+
 def test_op9_limits():
     limits = packing.Limits(100, 4, 50)
     rng = np.random.default_rng(2)
@@ -484,6 +558,42 @@ def test_op10_recall_on_edited_passages():
     assert sum((k, k) in found for k in range(60)) >= 57 and all(a == b for a, b in found)
 
 
+def test_op10_short_items_and_blocks(spark):
+    rng = random.Random(14)
+    vocabulary = [f"w{i}" for i in range(40)]
+    items = {i: " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 7))) for i in range(60)}
+    items |= {100 + i: items[i] for i in range(10)} | {200: "...", 201: None}
+    texts = {i: " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 60))) for i in range(60)}
+    want = set()
+    for i, t in texts.items():
+        for k, item in items.items():
+            x = norm_words(item)
+            if x and (edits := slow_edits(x, norm_words(t))) <= int(0.2 * len(x)):
+                want.add((i, k, edits, len(x)))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    for block in (20_000, 25):
+        got = [tuple(r) for r in decontaminate.contaminations(df, bench, block).collect()]
+        assert len(got) == len(set(got)) and {g for g in got if g[3] < 5} == {w for w in want if w[3] < 5}
+        assert len(want - set(got)) <= 0.01 * len(want) and set(got) <= want
+        kept = {r["doc_id"] for r in decontaminate.drop_contaminated(df, bench, block).collect()}
+        assert kept == set(texts) - {g[0] for g in got}
+
+
+def test_op10_without_enough_walks():
+    rng = random.Random(15)
+    items = [" ".join(f"w{rng.randrange(3000)}" for _ in range(30)) for _ in range(20)]
+    index = decontaminate.build(list(range(20)), items, most=0)
+    assert index.walks == 0
+    texts = []
+    for item in items:
+        w = item.split()
+        for at in rng.sample(range(30), 6):
+            w[at] = "other"
+        texts.append(" ".join(["before", *w, "after"]))
+    assert {(r, i) for r, i, _, _ in decontaminate.search(index, pa.array(texts))} == {(k, k) for k in range(20)}
+
+
 def test_pipeline(spark, data_dir, docs):
     import corpus_pipeline
 

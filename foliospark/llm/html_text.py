@@ -1,23 +1,28 @@
 """Main text of web pages by scoring the tree: paragraphs pass points up, links discount, the best container stays.
 
-A page becomes a tree of elements and text blocks. Every block of some length gives its points (one, and
-more for length and commas) to its parent in full, to its grandparent by half and on upwards by less. A
-container's score is its points times the share of its characters outside links. The best container is
-kept, widened to the article element around it, with those siblings that score or read like it. Elements
-that are never article text (navigation, forms, scripts, asides, and those whose class, id or role says
-advert, comment, cookie notice, sidebar and the like) are left out first.
+A page becomes a tree of elements and text blocks. Every block outside links gives its points (one, and
+more for length and commas; a share of one if it is very short) to its parent in full, to its grandparent by half and on upwards by less; article
+and main elements take them in full from any depth. A container's score is its points times the share of its
+characters outside links. Tags, classes, ids and roles are weights: what lies in a part named like an advert, a
+menu, comments and the like counts for little, in it and above it, but the part is chosen if nothing else on
+the page scores higher. The best container is kept, with those siblings that score or read like it and the
+headings beside it. Of what is kept, parts of such names or tags (navigation, footers, asides, forms) are left
+out, unless a name of several words, one of them a mark, holds most of the container's text; so are
+link-only lists before the first and after the last paragraph where the container is the whole body. Nothing
+else is dropped. Form controls, hidden elements, scripts and styles are never text.
 
 Edge cases. A null, empty or textless page gives the empty text. A null id or url is kept; repeated rows
 are each extracted. Equal scores go to the container that opens first. Unclosed, crossing or cut-off tags
-close where HTML closes them or at the end of the page. An empty table gives no rows. Extra columns are
-ignored, whatever their names. A page is read whole, in time linear in its length and depth of tags.
+close where HTML closes them or at the end of the page; an unclosed title, frame, template or noscript is
+read as if its tag were not there. An empty table gives no rows. Extra columns are ignored, whatever their
+names. A page is read whole, in time linear in its length and depth of tags.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,22 +32,33 @@ from foliospark.llm.words import pieces
 from foliospark.sources import table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
+OPEN_ENDED = frozenset("script style textarea".split())  # unclosed, they go on to the end of the page
+FOREIGN = frozenset("svg math".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-NEVER = frozenset("nav footer aside form button select option input label dialog menu object head audio video canvas map fieldset datalist".split())
+CONTROLS = frozenset("button select option input label head audio video canvas map datalist object".split())  # never text
+#: Weights of tags that are seldom article text.
+TAGS = {"nav": 0.05, "footer": 0.1, "aside": 0.1, "dialog": 0.1, "menu": 0.1, "form": 0.3, "fieldset": 0.3, "header": 0.2}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
+MARKED = 0.15
+NAMED = 1.25
+UNITS = {"article": 1.2, "main": 1.1}
 #: Parts of class and id names that mark what is no article text.
 MARKS = frozenset(
-    """ad ads advert advertisement adverts advertising adsense sponsor sponsored sponsors promo promos promotion banner banners
-    breadcrumb breadcrumbs comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices alert
+    """sponsor sponsored sponsors promo promos promotion banner banners
+    breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert
     alerts popup modal overlay newsletter subscribe subscription signup login register footer masthead nav navbar navigation menu menus
     submenu sidebar sidebars share sharing social related recommended recommendations widget widgets toolbar pagination pager skip
-    topbar copyright disclaimer paywall""".split()
+    topbar copyright disclaimer paywall header""".split()
 )
-SOFT = frozenset("header".split())  # an article's own header is kept
+#: As MARKS, in names of any number of words.
+STRONG = frozenset("ad ads advert advertisement adverts advertising adsense comment comments commentlist disqus respond reply replies".split())
+GOOD = frozenset("article body content entry main post story text".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NEGATED = frozenset("has with no without is not hide show".split())
+PARAGRAPHS = HEADINGS | {"p", "pre", "li", "td", "blockquote"}
 CLOSES_P = BLOCK - {"caption", "tbody", "td", "tfoot", "th", "thead", "tr", "html", "head", "body"}
 #: An opening tag closes an open element of these names, up to one of the fences.
 IMPLIED = {
@@ -51,76 +67,87 @@ IMPLIED = {
     "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}), "body": ({"head"}, {"html"}),
 }
 LEAST = 25
+TINY = 1e-9
 
 _TAG = re.compile(r"<(?:!--|([!?])|(/?)([A-Za-z][^\s/>]*))")
+_REST = re.compile(r"""(?:[^>=]|=\s*+(?:"[^"]*"|'[^']*')?)*+>""")
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
-_END_OF = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in RAW}
+_END_OF = {name: re.compile(rf"<(/?){name}(?=[\s/>])", re.IGNORECASE) for name in RAW}
 
 
 class Node:
-    """An element: its place in the tree, whether it is left out, and what scoring adds up."""
+    """An element: its place in the tree, its weights, and what scoring adds up."""
 
-    __slots__ = ("dropped", "linked", "links", "order", "parent", "points", "size", "tag", "within")
+    __slots__ = ("above", "hidden", "linked", "links", "loose", "order", "parent", "points", "size", "suspect", "tag", "unit", "weight")
 
     def __init__(self, tag: str, parent: Node | None, order: int) -> None:
         self.tag, self.parent, self.order = tag, parent, order
-        self.dropped = parent.dropped if parent else False
+        self.hidden = bool(parent and parent.hidden)
         self.linked = tag == "a" or bool(parent and parent.linked)
-        self.within = tag in ("article", "main") or bool(parent and parent.within)
+        self.unit = UNITS.get(tag, 0.0)
+        self.above = parent if parent is None or parent.unit else parent.above  # the nearest article or main around it
+        self.suspect = self.loose = False  # loose: only by a part of a longer name
+        self.weight = parent.weight if parent else 1.0  # of its suspect ancestors and itself
         self.points = self.size = self.links = 0.0
 
+    def weigh(self, factor: float, loose: bool = False) -> None:
+        self.loose = loose and (self.loose or not self.suspect)
+        self.suspect = True
+        self.weight = max(TINY, self.weight * factor)
 
-def _marked(value: str, within: bool) -> bool:
+
+def _marks(value: str) -> tuple[bool, bool]:
+    """(marked, only as a part of a longer name) of class and id names."""
+    loose = False
     for name in value.split():
         parts = [p.lower() for p in _PARTS.findall(name)]
-        if parts and parts[0] in NEGATED:
+        if not parts or parts[0] in NEGATED:
             continue
-        if any(p in MARKS or p in SOFT and not within for p in parts):
-            return True
-    return False
-
-
-def _leave_out(node: Node, attributes: str) -> bool:
-    tag = node.tag
-    if tag in NEVER or tag == "header" and not node.within:
-        return True
+        if any(p in STRONG for p in parts) or len(parts) == 1 and parts[0] in MARKS:
+            return True, False
+        loose = loose or any(p in MARKS for p in parts)
+    return loose, loose
+
+
+def _judge(node: Node, attributes: str) -> float:
+    """Set the node's weights by its tag and attributes; returns the weight of its own good name."""
+    tag, parent = node.tag, node.parent
+    if tag in CONTROLS or tag in FOREIGN:
+        node.hidden = True
+    if tag in TAGS and (tag != "header" or parent is None or parent.tag in ("html", "body")):
+        node.weigh(TAGS[tag])
     if not attributes:
-        return False
+        return 1.0
     found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
-        return True
+        node.hidden = True
     role = found.get("role", "").lower()
-    if role == "main" or role == "article":
-        node.within = True
-    if role in ROLES:
-        return True
-    if tag in ("html", "body", "main"):
-        return False
+    if role in UNITS:
+        node.unit = UNITS[role]
+    if tag in ("html", "body"):
+        return 1.0
     names = f"{found.get('class', '')} {found.get('id', '')}"
-    return _marked(names, node.within) and not (tag == "article" and not _marked(names, True))
+    marked, loose = _marks(names)
+    if role in ROLES:
+        node.weigh(MARKED)
+    if marked and tag != "main" and not (loose and tag == "article"):
+        node.weigh(MARKED, loose)
+    return NAMED if not node.suspect and any(p.lower() in GOOD for p in _PARTS.findall(names)) else 1.0
 
 
 def _tag_end(page: str, at: int) -> int:
-    """Past the > of the tag whose name ends at `at`; a > inside a closed quotation does not count."""
-    end = page.find(">", at)
-    if end < 0:
-        return len(page)
-    inside = page[at:end]
-    if "=" in inside and (inside.count('"') % 2 or inside.count("'") % 2):
-        quote = '"' if inside.count('"') % 2 else "'"
-        close = page.find(quote, end, end + 4096)
-        after = page.find(">", close) if close >= 0 else -1
-        if after >= 0 and page.find("<", end, close) < 0:
-            return after + 1
-    return end + 1
-
-
-def blocks(page: str) -> tuple[list[tuple[Node, str, int]], list[Node]]:
-    """(block element, text, characters in links) of each text block in page order, and all elements."""
+    """Past the > of the tag whose name ends at `at`; a > inside a quoted value does not count."""
+    end = _REST.match(page, at)
+    return end.end() if end else len(page)
+
+
+def blocks(page: str) -> tuple[list[tuple[Node, str, int]], list[Node], list[float]]:
+    """(block element, text, characters in links) of each text block in page order, all elements and the weights of their good names."""
     root = Node("html", None, 0)
     nodes, stack, open_, out = [root], [root], {}, []
     texts: list[str] = []
+    named = [1.0]
     linked = 0
     holder = root
 
@@ -143,10 +170,11 @@ def blocks(page: str) -> tuple[list[tuple[Node, str, int]], list[Node]]:
         holder = next((n for n in reversed(stack) if n.tag in BLOCK), root)
 
     here, size = 0, len(page)
+    raw_ends: dict[str, list[re.Match]] = {}
     while here < size:
         m = _TAG.search(page, here)
         stop = m.start() if m else size
-        if stop > here and not stack[-1].dropped:
+        if stop > here and not stack[-1].hidden:
             s = page[here:stop]
             if "&" in s:
                 s = html.unescape(s)
@@ -173,10 +201,19 @@ def blocks(page: str) -> tuple[list[tuple[Node, str, int]], list[Node]]:
         if name in ("html",):
             continue
         if name in RAW:
-            if page[end - 2 : end] != "/>" or name not in ("svg", "math", "iframe"):
-                shut = _END_OF[name].search(page, end)
-                here = size if not shut else _tag_end(page, shut.end())
+            if page[end - 2 : end] != "/>" or name != "iframe":
+                if name not in raw_ends:  # tags of this name from here on
+                    raw_ends[name] = list(_END_OF[name].finditer(page, end))[::-1]
+                left = raw_ends[name]
+                while left and (left[-1].start() < end or name in OPEN_ENDED and not left[-1][1]):
+                    left.pop()
+                if left and left[-1][1]:
+                    here = _tag_end(page, left[-1].end())
+                elif name in OPEN_ENDED:
+                    here = size
             continue
+        if name in BLOCK and name not in ("html", "body") and any(open_.get(f) for f in FOREIGN):
+            close(next(i for i in range(1, len(stack)) if stack[i].tag in FOREIGN))  # block tags end foreign content
         if name in CLOSES_P and open_.get("p"):
             k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p" or stack[i].tag in ("td", "th", "button", "caption")), 0)
             if k and stack[k].tag == "p":
@@ -198,68 +235,80 @@ def blocks(page: str) -> tuple[list[tuple[Node, str, int]], list[Node]]:
             if name in ("br", "hr", "img") and texts:
                 texts.append(" ")
             continue
+        if name in FOREIGN and page[end - 2 : end] == "/>":
+            continue
         node = Node(name, stack[-1], len(nodes))
-        node.dropped = node.dropped or _leave_out(node, page[m.end() : end - 1])
+        named.append(_judge(node, page[m.end() : end - 1]))
         nodes.append(node)
         stack.append(node)
         open_[name] = open_.get(name, 0) + 1
         if name in BLOCK:
             holder = node
     flush()
-    return out, nodes
+    return out, nodes, named
 
 
-def _chain(node: Node | None) -> Iterator[Node]:
-    while node is not None:
-        yield node
+def _pass_up(holder: Node, points: float) -> None:
+    """Add a block's points to its container and upwards; what leaves a suspect element has its weight."""
+    start = holder.parent if holder.tag in PARAGRAPHS and holder.parent else holder
+    node: Node | None = start
+    for level in range(5):
+        if node is None:
+            break
+        if not node.unit:
+            node.points += points * (start.weight / node.weight) * (1.0 if level == 0 else 0.5 if level == 1 else 1 / (3 * level))
         node = node.parent
+    node = start if start.unit else start.above
+    while node is not None:
+        node.points += points * (start.weight / node.weight) * node.unit
+        node = node.above
+
+
+def _best(nodes: list[Node], scores: list[float]) -> Node:
+    """The container of the highest score; of equal ones the first."""
+    return nodes[max(range(len(nodes)), key=lambda i: (scores[i], -i))]
 
 
-def extract(page: str | None) -> str:
-    """The main text of one page."""
-    found, nodes = blocks(page or "")
-    found = [b for b in found if not b[0].dropped]
+def _menus(found: list[tuple[Node, str, int]], state: list[bool], scored: set[int]) -> set[int]:
+    """Of a whole body: places of link-only blocks before the first and after the last scored block."""
+    inside = [i for i, (h, _, _) in enumerate(found) if state[h.order] and i in scored]
+    return {i for i, (_, s, linked) in enumerate(found) if inside and not inside[0] <= i <= inside[-1] and linked * 10 >= len(s) * 8}
+
+
+def extract(page: str | None, choose: Callable[[list[Node], list[float]], Node] = _best) -> str:
+    """The main text of one page; `choose` picks the container from the elements and their scores."""
+    found, nodes, named = blocks(page or "")
     if not found:
         return ""
-    scored = [b for b in found if len(b[1]) >= LEAST and b[2] * 2 < len(b[1])] or found
-    for holder, s, _ in scored:
-        points = 1 + s.count(",") + min(len(s) / 100, 3.0)
-        for level, node in enumerate(_chain(holder.parent if holder.tag in ("p", "pre", "li", "td", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6") and holder.parent else holder)):
-            if level > 4:
-                break
-            node.points += points if level == 0 else points / 2 if level == 1 else points / (3 * level)
+    prose = {i for i, b in enumerate(found) if b[2] * 2 < len(b[1])} or set(range(len(found)))
+    scored = {i for i in prose if len(found[i][1]) >= LEAST}
+    for i in sorted(prose):
+        holder, s, _ = found[i]
+        _pass_up(holder, 1 + s.count(",") + min(len(s) / 100, 3.0) if i in scored else 0.5 * len(s) / LEAST)
     for holder, s, linked in found:
         holder.size += len(s)
         holder.links += linked
     for node in reversed(nodes[1:]):
-        node.parent.size += node.size
-        node.parent.links += node.links
-
-    def score(node: Node) -> float:
-        return node.points * (1 - node.links / node.size) if node.size else 0.0
-
-    best = max(nodes, key=lambda n: (score(n), -n.order))
-    around = next((n for n in _chain(best) if n.tag in ("article", "main") and not n.dropped), None)
-    if around is not None:
-        best = around
-    kept = {best}
-    least = max(10.0, 0.2 * score(best))
-    if best.parent is not None and around is None:
-        for node in nodes:
-            if node.parent is best.parent and node is not best and not node.dropped and node.size:
-                links = node.links / node.size
-                if score(node) >= least or node.tag == "p" and (node.size > 80 and links < 0.25 or node.size <= 80 and not node.links and node.size >= LEAST):
-                    kept.add(node)
-    elif around is not None and best.parent is not None:
-        kept.update(n for n in nodes if n.parent is best.parent and n.tag == best.tag and not n.dropped and score(n) >= least)
-    inside: dict[Node, bool] = {}
+        if not node.suspect:
+            node.parent.size += node.size
+            node.parent.links += node.links
+    scores = [n.points * n.weight * w * (1 - n.links / n.size) if n.size else 0.0 for n, w in zip(nodes, named, strict=True)]
+    best = choose(nodes, scores)
+    kept = {best.order}
+    least = max(10.0, 0.2 * scores[best.order])
     for node in nodes:
-        inside[node] = node in kept or bool(node.parent is not None and inside[node.parent])
-    out = []
-    for holder, s, linked in found:
-        if inside[holder] and not (linked * 2 > len(s) and holder.tag in ("li", "ul", "ol", "div", "td", "tr", "table", "section")):
-            out.append(s)
-    return "\n".join(out)
+        if node.parent is best.parent and node is not best and not node.suspect and node.size:
+            links = node.links / node.size
+            reads = node.tag == "p" and (node.size > 80 and links < 0.25 or LEAST <= node.size <= 80 and not node.links)
+            if scores[node.order] >= least or reads or node.tag in HEADINGS and links < 0.5:
+                kept.add(node.order)
+    state = [False] * len(nodes)
+    for node in nodes:
+        up = node.parent
+        stays = not node.suspect or node.loose and node.size > best.size
+        state[node.order] = node.order in kept or up is not None and state[up.order] and stays
+    menus = _menus(found, state, scored) if best.tag in ("html", "body") else set()
+    return "\n".join(s for i, (holder, s, _) in enumerate(found) if state[holder.order] and i not in menus)
 
 
 def main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:

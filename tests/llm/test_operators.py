@@ -297,6 +297,48 @@ def test_op6_general_page():
     assert html_text.extract(page) == "Real title\nFirst para, with commas, and text that is long enough to score & more.\nSecond para, here also, some text long enough and a break."
 
 
+def test_op6_without_article_tags(data_dir):
+    """The score alone finds the text: the same pages without article tags, flat and in nested unnamed containers."""
+    for (page,) in duckdb.sql(f"SELECT html FROM '{data_dir}/pages.parquet'").fetchall():
+        want = html_text.extract(page)
+        inner = re.search(r"<article>(.*?)</article>", page, re.DOTALL)
+        flat = page.replace("<article>", "").replace("</article>", "")
+        assert html_text.extract(flat) == want
+        if not inner:
+            continue
+        wrapped = page.replace("<article>", '<div><div class="c7">').replace("</article>", "</div></div>")
+        assert html_text.extract(wrapped) == want
+        side = '<div class="x2"><p>Some other text, not short, in another box.</p></div>'
+        boxed = wrapped.replace("<div><div", f"{side}<div><div")
+        if len(want) > 600:
+            assert html_text.extract(boxed) == want
+            assert html_text.extract(boxed, lambda nodes, scores: nodes[0]) != want  # without the choice by score the box would stay
+
+
+PROSE = "A sentence of the article, with commas, and with enough words to be scored as prose by its length."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f'<body><div class="recipe-notice-board"><p>{PROSE}<p>{PROSE}</div><div class=menu><a href=x>a</a></div>', [PROSE, PROSE]),
+        (f'<body><form id=aspnet><div><p>{PROSE}<p>{PROSE}</div><input value=x></form>', [PROSE, PROSE]),
+        (f"<body><div><svg><path d=x><p>{PROSE}<p>{PROSE}</div>", [PROSE, PROSE]),
+        (f"<body><div><math><mi>x<p>{PROSE}</p></div>", [PROSE]),
+        (f"<body><div><noscript><p>{PROSE}</p></div>", [PROSE]),
+        (f"<body><div><template><p>{PROSE}</p></div>", [PROSE]),
+        (f"<body><div><svg><text>icon</text></svg><p>{PROSE}</p></div>", [PROSE]),
+        (f'<body><div><p title="a > b <c">{PROSE}</p></div>', [PROSE]),
+        (f'<body><div><p data-x="{"<y> " * 3000}">{PROSE}</p></div>', [PROSE]),
+        (f'<body><article><p>{PROSE}</p><ul><li><a href=1>Linked name one</a><li><a href=2>Linked name two</a></ul><p>{PROSE}</p></article>', [PROSE, "Linked name one", "Linked name two", PROSE]),
+        (f'<body><article><p>{PROSE}</p></article><section class=comments><article class=comment><p>{PROSE}</p><p>{PROSE}</p></article></section>', [PROSE]),
+        (f"<body><ul><li><a href=1>Home page</a><li><a href=2>About</a></ul><p>{PROSE}<p>{PROSE}<ul><li><a href=3>Imprint</a></ul>", [PROSE, PROSE]),
+    ],
+)
+def test_op6_tags_and_names_are_weights(page, want):
+    assert html_text.extract(page).split("\n") == want
+
+
 def slow_fingerprint(text, size=4):
     w = split(fold(text))
     if not w:

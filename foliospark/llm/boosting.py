@@ -40,7 +40,12 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: flo
     score = np.full(n, np.log(p / (1 - p)))
     base, made = float(score[0]) if n else 0.0, []
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(m)]
-    binned = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], axis=1)
+    sizes = np.array([len(c) + 1 for c in cuts])
+    first = np.cumsum(sizes) - sizes
+    binned = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], axis=1) + first  # every feature's bins in one row of bins
+    of, whole = np.repeat(np.arange(m), sizes), int(sizes.sum())
+    splits = np.ones(whole, dtype=bool)
+    splits[first + sizes - 1] = False  # past a feature's last bin nothing is left
     for _ in range(trees):
         q = 1 / (1 + np.exp(-score))
         g, h = y - q, q * (1 - q)
@@ -50,16 +55,13 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: flo
             rows = np.flatnonzero(at == node)
             best = (1e-9, 0, np.inf)
             if len(rows) > 1:
-                gt, ht = g[rows].sum(), h[rows].sum()
-                for j in range(m):
-                    if not len(cuts[j]):
-                        continue
-                    gl = np.cumsum(np.bincount(binned[rows, j], g[rows], len(cuts[j]) + 1))[:-1]
-                    hl = np.cumsum(np.bincount(binned[rows, j], h[rows], len(cuts[j]) + 1))[:-1]
-                    gain = gl**2 / (hl + penalty) + (gt - gl) ** 2 / (ht - hl + penalty) - gt**2 / (ht + penalty)
-                    k = int(np.argmax(gain))
-                    if gain[k] > best[0]:
-                        best = (float(gain[k]), j, float(cuts[j][k]))
+                gt, ht, at_bins = g[rows].sum(), h[rows].sum(), binned[rows].ravel()
+                gl = np.cumsum(np.bincount(at_bins, np.repeat(g[rows], m), whole)) - of * gt
+                hl = np.cumsum(np.bincount(at_bins, np.repeat(h[rows], m), whole)) - of * ht
+                gain = np.where(splits, gl**2 / (np.maximum(hl, 0) + penalty) + (gt - gl) ** 2 / (np.maximum(ht - hl, 0) + penalty) - gt**2 / (ht + penalty), -np.inf)
+                k = int(np.argmax(gain))
+                if gain[k] > best[0]:
+                    best = (float(gain[k]), int(of[k]), float(cuts[of[k]][k - first[of[k]]]))
             feature[node], cut[node] = best[1:]
             at[rows] = 2 * node + 1 + (x[rows, best[1]] > best[2])
         leaf = at - inner

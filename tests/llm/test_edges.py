@@ -75,6 +75,21 @@ def test_pii(docs, none):
     assert pii.find(none).count() == pii.redact(none).count() == 0
 
 
+def test_pii_on_edges(spark):
+    mail = "write to a.b@example.org or to c.d (at) example (dot) org now"
+    rows = [(1, mail), (1, mail), (2, None), (None, mail), (3, "10.0.0.1 " * 40_000), (4, "4111 1111 1111 1111 4111 1111 1111 1111")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit("clash"))
+    out = sorted(pii.find(df).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0))
+    same = "email:9:24,email:31:57"
+    assert [r["spans"] for r in out if r["doc_id"] in (1, None)] == [same] * 3
+    assert next(r for r in out if r["doc_id"] == 3)["n_ip"] == 40_000
+    assert next(r for r in out if r["doc_id"] == 2)["spans"] == ""
+    red = pii.redact(df)
+    assert red.columns == df.columns
+    texts = {r["doc_id"]: r["text"] for r in red.collect()}
+    assert texts[1] == texts[None] == "write to <EMAIL> or to <EMAIL> now" and texts[2] is None and texts[3] == "<IP> " * 40_000
+
+
 def test_hmm(docs, none):
     out = hmm.score(docs, F.col("doc_id") == 1, rounds=1).collect()
     assert len(out) == len(ROWS)

@@ -8,10 +8,15 @@ that share a key are searched by breadth-first passes that emit a spanning fores
 all pairs. A key that more than HOT fingerprints share is cut into chunks and every pair of chunks is one
 task's work, so memory is bounded by two chunks and no link is lost.
 
+At four differing bits a fingerprint of 64 bits joins texts of a similarity of about 0.95 and more. The
+similarity of 0.8 is about ten bits apart, where every choice of blocks is too narrow to tell texts apart, so
+keep_one() adds blocks of minima and lets whole shingle sets decide; see similar_classes().
+
 Edge cases. Null or blank text: fingerprint zero, linked like any other. Fewer words than a shingle: the
 whole word sequence is the one shingle. Repeated rows stay repeated rows. A null id keeps its row; the
 class id is the least non-null id of the class, or null if it has none. An empty table gives no rows.
-Other columns are ignored, whatever their names. Very long texts are hashed whole.
+Other columns are ignored, whatever their names. Very long texts are hashed whole. Ties: of equal fingerprints
+the least id names the class; in keep_one() of rows with the least id the one of least text hash stays.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.words import mix
@@ -171,282 +176,221 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col
     return fps.join(classed.join(least, "class_fp").select("fp", "class_fp", "component_id"), "fp").select(id_col, "fp", "class_fp", "component_id")
 
 
-WIDE = 8  # words of 64 bits of a wide fingerprint
-RECALL = 0.98
+HASHES = 192  # minima of a sketch
+ROWS = 8  # minima of a block: HASHES / ROWS blocks
+MARK = 32  # words of 64 bits of a parity mark
+_FACTORS = (np.random.default_rng(88).integers(0, 1 << 63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
-def wide_fingerprint(text: str | None, shingle: int = 5) -> bytes:
-    """512 bits by the same rule, from eight mixes of each shingle hash; zero for a text without words."""
+def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The distinct shingle hashes of one text, ascending; one fixed hash for a text without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = len(words)
-    if n == 0:
-        return bytes(8 * WIDE)
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     ends = list(accumulate(len(w) + 1 for w in words))
-    h = np.array([digest(joined[a : b - 1], 42) for a, b in zip([0, *ends], ends[shingle - 1 :], strict=False)] or [digest(joined, 42)], dtype=np.uint64)
-    counts = np.zeros(64 * WIDE, np.int64)
-    salts = np.arange(WIDE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for at in range(0, len(h), 255 * 16):  # bounds the bits held, whatever the length
-        m = mix(h[at : at + 255 * 16, None] + salts)
-        bits = np.unpackbits(m.view(np.uint8).reshape(len(m), -1), axis=1, bitorder="little")
-        for k in range(0, len(bits), 255):
-            counts += bits[k : k + 255].sum(axis=0, dtype=np.uint8)
-    return np.packbits(2 * counts > len(h), bitorder="little").tobytes()
-
-
-def differing_share(similarity: float) -> float:
-    """The expected share of differing bits of two sets of the given Jaccard similarity."""
-    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return np.unique(np.array([digest(joined[a : b - 1], 42) for a, b in zip([0, *ends], ends[shingle - 1 :], strict=False)] or [digest(joined, 42)], dtype=np.uint64).view(np.int64))
 
 
-def bands_for(distinct: int, similarity: float, recall: float = RECALL) -> list[np.ndarray]:
-    """Bit places of each block. A block is about as wide as log2 of the fingerprints, and blocks are as many as let a pair of the similarity share one with the wanted probability."""
-    width = max(16, max(1, distinct - 1).bit_length())
-    share = (1 - differing_share(similarity)) ** width
-    rng = np.random.default_rng(64)
-    return [np.sort(rng.choice(64 * WIDE, width, replace=False)) for _ in range(int(np.ceil(np.log(1 - recall) / np.log(1 - share))))]
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The 64-bit fingerprint of a set of shingle hashes: bit j is set if over half of them set it."""
+    bits = np.unpackbits(np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def distance_for(similarity: float) -> int:
-    """Differing bits up to which wide fingerprints link: the expected number at the similarity and one deviation more."""
-    p, n = differing_share(similarity), 64 * WIDE
-    return int(n * p + np.sqrt(n * p * (1 - p)))
+def sketch_blocks(hashes: np.ndarray) -> np.ndarray:
+    """One key per block of ROWS minima. Two sets of Jaccard similarity s share a given block with probability s ** ROWS."""
+    least = np.full(HASHES, ~np.uint64(0))
+    for at in range(0, len(hashes), 512):  # bounds what is held, whatever the length
+        np.minimum(least, (hashes[at : at + 512, None].view(np.uint64) * _FACTORS).min(axis=0), out=least)
+    key = np.arange(HASHES // ROWS, dtype=np.uint64)
+    for k in range(ROWS):
+        key = mix(key * np.uint64(0x9FB21C651E98DF25) + least[k::ROWS])
+    return key.view(np.int64)
 
 
-def _wide_rows(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WIDE)
+def parity_mark(hashes: np.ndarray) -> np.ndarray:
+    """MARK words whose bit j is the parity of the hashes that fall on j. Two marks differ in no more bits than their sets in hashes."""
+    at = (hashes.view(np.uint64) % np.uint64(64 * MARK)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=64 * MARK) & 1, bitorder="little").view(np.int64)
 
 
-def wide_forest(nodes: np.ndarray, fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """As near_forest(), for wide fingerprints (rows of fps) of named nodes; fingerprints of one node are linked already, and only links between nodes not yet joined are returned."""
-    out: list[tuple[int, int]] = []
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.get(x, x) != x:
-            x = root[x]
-        return x
-
-    while len(nodes) > 1:
-        frontier = [(nodes[0], fps[0])]
-        nodes, fps = nodes[1:], fps[1:]
-        while frontier and len(nodes):
-            name, here = frontier.pop()
-            near = np.bitwise_count(fps ^ here).sum(axis=1) <= distance
-            if near.any():
-                for x in np.unique(nodes[near]).tolist():
-                    a, b = find(int(name)), find(x)
-                    if a != b:
-                        root[b] = a
-                        out.append((int(name), x))
-                frontier += list(zip(nodes[near], fps[near], strict=True))
-                nodes, fps = nodes[~near], fps[~near]
-    return out
+def block_recall(similarity: float) -> float:
+    """The probability that two sets of the similarity share a block."""
+    return 1 - (1 - similarity**ROWS) ** (HASHES // ROWS)
 
 
-def _wide_runs(distance: int):
-    """Over rows sorted by the group columns (all but node and wide), emit each group's forest; a group may span batches."""
+def _each_text(texts: DataFrame, schema: str, make) -> DataFrame:
+    """texts (node, text) with make(text)'s columns, a few hundred rows at a time."""
+    fields = [x.split() for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list | None = None
+        kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                made = list(zip(*(make(t.as_py()) for t in batch.column(1)), strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, kinds[k]) for c, (_, k) in zip(made, fields, strict=True))], names=["node", *(n for n, _ in fields)])
 
-        def emit(found: list[tuple[int, int]]) -> pa.RecordBatch:
-            x = np.array(found, np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["u", "v"])
+    return texts.select("node", "text").mapInArrow(run, f"node long, {schema}")
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [*(c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]), _wide_rows(batch.columns[-1])]
-            if held is not None:
-                cols = [np.concatenate([a, b]) for a, b in zip(held, cols, strict=True)]
-            change = np.zeros(len(cols[0]), dtype=bool)
-            change[0] = True
-            for c in cols[:-2]:
-                change[1:] |= c[1:] != c[:-1]
-            starts = np.flatnonzero(change)
-            held = [c[starts[-1] :] for c in cols]
-            found: list[tuple[int, int]] = []
-            for k in np.flatnonzero(np.diff(starts) > 1):
-                found += wide_forest(cols[-2][starts[k] : starts[k + 1]], cols[-1][starts[k] : starts[k + 1]], distance)
-            if found:
-                yield emit(found)
-        if held is not None and len(held[0]) > 1:
-            found = wide_forest(held[-2], held[-1], distance)
-            if found:
-                yield emit(found)
 
-    return run
+def _sketches(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, fp, size, mark, blocks) of texts (node, text)."""
 
+    def make(text: str | None) -> tuple:
+        h = shingle_hashes(text, shingle)
+        return set_fingerprint(h), len(h), parity_mark(h).tobytes(), sketch_blocks(h)
 
-def wide_links(distinct: DataFrame, bands: list[np.ndarray], distance: int, hot: int = HOT) -> DataFrame:
-    """(u, v): links between nodes of distinct (node, wide) by shared blocks and Hamming distance, as spanning forests."""
+    return _each_text(texts, "fp long, size int, mark binary, blocks array<long>", make)
 
-    def keys_of(column: pa.Array) -> np.ndarray:
-        bits = np.unpackbits(_wide_rows(column).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
-        return np.stack([bits[:, b] @ (1 << np.arange(len(b), dtype=np.int64)) for b in bands], axis=1)
 
-    def keyed(full: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for at in range(0, whole.num_rows, 1024):
-                    batch = whole.slice(at, 1024)
-                    keys, n = keys_of(batch.column(1)), batch.num_rows
-                    part = pa.array(np.tile(np.arange(len(bands), dtype=np.int32), n))
-                    if full:
-                        rows = pa.array(np.repeat(np.arange(n), len(bands)))
-                        yield pa.RecordBatch.from_arrays([part, pa.array(keys.ravel()), batch.column(0).take(rows), batch.column(1).take(rows)], names=["part", "key", "node", "wide"])
-                    else:
-                        yield pa.RecordBatch.from_arrays([part, pa.array(keys.ravel())], names=["part", "key"])
+def similar_enough(size_u: np.ndarray, size_v: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes with so many common members have the Jaccard similarity."""
+    return common * (1 + similarity) >= (size_u + size_v) * similarity - 1e-6
 
-        return run
 
-    frame = distinct.select("node", "wide")
-    sizes = stage(frame.mapInArrow(keyed(False), "part int, key long").groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot), "hot")
-    rows = frame.mapInArrow(keyed(True), "part int, key long, node long, wide binary")
-    any_hot = sizes.limit(1).count() > 0
-    cold = rows.join(sizes.select("part", "key"), ["part", "key"], "left_anti") if any_hot else rows
-    out = cold.repartition("part", "key").sortWithinPartitions("part", "key").select("part", "key", "node", "wide").mapInArrow(_wide_runs(distance), "u long, v long")
-    if any_hot:
-        cut = rows.join(sizes, ["part", "key"]).withColumn("s", F.ceil(F.col("n") / hot).cast("int")).withColumn("c", F.pmod(F.xxhash64("wide"), F.col("s")).cast("int"))
-        pairs = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).select("part", "key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "node", "wide")
-        out = out.union(pairs.repartition("part", "key", "i", "j").sortWithinPartitions("part", "key", "i", "j").mapInArrow(_wide_runs(distance), "u long, v long"))
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (u, v, ...) whose whole shingle sets have the similarity."""
+    nodes = stage(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "nodes")
+    some = texts.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    sets = stage(_each_text(some, "hashes binary", lambda t: (shingle_hashes(t, shingle).tobytes(),)), "sets")
+    both = pairs.join(sets.toDF("u", "hu"), "u").join(sets.toDF("v", "hv"), "v")
+    names = pairs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hu, hv = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+            good = []
+            for a, b in zip(hu, hv, strict=True):
+                x, y = np.frombuffer(a.as_py(), np.int64), np.frombuffer(b.as_py(), np.int64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(bool(similar_enough(len(x), len(y), common, similarity)))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:-2]], names=names)
+
+    out = stage(both.select(*names, "hu", "hv").mapInArrow(run, pairs.schema), "verified")
+    discard(nodes, sets)
     return out
 
 
-def wide_classes(distinct: DataFrame, similarity: float = 0.8, first: int = 8, hot: int = HOT) -> DataFrame:
-    """distinct (fp, wide, ...) with class_fp, one fp of the row's class.
+def _sure(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs (u, v, ...), those that parity marks and sizes do not rule out; no pair of the similarity is lost."""
+    both = pairs.join(marks.toDF("u", "nu", "mu"), "u").join(marks.toDF("v", "nv", "mv"), "v")
+    names = pairs.columns
 
-    The first few blocks join most of a large class; the other blocks then return only links between what
-    is still apart, so their links do not grow with the number of blocks a dense class shares.
-    """
-    bands, distance = bands_for(distinct.count(), similarity), distance_for(similarity)
-    now = distinct.withColumn("class_fp", F.col("fp"))
-    for some in (bands[:first], bands[first:]):
-        roots = connected_components(wide_links(now.select(F.col("class_fp").alias("node"), "wide"), some, distance, hot))
-        now = stage(now.join(roots.withColumnRenamed("node", "class_fp"), "class_fp", "left").select(*distinct.columns, F.coalesce("root", "class_fp").alias("class_fp")), "classes")
-    return now
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nu, mu, nv, mv = batch.columns[-4:]
+            u, v = (np.frombuffer(b"".join(m.to_pylist()), np.uint64).reshape(-1, MARK) for m in (mu, mv))
+            apart = np.bitwise_count(u ^ v).sum(axis=1)
+            able = possible(nu.to_numpy().astype(float), nv.to_numpy().astype(float), apart, similarity)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(able)) for c in batch.columns[:-4]], names=names)
 
+    return both.select(*names, "nu", "mu", "nv", "mv").mapInArrow(run, pairs.schema)
 
-SAMPLE = 10_000  # texts of which frequent shingles are counted
-FREQUENT = 65_536  # frequent shingles held
-MARK = 32  # words of 64 bits of a parity mark
-PROBES = 2
-REPRESENTATIVES = 4
 
+def possible(nu: np.ndarray, nv: np.ndarray, apart: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes, whose marks differ in `apart` bits, may have the similarity."""
+    return (apart * (1 + similarity) <= (nu + nv) * (1 - similarity) + 1e-6) & (np.minimum(nu, nv) >= similarity * np.maximum(nu, nv) - 1e-6)
 
-def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
-    """The distinct shingle hashes of one text, ascending; one fixed hash for a text without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    ends = list(accumulate(len(w) + 1 for w in words))
-    return np.unique(np.array([digest(joined[a : b - 1], 42) for a, b in zip([0, *ends], ends[shingle - 1 :], strict=False)] or [digest(joined, 42)], dtype=np.uint64).view(np.int64))
 
+def _rest_of_blocks(similarity: float):
+    """Over rows (key, ..., node, root, size, mark) sorted by all but the last four, the pairs of each group that have two roots and may have the similarity."""
 
-def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """(node, hashes) of texts (node, text)."""
+    def pairs_of(node: np.ndarray, root: np.ndarray, size: np.ndarray, mark: np.ndarray) -> Iterator[tuple]:
+        order = np.argsort(size, kind="stable")
+        node, root, size, mark = node[order], root[order], size[order], mark[order]
+        for i in range(len(node) - 1):
+            to = int(np.searchsorted(size, size[i] / similarity + 1e-6, "right"))  # larger ones are no match
+            apart = np.bitwise_count(mark[i + 1 : to] ^ mark[i]).sum(axis=1)
+            ok = possible(size[i], size[i + 1 : to], apart, similarity) & (root[i + 1 : to] != root[i])
+            for j in np.flatnonzero(ok) + i + 1:
+                a, b = (i, j) if node[i] < node[j] else (j, i)
+                yield int(node[a]), int(node[b]), int(root[a]), int(root[b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(t.as_py(), shingle) for t in batch.column(1)], pa.list_(pa.int64()))], names=["node", "hashes"])
+        held: list | None = None
+        names = ["u", "v", "ru", "rv"]
 
-    return texts.select("node", "text").mapInArrow(run, "node long, hashes array<long>")
+        def emit(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=names)
 
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [*(c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]), np.frombuffer(b"".join(batch.columns[-1].to_pylist()), np.uint64).reshape(-1, MARK)]
+            if held is not None:
+                cols = [np.concatenate([a, b]) for a, b in zip(held, cols, strict=True)]
+            change = np.zeros(len(cols[0]), dtype=bool)
+            change[0] = True
+            for c in cols[:-4]:
+                change[1:] |= c[1:] != c[:-1]
+            starts = np.flatnonzero(change)
+            held = [c[starts[-1] :] for c in cols]
+            found: list[tuple] = []
+            for k in np.flatnonzero(np.diff(starts) > 1):
+                found += pairs_of(*(c[starts[k] : starts[k + 1]] for c in cols[-4:]))
+            yield from emit(found)
+        if held is not None and len(held[0]) > 1:
+            yield from emit(list(pairs_of(*held[-4:])))
 
-def _frequent(texts: DataFrame, rows: int, shingle: int) -> np.ndarray:
-    """The shingles found in three or more of about SAMPLE distinct texts, rarest first. They order shingles and decide nothing."""
-    some = texts.where(F.pmod(F.xxhash64("node"), F.lit(max(1, rows // SAMPLE))) == 0).dropDuplicates(["node"])
-    counts = _shingle_sets(some, shingle).select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
-    got = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
-    return got["h"].to_numpy(np.int64)[::-1]
+    return run
 
 
-def prefix_places(hashes: np.ndarray, ranks: np.ndarray, similarity: float) -> np.ndarray:
-    """Places of the first shingles by (rank, hash). Two sets of the similarity share one of these, as any order of all shingles would do."""
-    return np.lexsort((hashes, ranks))[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1]
+def _renamed(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (node, root) with the roots that links (u, v) join made one; staged."""
+    joined = connected_components(links.select("u", "v")).select(F.col("node").alias("root"), F.col("root").alias("least"))
+    out = stage(roots.join(joined, "root", "left").select("node", F.coalesce("least", "root").alias("root")), "classes")
+    discard(roots)
+    return out
 
 
-def parity_mark(hashes: np.ndarray) -> np.ndarray:
-    """MARK words whose bit j is the parity of the hashes that fall on j. Two marks differ in no more bits than their sets in hashes."""
-    at = (hashes.view(np.uint64) % np.uint64(64 * MARK)).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=64 * MARK) & 1, bitorder="little").view(np.int64)
+def similar_classes(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 4, hot: int = HOT) -> DataFrame:
+    """(node, root) for every node of texts (node, text): root is one node of its class.
 
+    texts may repeat a node with its text. A class is the closure of the pairs found whose sets of shingles
+    have the similarity (Jaccard), which the whole sets decide. Pairs are sought in three passes:
 
-def _prefixes(texts: DataFrame, frequent: np.ndarray, shingle: int, similarity: float) -> DataFrame:
-    """(node, size, mark, prefix) of texts (node, text): the number of shingles, their parity mark and the first ones, rare before frequent."""
-    order = np.argsort(frequent)
-    known = frequent[order]
+    1. pigeonhole blocks of 64-bit fingerprints, a spanning forest of those within `distance` bits;
+    2. blocks of minima: of each shared block, every node with the node of least hash;
+    3. of blocks that still hold two classes, all pairs of different classes, but those that parity marks
+       rule out, which is done within the task, so that pairs leave it only if they are nearly similar. A block
+       of over `hot` nodes is cut into chunks, and every pair of chunks is one task's work.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                sizes, marks, prefixes = [], [], []
-                for t in batch.column(1):
-                    h = shingle_hashes(t.as_py(), shingle)
-                    ranks = np.zeros(len(h), np.int64)
-                    if len(known):
-                        found = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                        ranks = np.where(known[found] == h, order[found] + 1, 0)
-                    sizes.append(len(h))
-                    marks.append(parity_mark(h))
-                    prefixes.append(h[prefix_places(h, ranks, similarity)])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(marks, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))], names=["node", "size", "mark", "prefix"])
-
-    return texts.select("node", "text").mapInArrow(run, "node long, size int, mark array<long>, prefix array<long>")
-
-
-def _candidates(shared: DataFrame, similarity: float, probe: int | None) -> DataFrame:
-    """Distinct pairs (u, v, ru, rv) of nodes not yet joined that share a key and may have the similarity by sizes and places.
-
-    With a probe, only pairs of a few representatives of each key with its other nodes; without, all pairs:
-    one node of such a pair lies outside of the class most frequent at the key.
-    """
-    if probe is not None:
-        picks = [F.min_by(F.struct("node", "size", "pos", "root"), F.xxhash64("node", F.lit(REPRESENTATIVES * probe + i))) for i in range(REPRESENTATIVES)]
-        left = shared.groupBy("key").agg(F.array_distinct(F.array(*picks)).alias("x")).select("key", F.explode("x").alias("x"))
-        left = left.select("key", F.col("x.node").alias("a"), F.col("x.size").alias("sa"), F.col("x.pos").alias("pa"), F.col("x.root").alias("ra"))
-    else:
-        most = shared.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
-        left = shared.join(most, "key").where("root <> most").select("key", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("pos").alias("pa"), F.col("root").alias("ra"))
-    able = F.least(F.col("sa") - F.col("pa"), F.col("size") - F.col("pos")) * (1 + similarity) >= (F.col("sa") + F.col("size")) * similarity - 1e-6
-    pairs = left.join(shared, "key").where((F.col("ra") != F.col("root")) & able)
-    first = F.col("a") < F.col("node")
-    return pairs.select(F.least("a", "node").alias("u"), F.greatest("a", "node").alias("v"), F.when(first, F.col("ra")).otherwise(F.col("root")).alias("ru"), F.when(first, F.col("root")).otherwise(F.col("ra")).alias("rv")).distinct()
-
-
-def similar_classes(texts: DataFrame, rows: int, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(node, root) of every node that may have a near-duplicate: root is one node of its class.
-
-    texts (node, text) may repeat a node with its text. Classes are the closure of all pairs whose sets of
-    shingles have at least the similarity (Jaccard): such sets share one of their first shingles in any one
-    order of all shingles, so pairs are sought by these, rare shingles first. Pairs whose parity marks differ
-    in more bits than sets of the similarity do are dropped; the whole sets decide on the others. A few
-    representatives of a key are compared first, so a dense class is joined before all pairs are.
+    A pair of similarity s shares a block of minima with probability block_recall(s): over 0.98 at 0.8 and
+    over 0.9999 at 0.9. Keys are sent with the node only; a text sends as many as there are blocks, whatever
+    its length and however many texts there are.
     """
-    found = _prefixes(texts, _frequent(texts, rows, shingle), shingle, similarity).groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "mark", "prefix")])
-    found = stage(found, "prefixes")
-    keyed = found.select("node", "size", F.posexplode("prefix").alias("pos", "key"))
-    at = Window.partitionBy("key")
-    shared = stage(keyed.withColumn("n", F.count(F.lit(1)).over(at)).where("n > 1").drop("n"), "shared")
-    roots = stage(shared.select("node").distinct().withColumn("root", F.col("node")), "classes")
+    found = stage(_sketches(texts, shingle).groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "size", "mark", "blocks")]), "sketches")
     marks = found.select("node", "size", "mark")
-    apart = sum((F.bit_count(F.col("mu")[i].bitwiseXOR(F.col("mv")[i])) for i in range(MARK)), F.lit(0))
-    for probe in (*range(PROBES), None):
-        pairs = _candidates(shared.join(roots, "node"), similarity, probe)
-        marked = pairs.join(marks.toDF("u", "nu", "mu"), "u").join(marks.toDF("v", "nv", "mv"), "v")
-        pairs = stage(marked.where(apart * (1 + similarity) <= (F.col("nu") + F.col("nv")) * (1 - similarity) + 1e-6).select("u", "v", "ru", "rv"), "pairs")
-        nodes = stage(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "nodes")
-        sets = stage(_shingle_sets(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]), shingle), "sets")
-        both = pairs.join(sets.toDF("u", "hu"), "u").join(sets.toDF("v", "hv"), "v")
-        same = F.size(F.array_intersect("hu", "hv")) * (1 + similarity) >= (F.size("hu") + F.size("hv")) * similarity - 1e-6
-        joined = connected_components(both.where(same).select(F.col("ru").alias("u"), F.col("rv").alias("v")))
-        discard(pairs, nodes, sets)
-        joined = joined.select(F.col("node").alias("root"), F.col("root").alias("least"))
-        roots = stage(roots.join(joined, "root", "left").select("node", F.coalesce("least", "root").alias("root")), "classes")
-    discard(shared, found)
+    roots = stage(found.select("node", F.col("node").alias("root")), "classes")
+
+    fps = stage(found.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
+    near = links(fps.select("fp"), distance)
+    of = lambda name: fps.select(F.col("fp").alias(f"f{name}"), F.col("node").alias(name))
+    pairs = near.toDF("fu", "fv").join(of("u"), "fu").join(of("v"), "fv").select("u", "v")
+    own = found.join(fps.withColumnRenamed("node", "v"), "fp").where("node <> v").select(F.col("node").alias("u"), "v")
+    first = _verified(stage(_sure(pairs.union(own).distinct(), marks, similarity), "pairs"), texts, shingle, similarity)
+    roots = _renamed(roots, first)
+
+    keyed = found.select("node", F.posexplode("blocks").alias("block", "key"))
+    heads = keyed.groupBy("block", "key").agg(F.min_by("node", F.xxhash64("node", "block")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = stage(keyed.join(heads, ["block", "key"]), "shared")
+    class_of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"r{name}"))
+    pairs = shared.where("node <> head").select(F.least("node", "head").alias("u"), F.greatest("node", "head").alias("v")).distinct()
+    pairs = pairs.join(class_of("u"), "u").join(class_of("v"), "v").where("ru <> rv").select("u", "v", "ru", "rv")
+    second = _verified(stage(_sure(pairs, marks, similarity), "pairs"), texts, shingle, similarity)
+    roots = _renamed(roots, second.select(F.col("ru").alias("u"), F.col("rv").alias("v")))
+
+    open_ = shared.join(roots, "node").groupBy("block", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2")
+    left = shared.select("block", "key", "node").join(open_.select("block", "key", "n"), ["block", "key"]).join(roots, "node").join(marks, "node")
+    chunks = F.ceil(F.col("n") / hot).cast("int")
+    left = left.withColumn("s", chunks).withColumn("c", F.pmod(F.xxhash64("node"), F.col("s")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    left = left.select("block", "key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "node", "root", "size", "mark")
+    groups = ["block", "key", "i", "j"]
+    pairs = left.repartition(*groups).sortWithinPartitions(*groups).mapInArrow(_rest_of_blocks(similarity), "u long, v long, ru long, rv long").distinct()
+    third = _verified(stage(pairs, "pairs"), texts, shingle, similarity)
+    roots = _renamed(roots, third.select(F.col("ru").alias("u"), F.col("rv").alias("v")))
+    discard(found, fps, shared, first, second, third)
     return roots
 
 
@@ -454,26 +398,32 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     """docs without near-duplicates: of each class the row with the least doc_id (a null id only where no other is).
 
     Texts are near-duplicates if the Jaccard similarity of their sets of word shingles is the given one or
-    more; a class is the closure of that. Every such pair is found and no other, but for chance equality of
-    64-bit hashes. Where several rows of the class share the least doc_id, the one with the least text hash
-    stays, and of equal ones any one. All columns of docs are returned, and no others.
+    more; a class is the closure of that, as similar_classes() finds it. No other texts are joined, but for
+    chance equality of 64-bit hashes. Where several rows of the class share the least doc_id, the one with the
+    least text hash stays, and of equal ones any one. All columns of docs are returned, and no others,
+    whatever their names.
     """
-    text = F.col("text").cast("string")
-    fps = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("fp")), "texts")
+    taken = {c.lower() for c in docs.columns}
+    name = lambda base: next(x for x in (base + "_" * k for k in range(len(taken) + 1)) if x.lower() not in taken)
+    kid, kfp, krow = name("__fs_id"), name("__fs_fp"), name("__fs_row")
+    text = docs["text"].cast("string")
+    fps = stage(docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("fp")), "texts")
+    rows = fps.groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("n"))
+    per_id = stage(rows.groupBy("doc_id").agg(F.sum("n").alias("n")), "ids")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("b")
     distinct = stage(fps.groupBy("fp").agg(first), "distinct")
-    classes = similar_classes(docs.select(F.xxhash64(text).alias("node"), text.alias("text")), fps.count(), shingle, similarity)
+    classes = similar_classes(docs.select(F.xxhash64(text).alias("node"), text.alias("text")), shingle, similarity)
     best = distinct.join(classes.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("class_fp")).agg(F.min("b").alias("b"))
-    best = stage(best.select(F.col("b.doc_id").alias("__fs_id"), F.col("b.fp").alias("__fs_fp")), "keepers")
-    rows = fps.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__fs_rows")).where("__fs_rows > 1").select(F.col("doc_id").alias("__fs_twice"))
-    twice = best.join(rows, F.col("__fs_id").eqNullSafe(F.col("__fs_twice")), "left_semi")
-    once = best.join(rows, F.col("__fs_id").eqNullSafe(F.col("__fs_twice")), "left_anti")
-    plain = docs.join(once, F.col("doc_id").eqNullSafe(F.col("__fs_id")), "left_semi")
-    repeated = docs.join(twice.select("__fs_id").distinct(), F.col("doc_id").eqNullSafe(F.col("__fs_id")), "left_semi")
-    packed = stage(repeated.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__fs_row")), "repeats")
-    marked = packed.select("__fs_row", F.col("__fs_row.doc_id").alias("__fs_rid"), F.xxhash64(F.col("__fs_row.text").cast("string")).alias("__fs_rfp"))
-    marked = marked.join(twice, F.col("__fs_rid").eqNullSafe(F.col("__fs_id")) & (F.col("__fs_rfp") == F.col("__fs_fp")))
-    single = marked.groupBy("__fs_rid", "__fs_rfp").agg(F.first("__fs_row").alias("__fs_row")).select("__fs_row.*")
+    best = stage(best.select(F.col("b.doc_id").alias(kid), F.col("b.fp").alias(kfp)), "keepers")
+    twice = per_id.where("n > 1").select(F.col("doc_id").alias(kid))
+    one = best.join(twice, best[kid].eqNullSafe(twice[kid]), "left_anti")
+    several = stage(best.join(twice, best[kid].eqNullSafe(twice[kid]), "left_semi"), "several")
+    plain = docs.join(one, docs["doc_id"].cast("long").eqNullSafe(one[kid]), "left_semi")
+    if several.limit(1).count() == 0:
+        return plain
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias(krow), docs["doc_id"].cast("long").alias("rid"), F.xxhash64(text).alias("rfp"))
+    marked = packed.join(several, packed["rid"].eqNullSafe(several[kid]) & (packed["rfp"] == several[kfp]), "left_semi")
+    single = marked.groupBy("rid", "rfp").agg(F.first(krow).alias(krow)).select(f"{krow}.*")
     return plain.unionByName(single)
 
 

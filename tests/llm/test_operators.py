@@ -509,17 +509,32 @@ def test_keep_one_by_similarity(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {r["doc_id"] for r in simhash.keep_one(df).collect()}
     assert set(range(120)) | set(range(2000, 2120)) <= kept and not kept & set(near) and len(near) > 60
-    frame = spark.createDataFrame([(i, simhash.wide_fingerprint(t)) for i, t in rows], "fp long, wide binary")
+    texts = spark.createDataFrame(rows, "node long, text string")
     found = []
     for hot in (2, 20_000):
         classes = collections.defaultdict(set)
-        for r in simhash.wide_classes(frame, hot=hot).collect():
-            classes[r["class_fp"]].add(r["fp"])
+        for r in simhash.similar_classes(texts, hot=hot).collect():
+            classes[r["root"]].add(r["node"])
         found.append({frozenset(c) for c in classes.values()})
     assert found[0] == found[1]
 
 
-def test_keep_one_is_exact(spark):
+def test_blocks_of_minima():
+    assert simhash.block_recall(0.8) > 0.98 and simhash.block_recall(0.9) > 0.9999
+    rng, met = np.random.default_rng(5), collections.Counter()
+    for _ in range(300):
+        for j in (0.3, 0.8):
+            n = 200
+            common = round(2 * n * j / (1 + j))
+            h = rng.integers(-(2**63), 2**63 - 1, 2 * n - common)
+            a, b = np.sort(h[:n]), np.sort(h[n - common :])
+            met[j] += bool((simhash.sketch_blocks(a) == simhash.sketch_blocks(b)).any())
+            ma, mb = (simhash.parity_mark(x).view(np.uint64) for x in (a, b))
+            assert np.bitwise_count(ma ^ mb).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
+    assert met[0.8] >= 290 and met[0.3] <= 8
+
+
+def test_keep_one_by_exact_similarity(spark):
     rng = random.Random(80)
     texts = {}
     for i in range(150):  # pairs on both sides of 0.8, and some chains
@@ -535,7 +550,8 @@ def test_keep_one_is_exact(spark):
     assert sum(0.8 <= j < 0.85 for j in close) > 10 and sum(0.7 <= j < 0.8 for j in close) > 10
     want = {i for i, c in jaccard_classes(texts, texts, 0.8).items() if c == i}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert {r["doc_id"] for r in simhash.keep_one(df).collect()} == want
+    got = {r["doc_id"] for r in simhash.keep_one(df).collect()}
+    assert want <= got and len(got - want) <= 1  # none is lost wrongly; a pair at 0.8 is found with probability 0.98
 
 
 def test_op7(spark, data_dir, docs):
@@ -752,7 +768,8 @@ def test_pipeline(spark, data_dir, docs):
     kept = {i for i, ok in con.sql(f"WITH {quality_rules.duck_judged('documents')} SELECT doc_id, NOT base_failed AND NOT rejected FROM judged").fetchall() if ok}
     stage = corpus_pipeline.near_dedup(spark, spark.read.parquet(f"{data_dir}/documents.parquet").where(F.col("doc_id").isin(list(kept))), data_dir)
     single = {r["doc_id"] for r in stage.select("doc_id").collect()}
-    assert {i for i, c in jaccard_classes(docs, kept, 0.68).items() if c == i} <= single <= {i for i, c in jaccard_classes(docs, kept, 0.85).items() if c == i}
+    want = {i for i, c in jaccard_classes(docs, kept, 0.8).items() if c == i}
+    assert want <= single and len(single - want) <= 1
     kept = single
     items = [norm_words(t) for (t,) in duckdb.sql(f"SELECT text FROM '{data_dir}/benchmark.parquet'").fetchall()]
 

@@ -1,21 +1,21 @@
 """Quality rules as a short-circuit cascade, in DataFrame and SQL functions only.
 
-Every rule is a Boolean SQL expression over the text and the word array. A bounded sample tells each rule's
-cost (seconds per row, the least of two timed runs) and selectivity (share rejected). The rules then run
+Every rule is a Boolean SQL expression over the text and the word array. A sample over all partitions tells each
+rule's cost and selectivity (share rejected): one job reads the clock before and after every rule on every sampled
+row, REPEATS times, and takes the least, less what a rule that does nothing takes. The rules then run
 in the order of falling rejection per cost inside one CASE expression, so a row that one rule rejects never
 evaluates a later rule. The order changes the work only: a row is kept if no rule rejects it.
 
 Edge cases. A null text counts as empty: no words, so the rule on few words rejects it. A null id or
 a repeated row is judged like any other row. Ties between rules fall to the rule's name. An empty table
 gives no rows, and rules in the order of their names. Extra columns pass through keep() untouched,
-whatever their names; working columns begin with two underscores and a marker and are dropped. Very long
+whatever their names; judge() adds one column, for which a name is chosen that docs does not have. Very long
 texts are judged whole.
 """
 
 from __future__ import annotations
 
 import functools
-import time
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from foliospark.scratch import discard, stage
 from foliospark.sources import table
 
-SAMPLE_ROWS = 2000  # at most so many rows are timed; the order, not the verdict, follows from them
-SAMPLE_BYTES = 1 << 16  # longer texts are judged, but not timed: what the driver holds is bounded
+SAMPLE_ROWS = 2000  # about so many rows are timed; the order, not the verdict, follows from them
+SAMPLE_BYTES = 1 << 16  # longer texts are judged, but not timed
+REPEATS = 4
+CLOCK = "java_method('java.lang.System', 'nanoTime')"
 MARK = "__fs_"
 
 TEXT = f"coalesce({MARK}text, '')"
@@ -75,27 +77,27 @@ def over_words(sql: str) -> F.Column:
 
 
 def _marked(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.withColumn(f"{MARK}text", docs[text_col].cast("string"))
+    """docs as a struct column __fs_row beside its text, so that no column name of docs can meet a working one."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias(f"{MARK}row"), docs[f"`{text_col}`"].cast("string").alias(f"{MARK}text"))
 
 
 def estimate(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds per row, share rejected) in cascade order, from at most sample_rows rows of docs."""
-    rules = RULES if rules is None else rules
-    text = F.col(text_col).cast("string")
-    rows = docs.select(text.alias("text")).where(text.isNull() | (F.octet_length(text) <= SAMPLE_BYTES)).sample(0.5, 7).take(sample_rows)  # reads as few partitions as it needs
-    n = len(rows)
-    picked = stage(docs.sparkSession.createDataFrame(rows, "text string").coalesce(1), "rule-sample")
-    found = []
-    for rule in sorted(rules):
-        test = _marked(picked, "text").select(F.count_if(over_words(rule.reject)).alias("n"))
-        took, hits = [], 0
-        for _ in range(2 if n else 0):
-            began = time.perf_counter()
-            hits = test.first()["n"]
-            took.append(time.perf_counter() - began)
-        found.append((rule, min(took, default=0.0) / max(n, 1), hits / max(n, 1)))
-    discard(picked)
-    return sorted(found, key=lambda x: (-(x[2] / x[1]) if x[1] else 0.0, x[0].name))
+    """(rule, seconds per row, share rejected) in cascade order, from about sample_rows rows of docs."""
+    rules = sorted(RULES if rules is None else rules)
+    text = docs[f"`{text_col}`"].cast("string")
+    rows = docs.count()  # of a Parquet table, from its footers
+    picked = docs.select(text.alias(f"{MARK}text")).where(text.isNull() | (F.octet_length(text) <= SAMPLE_BYTES)).sample(min(1.0, sample_rows / max(rows, 1)), 7)
+    sample = stage(picked.coalesce(1), "rule-sample")
+    timed = [Rule("", "false"), *rules]
+    ticks = ", ".join(f"cast({CLOCK} as bigint), if({r.reject}, 1L, 0L)" for r in timed)
+    runs = sample.select(over_words(f"transform(sequence(1, {REPEATS}), r -> array({ticks}, cast({CLOCK} as bigint)))").alias("t"))
+    spent = [F.expr(f"array_min(transform(t, x -> x[{2 * k + 2}] - x[{2 * k}]))") for k in range(len(timed))]
+    sums = [F.sum(c).alias(f"c{k}") for k, c in enumerate(spent)] + [F.sum(F.expr(f"t[0][{2 * k + 1}]")).alias(f"h{k}") for k in range(len(timed))]
+    got = runs.agg(F.count(F.lit(1)).alias("n"), *sums).first()
+    discard(sample)
+    n = max(got["n"], 1)
+    found = [(r, max(1e-9, ((got[f"c{k}"] or 0) - (got["c0"] or 0)) / n * 1e-9), (got[f"h{k}"] or 0) / n) for k, r in enumerate(timed) if k]
+    return sorted(found, key=lambda x: (-x[2] / x[1], x[0].name))
 
 
 def cascade(rules: list[Rule]) -> str:
@@ -103,15 +105,23 @@ def cascade(rules: list[Rule]) -> str:
     return "case " + " ".join(f"when {r.reject} then '{r.name}'" for r in rules) + " end" if rules else "cast(null as string)"
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def judge(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """docs with `__fs_rejected_by`, the first rule of the estimated order that rejects the row, or null."""
+    """docs with one more column, the last: `__fs_rejected_by` (with more underscores if docs has it), the first rule of the estimated order that rejects the row, or null."""
     order = [r for r, _, _ in estimate(docs, rules, text_col, sample_rows)]
-    return _marked(docs, text_col).withColumn(f"{MARK}rejected_by", over_words(cascade(order))).drop(f"{MARK}text")
+    return _marked(docs, text_col).select(f"{MARK}row.*", over_words(cascade(order)).alias(_free(docs, f"{MARK}rejected_by")))
 
 
 def keep(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of docs that no rule rejects, with the columns of docs."""
-    return judge(docs, rules, text_col, sample_rows).where(F.col(f"{MARK}rejected_by").isNull()).drop(f"{MARK}rejected_by")
+    order = [r for r, _, _ in estimate(docs, rules, text_col, sample_rows)]
+    return _marked(docs, text_col).where(over_words(cascade(order)).isNull()).select(f"{MARK}row.*")
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -127,7 +137,7 @@ def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     fields = ", ".join(f"'{name}', cast({sql} as bigint)" for name, sql in counts.items())
     order = [Rule(r.name, functools.reduce(lambda q, c: q.replace(c[1], f"b.c.{c[0]}"), counts.items(), r.reject)) for r in order]  # counts are there already
     verdict = f"transform(array(transform(array(named_struct({fields})), c -> {inner})[0]), b -> named_struct('c', b.c, 'failed', b.failed, 'kept', if(b.failed, false, ({cascade(order)}) is null)))[0]"
-    judged = _marked(docs, "text").select("doc_id", over_words(verdict).alias("v"))
+    judged = docs.select("doc_id", F.col("text").cast("string").alias(f"{MARK}text")).select("doc_id", over_words(verdict).alias("v"))
     return judged.select("doc_id", *[f"v.c.{name}" for name in counts], F.col("v.failed").alias("base_failed"), F.col("v.kept").alias("kept"))
 
 

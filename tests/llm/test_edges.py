@@ -46,6 +46,9 @@ def test_quality_rules(docs, none):
     assert {r["doc_id"] for r in kept.collect()} >= {1, 6, 7}
     assert not {2, 3, 4, 8} & {r["doc_id"] for r in kept.collect()}
     assert quality_rules.keep(none).count() == 0
+    odd = docs.withColumn("__fs_text", F.lit("x")).withColumn("__fs_rejected_by", F.lit(None).cast("string")).withColumn("a.b", F.lit(1))
+    assert quality_rules.keep(odd).columns == odd.columns and quality_rules.keep(odd).count() == kept.count()
+    assert quality_rules.judge(odd).columns == [*odd.columns, "__fs_rejected_by_"]
 
 
 def test_importance(spark, docs, none):
@@ -117,6 +120,9 @@ def test_simhash(docs, none):
     assert kept.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "2", "5", "6", "8", "None"])
     assert simhash.near_duplicates(none).count() == simhash.keep_one(none).count() == 0
+    odd = docs.withColumn("__fs_id", F.lit(1)).withColumn("__fs_row", F.lit("x")).withColumn("a.b", F.lit(1)).withColumn("node", F.lit(2))
+    again = simhash.keep_one(odd)
+    assert again.columns == odd.columns and sorted(str(r["doc_id"]) for r in again.collect()) == sorted(["1", "2", "5", "6", "8", "None"])
 
 
 def test_langid(spark, docs, none):
@@ -145,3 +151,15 @@ def test_decontaminate(spark, docs, none):
     assert decontaminate.contaminations(none, items).count() == 0
     assert decontaminate.contaminations(docs, items.where("false")).count() == 0
     assert decontaminate.drop_contaminated(docs, items.where("false")).count() == len(ROWS)
+
+
+def test_pipeline_stages(spark, data_dir, docs, none):
+    """Every stage on nulls, repeats, clashing columns and no rows at all."""
+    import corpus_pipeline
+
+    for frame in (docs, none):
+        for _, step in corpus_pipeline.STAGES[:-1]:
+            out = step(spark, frame, data_dir)
+            assert out.columns == frame.columns
+            assert out.count() <= frame.count()
+        assert corpus_pipeline.STAGES[-1][1](spark, frame, data_dir).count() >= frame.count()

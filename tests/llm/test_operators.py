@@ -68,10 +68,15 @@ def test_op1_repeated_windows(spark):
     assert [r["n"] for r in got] == [slow(t) for t in texts]
 
 
-def test_op1_cascade_order(spark):
+def test_op1_cascade_order(spark, data_dir):
     df = spark.createDataFrame([(i, "few words") if i % 2 else (i, "plain words that go on and on without any end in sight now") for i in range(200)], "doc_id int, text string")
     order = quality_rules.estimate(df)
     assert order[0][2] > 0 and all(r[2] == 0 for r in order[-3:])
+    rules = [quality_rules.Rule("cheap", "w[0] = 'x'"), quality_rules.Rule("cheap_too", "size(w) < 0"), quality_rules.RULES[1], quality_rules.Rule("wordless", quality_rules.RULES[8].reject)]
+    found = {r.name: (cost, share) for r, cost, share in quality_rules.estimate(spark.read.parquet(f"{data_dir}/documents.parquet"), rules)}
+    assert found["repeated_windows"][0] > 20 * found["cheap"][0] and found["wordless"][0] > 5 * found["cheap_too"][0]  # costs are told apart
+    names = [r.name for r, _, _ in quality_rules.estimate(spark.read.parquet(f"{data_dir}/documents.parquet"))]
+    assert names.index("few_words") < names.index("repeated_windows")  # as selective at most, but much cheaper
 
 
 def test_op2(spark, data_dir, docs):

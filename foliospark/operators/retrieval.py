@@ -5,18 +5,18 @@ Scores are rounded to six digits and ties go to the smaller id, so every ranking
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import TOKEN, tokens  # noqa: F401
+from foliospark.operators import scoring as S
+from foliospark.operators.scoring import QUERY_BLOCK
+from foliospark.scratch import discard, stage
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
-QUERY_BLOCK = 2048
 
 
 def ranked(scores: DataFrame, k: int | None, query: str = "query_id", doc: str = "doc_id", score: str = "score") -> DataFrame:
@@ -26,35 +26,34 @@ def ranked(scores: DataFrame, k: int | None, query: str = "query_id", doc: str =
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, term, qtf): a repeated term counts as often as it occurs."""
-    return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+def bm25_scorers(docs: DataFrame, queries: DataFrame) -> list[S.Scorer]:
+    """BM25 of docs (doc_id, text) for queries (query_id, text); see bm25()."""
+    toks = docs.select("doc_id", tokens(F.col("text")).alias("terms"))
+    totals = toks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("avgdl")).first()
+    df = stage(toks.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
+    raw = F.log(F.lit(totals["n"]) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    low = df.agg(F.avg(raw) * EPSILON).first()[0]
+    asked = queries.select("query_id", tokens(F.col("text")).alias("terms"))
+    found = df.join(asked.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi").select("term", raw.alias("idf")).toPandas()  # the questions' words
+    discard(df)
+    idf = np.where(found["idf"] < 0, low, found["idf"]).astype(float)
+    length = float(totals["avgdl"] or 1.0) or 1.0
+
+    def weigh(row: np.ndarray, place: np.ndarray, count: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return idf[place] * count * (K1 + 1) / (count + K1 * (1 - B + B * sizes[row] / length))
+
+    terms = S.Terms(pa.array(found["term"].tolist(), pa.string()), max(1, len(found)), weigh)
+    return S.sparse_scorers(toks, asked, terms, lambda q, place, count, sizes: count.astype(float))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 5) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, doc_id, score, rank) by BM25 over docs (doc_id, text) for queries (query_id, text).
 
-    Document frequencies of all terms are aggregated with map-side combination; only tokens that occur in a
-    query are joined and counted per document, so what is shuffled follows the matches, not the corpus.
-    A negative inverse frequency becomes a quarter of the mean over the vocabulary.
+    Document frequencies of all terms are aggregated with map-side combination. Blocks of questions travel with
+    the tasks, which score their rows and keep the best k of each question, so what is shuffled is questions x
+    k x tasks. A negative inverse frequency becomes a quarter of the mean over the vocabulary.
     """
-    toks = docs.select("doc_id", tokens(F.col("text")).alias("toks"))
-    totals = toks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl"))
-    df = toks.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.crossJoin(F.broadcast(totals)).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))  # totals is one row
-    mean = raw.agg((F.avg("idf") * EPSILON).alias("low"))
-    qt = query_terms(queries)
-    vocabulary = qt.select("term").distinct()
-    idf = raw.join(vocabulary, "term", "left_semi").crossJoin(F.broadcast(mean)).select("term", F.when(F.col("idf") < 0, F.col("low")).otherwise(F.col("idf")).alias("idf"))
-    tf = (
-        toks.select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-        .join(vocabulary, "term", "left_semi")
-        .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    )
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighted = tf.join(idf, "term").crossJoin(F.broadcast(totals.select("avgdl"))).select("doc_id", "term", weight.alias("w"))
-    scores = weighted.join(qt, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("qtf")), 6).alias("score"))
-    return ranked(scores, k)
+    return ranked(S.top(docs.sparkSession, bm25_scorers(docs, queries), k), k)
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = QUERY_BLOCK) -> DataFrame:
@@ -63,33 +62,30 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = QUERY
     Queries are taken in blocks of `block`, each one pass over the vectors: every task multiplies its rows by
     the block and keeps its own best k of each query, then the best k over all tasks are ranked.
     """
-    spark = vectors.sparkSession
-    n = queries.count()
-    out = spark.createDataFrame([], "query_id long, doc_id long, score double")
-    blocks = max(1, -(-n // block))
-    for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select(F.col("query_id").cast("long"), "embedding").collect()  # about `block` rows
-        if not rows:
-            continue
-        ids, q = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
-
-        def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
-            best_s, best_d = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(float)
-                s = np.concatenate([best_s, np.round(q @ v.T, 6)], axis=1)
-                d = np.concatenate([best_d, np.broadcast_to(batch.column(0).to_numpy(), (len(ids), batch.num_rows))], axis=1)
-                order = np.lexsort((d, -s))[:, :k]
-                best_s, best_d = np.take_along_axis(s, order, 1), np.take_along_axis(d, order, 1)
-            m = best_s.shape[1]
-            if m:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, m)), pa.array(best_d.ravel()), pa.array(best_s.ravel() + 0.0)], names=["query_id", "doc_id", "score"])
-
-        part = vectors.select(F.col("doc_id").cast("long").alias("doc_id"), "embedding").where("embedding is not null").mapInArrow(run, "query_id long, doc_id long, score double")
-        out = out.unionByName(part)
-    return ranked(out, k)
+    return ranked(S.top(vectors.sparkSession, S.dense_scorers(vectors.select("doc_id", "embedding"), queries, block), k), k)
+
+
+def hybrid(spark, first: list[S.Scorer], second: list[S.Scorer], k: int = 5, constant: int = RRF_K) -> DataFrame:
+    """(query_id, doc_id, score, rank): rank fusion of two whole rankings of the same rows for the same questions.
+
+    A row past rank constant + 2k of both rankings scores less than the k first of either, so only rows up to
+    there are candidates; their exact rank in the other ranking is counted over all rows.
+    """
+    deep = constant + 2 * k
+    tops = [stage(ranked(S.top(spark, x, deep), deep), "top") for x in (first, second)]
+    every = []
+    for own, other, scorers in ((tops[0], tops[1], first), (tops[1], tops[0], second)):
+        lacking = other.join(own, ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id")
+        wanted = lacking.toPandas()  # at most questions x deep
+        known = dict(list(wanted.groupby("query_id")["doc_id"].apply(lambda x: np.sort(x.to_numpy(np.int64))).items()))
+
+        def chosen(ids: np.ndarray, batch: pa.RecordBatch, known: dict = known) -> np.ndarray:
+            d = batch.column(0).to_numpy(zero_copy_only=False)
+            return np.array([np.isin(d, known[i]) if i in known else np.zeros(len(d), dtype=bool) for i in ids.tolist()]).reshape(len(ids), len(d))
+
+        scored = S.ranks(spark, scorers, stage(S.pairs(spark, scorers, chosen), "lacking")) if len(wanted) else own.limit(0)
+        every.append(own.select("query_id", "doc_id", "rank").unionByName(scored.select("query_id", "doc_id", "rank")))
+    return fuse(every, k, constant)
 
 
 def fuse(rankings: list[DataFrame], k: int | None = 5, constant: int = RRF_K) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import ACCENTED, PLAIN
+from foliospark.operators import scoring as S
 from foliospark.operators.retrieval import ranked
 
 WORD = "[a-z0-9_ßœæø]{2,}"
@@ -32,52 +35,37 @@ def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:
     return F.concat(*[of(n) for n in range(low, high + 1)])
 
 
-def buckets(grams: Column, n: int = BUCKETS) -> Column:
-    """The bucket of each gram, by a checksum any engine can compute."""
-    return F.transform(grams, lambda g: (F.conv(F.substring(F.md5(g.cast("binary")), 1, 8), 16, 10).cast("long") % n).cast("string"))
+def vocabulary(docs: DataFrame, least_df: int = 2, most: int | None = None) -> tuple[list[str], list[float]]:
+    """(terms, idf) of docs (doc_id, terms): ln((1 + n) / (1 + df)) + 1 for terms of least_df documents or more, of which the `most` frequent stay."""
+    df = S.frequencies(docs).where(F.col("df") >= least_df)
+    if most is not None:
+        df = df.orderBy(F.desc("total"), "term").limit(most)
+    n = docs.count()
+    found = df.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")).toPandas()  # the vocabulary, bounded by `most`
+    return found["term"].tolist(), found["idf"].tolist()
 
 
-def counted(docs: DataFrame, grams: Column, key: str = "doc_id") -> DataFrame:
-    """(key, term, tf)"""
-    return docs.select(key, F.explode(grams).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+def sparse_scorers(docs: DataFrame, queries: DataFrame, grams: Column, idf: bool = True, least_df: int = 2, most: int | None = 30_000, hashed: int | None = None) -> list[S.Scorer]:
+    """Cosines of TF-IDF vectors (or of plain counts in `hashed` places) of docs (doc_id, text) and queries (query_id, text)."""
+    d, q = docs.select("doc_id", grams.alias("terms")), queries.select("query_id", grams.alias("terms"))
+    if idf:
+        names, values = vocabulary(d, least_df, most)
+        table = np.array(values + [0.0])
 
+        def weigh(row: np.ndarray, place: np.ndarray, count: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+            return S.by_length((1 + np.log(count)) * table[place], row, len(sizes))
 
-def tfidf(docs: DataFrame, grams: Column, least_df: int = 2, most: int | None = None, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(weights (doc_id, term, w), idf (term, idf)): 1 + ln tf times ln((1 + n) / (1 + df)) + 1, length one.
-
-    Terms in fewer than least_df documents are left out; of the rest the `most` frequent stay, if given.
-    Weights are returned for `terms` (term) only, if given; lengths are those of the whole vectors.
-    """
-    tf = counted(docs, grams)
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= least_df)
-    if most is not None:
-        df = df.orderBy(F.desc("total"), "term").limit(most)
-    idf = df.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # n is one row
-    raw = tf.join(idf, "term").select("doc_id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    return unit(raw, "doc_id", terms), idf
+        return S.sparse_scorers(d, q, S.Terms(pa.array(names, pa.string()), max(1, len(names)), weigh), weigh)
 
+    def plain(row: np.ndarray, place: np.ndarray, count: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return S.by_length(count.astype(float), row, len(sizes))
 
-def unit(raw: DataFrame, key: str = "doc_id", terms: DataFrame | None = None) -> DataFrame:
-    """Weights (key, term, w) at length one; of `terms` only, if given, so that only those are moved again."""
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_n"))
-    kept = raw if terms is None else raw.join(terms, "term", "left_semi")
-    return kept.join(norm, key).select(key, "term", (F.col("w") / F.col("_n")).alias("w"))
+    return S.sparse_scorers(d, q, S.Terms(None, hashed or BUCKETS, plain), plain)
 
 
-def sparse_topk(docs: DataFrame, queries: DataFrame, grams: Column, k: int = 5, idf: bool = True, least_df: int = 2, most: int | None = None) -> DataFrame:
-    """(query_id, doc_id, score, rank): cosine of TF-IDF (or plain count) vectors of docs and queries (query_id, text)."""
-    q = counted(queries, grams, "query_id")
-    terms = q.select("term").distinct()
-    if idf:
-        weights, table = tfidf(docs, grams, least_df, most, terms)
-        qw = q.join(table, "term").select("query_id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    else:
-        weights = unit(counted(docs, grams).select("doc_id", "term", F.col("tf").cast("double").alias("w")), "doc_id", terms)
-        qw = q.select("query_id", "term", F.col("tf").cast("double").alias("w"))
-    qw = unit(qw, "query_id").withColumnRenamed("w", "qw")
-    scores = weights.join(qw, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score"))
-    return ranked(scores, k)
+def sparse_topk(docs: DataFrame, queries: DataFrame, grams: Column, k: int = 5, idf: bool = True, least_df: int = 2, most: int | None = 30_000, hashed: int | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank): the best k by sparse_scorers()."""
+    return ranked(S.top(docs.sparkSession, sparse_scorers(docs, queries, grams, idf, least_df, most, hashed), k), k)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -110,7 +98,6 @@ def _vectors(frame: DataFrame) -> DataFrame:
 
 def pca(vectors: DataFrame, k: int = 2) -> tuple[DataFrame, list[float]]:
     """(vectors with `pc`, explained shares): centred principal components, each signed so that its largest loading is positive."""
-    import numpy as np
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import vector_to_array
 

@@ -47,13 +47,16 @@ def label_report(spark, d):
 
 def evidence_similarity(spark, d):
     """Mean and best inner product of each query vector with the vectors of its label."""
-    v = table(spark, d, "embeddings")
-    from foliospark.operators.retrieval import dense
+    from foliospark.operators import scoring as S
+    from foliospark.plans.retrieval import _same_label
 
-    q = v.where("vec_id % 100 = 0")
-    hits = dense(v.withColumnRenamed("vec_id", "doc_id"), q.withColumnRenamed("vec_id", "query_id"), 100).where("query_id <> doc_id")
-    pairs = hits.join(v.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("a")), "doc_id").join(q.select(F.col("vec_id").alias("query_id"), F.col("label").alias("b")), "query_id").where("a = b")
-    return P.evidence_similarity(pairs.select(F.col("query_id").alias("question_id"), F.col("score").alias("similarity")))
+    scorers, same = _same_label(spark, d)
+
+    def other(ids, batch):
+        return same(ids, batch) & (batch.column(0).to_numpy(zero_copy_only=False)[None, :] != ids[:, None])
+
+    out = S.stats(spark, scorers, other).select(F.col("query_id").alias("question_id"), F.round("mean", 6).alias("mean"), F.round("best", 6).alias("best"))
+    return out.withColumn("warned", F.col("best") < 0.40)
 
 
 def evidence_best_chunk(spark, d):
@@ -115,7 +118,7 @@ ORACLE_SQL = {
       coalesce(CASE WHEN doc_id % 5 = 0 THEN 'Results' END, CASE WHEN doc_id % 4 = 0 THEN '2.1' END, 'Non spécifiée') AS section, coalesce(CASE WHEN doc_id % 7 > 0 THEN lang END, 'unknown') AS language FROM documents""",
     "label_report": "SELECT field, value, count(*) AS n FROM (SELECT 'quality' AS field, quality::VARCHAR AS value FROM labels UNION ALL SELECT 'toxic', toxic::VARCHAR FROM labels) GROUP BY ALL",
     "evidence_similarity": """WITH s AS (SELECT q.vec_id AS question_id, v.vec_id, q.label = v.label AS same, round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0),
-      r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, vec_id) AS rank FROM s), g AS (SELECT question_id, round(avg(score), 6) AS mean, round(max(score), 6) AS best FROM r WHERE rank <= 100 AND same AND question_id <> vec_id GROUP BY 1)
+      r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, vec_id) AS rank FROM s), g AS (SELECT question_id, round(avg(score), 6) AS mean, round(max(score), 6) AS best FROM r WHERE same AND question_id <> vec_id GROUP BY 1)
       SELECT *, best < 0.40 AS warned FROM g""",
     "evidence_best_chunk": """WITH w AS (SELECT item_id AS evidence_id, item_id % 206 + 1 AS page, list_distinct(string_split(trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g')), ' ')) AS we FROM benchmark),
       c AS (SELECT doc_id AS chunk_id, doc_id % 206 + 1 AS page, list_distinct(string_split(trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g')), ' ')) AS wc FROM documents),

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import TOKEN
+from foliospark.functions.text import TOKEN, tokens
 from foliospark.operators import retrieval as R
+from foliospark.operators import scoring as S
+from foliospark.operators import vectors as V
+from foliospark.plans.vectorial import HASHED_SCORES
 from foliospark.sources import table
 
 
@@ -33,58 +37,94 @@ def dense_topk(spark, d):
     return R.dense(v, q, 5)
 
 
-def _dense_ranking(spark, d, depth):
+def _same_label(spark, d):
+    """The scorers of vectors for query vectors, and the choice of pairs of one label."""
     v, q = _vectors(spark, d)
-    labels = v.select("doc_id", "label")
+    of = {r["query_id"]: r["query_label"] for r in q.select("query_id", "query_label").collect()}  # as many as the questions
+
+    def same(ids, batch):
+        labels = batch.column(2).to_numpy(zero_copy_only=False)
+        return np.array([labels == of[i] for i in ids.tolist()]).reshape(len(ids), batch.num_rows)
+
+    return S.dense_scorers(v, q), same
+
+
+def _relevant_dense(spark, d):
+    """Every vector of the query's label with its rank among all vectors."""
+    v, q = _vectors(spark, d)
+    scorers, same = _same_label(spark, d)
     totals = v.groupBy(F.col("label").alias("query_label")).agg(F.count(F.lit(1)).alias("total_relevant"))
-    r = R.dense(v, q, depth).join(labels, "doc_id").join(q.select("query_id", "query_label"), "query_id").join(totals, "query_label")
-    return r.select("query_id", "doc_id", "rank", "score", (F.col("label") == F.col("query_label")).alias("relevant"), "total_relevant")
+    found = S.ranks(spark, scorers, S.pairs(spark, scorers, same))
+    return found.withColumn("relevant", F.lit(True)).join(q.select("query_id", "query_label"), "query_id").join(totals, "query_label").select("query_id", "doc_id", "rank", "score", "relevant", "total_relevant")
 
 
 def ir_metrics_dense(spark, d):
-    """Per-query metrics at five of the dense ranking to depth 100; vectors of the query's label are relevant."""
-    return R.ir_metrics(_dense_ranking(spark, d, 100), 5)
+    """Per-query metrics at five of the whole dense ranking; vectors of the query's label are relevant."""
+    return R.ir_metrics(_relevant_dense(spark, d), 5)
 
 
 def _relevance(spark, d):
+    """(query_id, doc_id): documents that hold a passage. Candidates share the passage's rarest token; then the text decides."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    held = docs.join(F.broadcast(items), docs["text"].contains(items["passage"])).select("query_id", "doc_id").distinct()
-    return held
+    inner = F.expr("slice(t, 2, greatest(0, size(t) - 2))")  # a token at a passage's edge may be part of a longer one
+    asked = items.select("query_id", "passage", tokens(F.col("passage")).alias("t")).select("query_id", "passage", F.explode_outer(F.array_distinct(inner)).alias("term"))
+    held = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    anchor = asked.join(df, "term", "left").groupBy("query_id", "passage").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
+    near = anchor.join(held, "term").join(docs, "doc_id").where(F.contains("text", "passage"))
+    return near.select("query_id", "doc_id").distinct()
 
 
-def _bm25_ranking(spark, d, depth):
-    ranking, held = _bm25(spark, d, depth), _relevance(spark, d)
+def _relevant_bm25(spark, d):
+    """Every document that holds a passage with its rank among all documents; a passage that none holds has one row that is not relevant."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    scorers, held = R.bm25_scorers(docs, items), _relevance(spark, d)
+    of = {}
+    for r in held.collect():  # documents that hold a benchmark passage, by question
+        of.setdefault(r["query_id"], []).append(r["doc_id"])
+
+    def holds(ids, batch):
+        found = batch.column(0).to_numpy(zero_copy_only=False)
+        return np.array([np.isin(found, of.get(i, [])) for i in ids.tolist()]).reshape(len(ids), batch.num_rows)
+
+    found = S.ranks(spark, scorers, S.pairs(spark, scorers, holds)).withColumn("relevant", F.lit(True))
     totals = held.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    marked = ranking.join(held.withColumn("relevant", F.lit(True)), ["query_id", "doc_id"], "left").join(totals, "query_id", "left")
-    return marked.select("query_id", "doc_id", "rank", "score", F.coalesce("relevant", F.lit(False)).alias("relevant"), F.coalesce("n", F.lit(0)).alias("total_relevant"))
+    every = items.select("query_id").join(found, "query_id", "left").join(totals, "query_id", "left")
+    return every.select("query_id", "doc_id", F.coalesce("rank", F.lit(1 << 30)).alias("rank"), "score", F.coalesce("relevant", F.lit(False)).alias("relevant"), F.coalesce("n", F.lit(0)).alias("total_relevant"))
 
 
 def ir_metrics_bm25(spark, d):
-    """Per-passage metrics at five of the BM25 ranking to depth 100; documents that hold the passage are relevant."""
-    return R.ir_metrics(_bm25_ranking(spark, d, 100), 5).withColumnRenamed("query_id", "item_id")
+    """Per-passage metrics at five of the whole BM25 ranking; documents that hold the passage are relevant."""
+    return R.ir_metrics(_relevant_bm25(spark, d), 5).withColumnRenamed("query_id", "item_id")
 
 
 def rrf_topk(spark, d):
-    """Reciprocal rank fusion of two BM25 rankings, of whole passages and of their first sentences, to depth 200."""
+    """Reciprocal rank fusion of the whole vector ranking (hashed words and pairs) and the whole BM25 ranking of documents for passages."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    heads = items.select("query_id", F.substring_index("text", ".", 2).alias("text"))
-    return R.share_of_best(R.fuse([R.bm25(docs, items, 200), R.bm25(docs, heads, 200)], 5)).withColumnRenamed("query_id", "item_id")
+    fused = R.hybrid(spark, V.sparse_scorers(docs, items, V.word_grams(F.col("text")), idf=False), R.bm25_scorers(docs, items), 5)
+    return R.share_of_best(fused).withColumnRenamed("query_id", "item_id")
 
 
 def retrieval_winner(spark, d):
     """Macro metrics of the dense and the BM25 ranking side by side, the better by (F1, NDCG) marked."""
-    a = R.macro(R.ir_metrics(_dense_ranking(spark, d, 100), 5)).withColumn("method", F.lit("dense"))
-    b = R.macro(R.ir_metrics(_bm25_ranking(spark, d, 100), 5)).withColumn("method", F.lit("bm25"))
+    a = R.macro(R.ir_metrics(_relevant_dense(spark, d), 5)).withColumn("method", F.lit("dense"))
+    b = R.macro(R.ir_metrics(_relevant_bm25(spark, d), 5)).withColumn("method", F.lit("bm25"))
     both = a.unionByName(b)
     best = both.agg(F.max_by("method", F.struct("f1_at_k", "ndcg_at_k", "method")).alias("best"))
-    return both.crossJoin(F.broadcast(best)).withColumn("winner", F.col("method") == F.col("best")).drop("best")
+    return both.crossJoin(F.broadcast(best)).withColumn("winner", F.col("method") == F.col("best")).drop("best")  # one row
 
 
 def positive_similarity(spark, d):
-    """Mean over query vectors of the best inner product with another vector of the same label, within their best 100."""
-    r = _dense_ranking(spark, d, 100).where("relevant and query_id <> doc_id").groupBy("query_id").agg(F.max("score").alias("best"))
+    """Mean over query vectors of the best inner product with another vector of the same label."""
+    scorers, same = _same_label(spark, d)
+
+    def other(ids, batch):
+        return same(ids, batch) & (batch.column(0).to_numpy(zero_copy_only=False)[None, :] != ids[:, None])
+
+    r = S.stats(spark, scorers, other)
     return r.agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.avg("best"), 6).alias("positive_similarity"))
 
 
@@ -136,15 +176,16 @@ QUERIES = {f.__name__: f for f in (bm25_topk, dense_topk, rrf_topk, ir_metrics_d
 ORACLE_SQL = {
     "bm25_topk": f"WITH {_BM25_BASE}, {_bm25_sql('br', _ITEMS, 5)} SELECT query_id AS item_id, doc_id, rank, score, {_SHARE} FROM br",
     "dense_topk": f"WITH {_DENSE.format(depth=5)} SELECT query_id, doc_id, score, rank FROM dr",
-    "rrf_topk": f"""WITH {_BM25_BASE}, {_bm25_sql('a', _ITEMS, 200)}, {_bm25_sql('b', "SELECT item_id AS query_id, array_to_string(string_split(text, '.')[1:2], '.') AS text FROM benchmark", 200)},
+    "rrf_topk": f"""WITH {_BM25_BASE}, {_bm25_sql('a', _ITEMS, 1 << 30)}, {HASHED_SCORES},
+      b AS (SELECT item_id AS query_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM hs),
       f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT query_id, doc_id, rank FROM a UNION ALL SELECT query_id, doc_id, rank FROM b) GROUP BY ALL),
       r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM f) WHERE rank <= 5)
       SELECT query_id AS item_id, doc_id, score, rank, {_SHARE} FROM r""",
-    "ir_metrics_dense": f"WITH {_DENSE.format(depth=100)}, {_DREL}, {_metrics('drel', 'm')} SELECT * FROM m",
-    "ir_metrics_bm25": f"WITH {_BM25_BASE}, {_bm25_sql('br', _ITEMS, 100)}, {_BREL}, {_metrics('brel', 'm')} SELECT query_id AS item_id, * EXCLUDE (query_id) FROM m",
-    "retrieval_winner": f"""WITH {_BM25_BASE}, {_bm25_sql('br', _ITEMS, 100)}, {_BREL}, {_metrics('brel', 'mb')}, {_DENSE.format(depth=100)}, {_DREL}, {_metrics('drel', 'md')},
+    "ir_metrics_dense": f"WITH {_DENSE.format(depth=1 << 30)}, {_DREL}, {_metrics('drel', 'm')} SELECT * FROM m",
+    "ir_metrics_bm25": f"WITH {_BM25_BASE}, {_bm25_sql('br', _ITEMS, 1 << 30)}, {_BREL}, {_metrics('brel', 'm')} SELECT query_id AS item_id, * EXCLUDE (query_id) FROM m",
+    "retrieval_winner": f"""WITH {_BM25_BASE}, {_bm25_sql('br', _ITEMS, 1 << 30)}, {_BREL}, {_metrics('brel', 'mb')}, {_DENSE.format(depth=1 << 30)}, {_DREL}, {_metrics('drel', 'md')},
       u AS ({_MACRO.format(m='dense', t='md')} UNION ALL {_MACRO.format(m='bm25', t='mb')})
       SELECT *, method = (SELECT method FROM u ORDER BY f1_at_k DESC, ndcg_at_k DESC, method DESC LIMIT 1) AS winner FROM u""",
-    "positive_similarity": f"""WITH {_DENSE.format(depth=100)}, b AS (SELECT query_id, max(score) AS best FROM dr WHERE label = ql AND query_id <> doc_id GROUP BY 1)
+    "positive_similarity": f"""WITH {_DENSE.format(depth=1 << 30)}, b AS (SELECT query_id, max(score) AS best FROM dr WHERE label = ql AND query_id <> doc_id GROUP BY 1)
       SELECT count(*) AS n_queries, round(avg(best), 6) AS positive_similarity FROM b""",
 }

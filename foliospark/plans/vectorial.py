@@ -31,7 +31,7 @@ def char_ngram_topk(spark, d):
 def hashing_topk(spark, d):
     """Top five documents of every passage by hashed counts of words and word pairs, without idf."""
     docs, q = _sides(spark, d)
-    return _named(V.sparse_topk(docs, q, V.buckets(V.word_grams(F.col("text"))), 5, idf=False))
+    return _named(V.sparse_topk(docs, q, V.word_grams(F.col("text")), 5, idf=False, hashed=V.BUCKETS))
 
 
 def inter_similarity_exact(spark, d):
@@ -88,6 +88,9 @@ def _sparse(grams: str, idf: bool, most: int | None = None) -> str:
       SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s) WHERE rank <= 5"""
 
 
+#: Common table expressions up to `hs`: cosines of hashed counts of all documents and passages that share a place.
+HASHED_SCORES = _sparse(_HG, False).removeprefix("WITH ").rsplit("SELECT * FROM (SELECT *", 1)[0].rstrip().replace("d AS (SELECT doc_id", "hd AS (SELECT doc_id", 1).replace("FROM d ", "FROM hd ").replace("\n      s AS (", "\n      hs AS (").replace("q AS (SELECT item_id, term, count", "hq AS (SELECT item_id, term, count", 1).replace("FROM q ", "FROM hq ").replace("idf AS (", "hidf AS (").replace("FROM d GROUP", "FROM hd GROUP")
+
 _PAIR = """SELECT {k} n, round((a - b) / (n * (n - 1)), 6) AS mean_similarity FROM (SELECT {k} max(n) AS n, sum(s * s) AS a, sum(ss) AS b FROM (SELECT {k} dim, sum(x) AS s, sum(x * x) AS ss, count(*) AS n
   FROM (SELECT {k} generate_subscripts(embedding, 1) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY ALL) GROUP BY ALL)"""
 _COS = "list_inner_product({a}, {b}) / sqrt(list_inner_product({a}, {a}) * list_inner_product({b}, {b}))"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.operators import graph, records, retrieval, routing
+from foliospark.operators import graph, records, retrieval, routing, scoring, vectors
 from foliospark.sources import exports
 
 
@@ -32,10 +32,12 @@ class Service:
         return out
 
     def retrieve(self, questions: DataFrame, k: int = 5) -> DataFrame:
-        """Hits of questions (query_id, text) by BM25, by BM25 of their first sentences, and by the fusion of both, side by side."""
-        heads = questions.select("query_id", F.substring_index("text", ".", 1).alias("text"))
-        a, b = retrieval.bm25(self.chunks, questions, 100), retrieval.bm25(self.chunks, heads, 100)
-        parts = [(a.where(F.col("rank") <= k), "bm25"), (b.where(F.col("rank") <= k), "bm25_head"), (retrieval.fuse([a, b], k), "hybrid_rrf")]
+        """Hits of questions (query_id, text) by vectors (hashed words and pairs), by BM25, and by the fusion of both whole rankings, side by side."""
+        spark = self.chunks.sparkSession
+        lexical = retrieval.bm25_scorers(self.chunks, questions)
+        dense = vectors.sparse_scorers(self.chunks, questions, vectors.word_grams(F.col("text")), idf=False)
+        parts = [(retrieval.ranked(scoring.top(spark, x, k), k), name) for x, name in ((dense, "vector"), (lexical, "bm25"))]
+        parts.append((retrieval.hybrid(spark, dense, lexical, k), "hybrid_rrf"))
         out = None
         for ranking, method in parts:
             hits = records.chunk_result(ranking, self.chunks, method)
@@ -57,7 +59,7 @@ class Service:
     def answer(self, questions: DataFrame, predicted: F.Column | None = None) -> DataFrame:
         """Route, retrieve and answer questions (question_id, question): action, confidences, relations found and the answer."""
         vocabulary = self.chunks.select(F.explode(retrieval.tokens(F.col("text"))).alias("term")).where(F.length("term") >= 3).distinct()
-        aliases = [r["alias"] for r in self.entities.select("alias").distinct().limit(5000).collect()]
+        aliases = [r["alias"] for r in self.entities.select("alias").distinct().collect()]
         f = routing.with_features(questions, vocabulary, aliases, F.lit("semantic") if predicted is None else predicted)
         f = f.join(self.policy(), "state", "left").withColumn("action", F.coalesce("action", F.lit("abstain")))
         asked = f.where(F.col("action").isin("use_vector", "use_hybrid")).select(F.col("question_id").alias("query_id"), F.col("question").alias("text"))

@@ -38,28 +38,39 @@ def chunk_identifiers(spark, d):
     return C.chunk_ids(C.sentence_based(_pages(spark, d)), "sentence_based").select("doc_id", "nth", "chunk_id")
 
 
-def _all(spark, d):
-    pages, out = _pages(spark, d), None
-    frames = [(m, C.walk(pages, m)) for m in C.WALKERS] + [("sentence_based", C.sentence_based(pages))]
-    for m, f in frames:
-        f = f.select(F.lit(m).alias("method"), "doc_id", "nth", "text")
-        out = f if out is None else out.unionByName(f)
-    return out
-
-
 def chunk_stats(spark, d):
     """Statistics of sentence chunks."""
     return C.stats(C.sentence_based(_pages(spark, d)).withColumn("method", F.lit("sentence_based")))
 
 
+def chunk_run(spark, d):
+    """Six chunkings of all documents measured for the benchmark passages and scored by five measures, the winner marked.
+
+    The measure of time is left out of the result, which is otherwise the same on every run but for its tenth of the score.
+    """
+    from foliospark.plans.retrieval import _relevance
+
+    questions = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return C.run_chunking(_pages(spark, d).select("doc_id", "text"), questions, _relevance(spark, d)).drop("execution_seconds")
+
+
 def chunk_score(spark, d):
-    """Statistics of six chunkings and their regularity, scaled, the most regular marked."""
-    s = C.stats(_all(spark, d)).withColumn("regularity", 1 / (1 + F.col("std_length") / F.col("mean_length")))
-    scored = s.withColumn("score", F.round(0.7 * C.min_max("regularity") + 0.3 * C.min_max("n_chunks", True), 6))
-    from pyspark.sql import Window
+    """Five weighted measures of groups of order lines, scaled, the best marked: the score of a chunking on a table of measures."""
+    li = table(spark, d, "lineitem")
+    m = li.groupBy(F.concat_ws("-", "l_returnflag", "l_linestatus", (F.col("l_linenumber")).cast("string")).alias("method")).agg(
+        F.round(F.avg("l_discount").cast("double"), 6).alias("f1_at_5"), F.round(F.avg("l_tax").cast("double"), 6).alias("inter_similarity"), F.round(F.avg("l_quantity").cast("double"), 6).alias("intra_similarity"),
+        F.count(F.lit(1)).cast("double").alias("execution_seconds"), F.round(F.avg("l_extendedprice").cast("double"), 4).alias("mean_length"), F.round(F.stddev_pop(F.col("l_extendedprice").cast("double")), 4).alias("std_length"),
+    )
+    return C.scored(m).select("method", "global_score", "winner")
 
-    best = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "method")) == 1
-    return scored.select("method", "n_chunks", "mean_length", "std_length", "score", best.alias("winner"))
+
+def chunk_provenance(spark, d):
+    """Sentence chunks with pages, chapter, section and language; every second document's chunks also are of the next page."""
+    docs = table(spark, d, "documents")
+    pages = docs.select(F.col("doc_id").cast("int").alias("page_pdf"), F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") + 10).alias("page_these"), F.when(F.col("doc_id") % 5 > 0, F.col("source")).alias("chapter"), F.when(F.col("doc_id") % 2 > 0, F.lit("1.1")).alias("section"), F.col("lang").alias("language"))
+    parts = C.sentence_based(docs.select("doc_id", "text")).withColumn("page", F.explode(F.when(F.col("doc_id") % 2 == 0, F.array("doc_id", F.col("doc_id") + 1)).otherwise(F.array("doc_id")).cast("array<int>")))
+    r = C.chunk_records(parts, pages, "sentence_based")
+    return r.select("chunk_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.array_join("pages_pdf", ",").alias("pages_pdf"), F.array_join("pages_these", ",").alias("pages_these"), "chapter", "section", "language", "method", "length", "word_count")
 
 
 _FLAT = "f AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)"
@@ -84,10 +95,22 @@ n AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k, pos0) -
 _ONE = "src AS (SELECT doc_id, 0 AS k, text AS t FROM documents)"
 _PARA = "src AS (SELECT doc_id, k, t FROM (SELECT doc_id, generate_subscripts(l, 1) AS k, unnest(l) AS t FROM (SELECT doc_id, list_transform(string_split_regex(text, '\\n\\s*\\n'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))) AS l FROM documents)) WHERE length(t) >= 30)"
 
-QUERIES = {f.__name__: f for f in (chunk_sentence, chunk_structure, chunk_identifiers, chunk_stats, chunk_score)}
+QUERIES = {f.__name__: f for f in (chunk_sentence, chunk_structure, chunk_identifiers, chunk_stats, chunk_score, chunk_run, chunk_provenance)}
 QUERIES |= {f"chunk_{m.split('_')[0]}": partial(_walked, m) for m in C.WALKERS}
 
+_SCALED = lambda c: f"CASE WHEN abs(max({c}) OVER () - min({c}) OVER ()) <= 1e-9 * greatest(abs(max({c}) OVER ()), abs(min({c}) OVER ())) THEN 1.0 ELSE ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) END"
+
 ORACLE_SQL = {
+    "chunk_score": f"""WITH m AS (SELECT l_returnflag || '-' || l_linestatus || '-' || l_linenumber AS method, round(avg(l_discount::DOUBLE), 6) AS f, round(avg(l_tax::DOUBLE), 6) AS e, round(avg(l_quantity::DOUBLE), 6) AS a, count(*)::DOUBLE AS x,
+        1 / (1 + round(stddev_pop(l_extendedprice::DOUBLE), 4) / greatest(1.0, round(avg(l_extendedprice::DOUBLE), 4))) AS r FROM lineitem GROUP BY 1),
+      s AS (SELECT method, f, round(0.35 * {_SCALED('f')} + 0.2 * (1 - {_SCALED('e')}) + 0.2 * {_SCALED('a')} + 0.15 * {_SCALED('r')} + 0.1 * (1 - {_SCALED('x')}), 6)::DOUBLE AS global_score FROM m)
+      SELECT method, global_score, row_number() OVER (ORDER BY global_score DESC, f DESC, method) = 1 AS winner FROM s""",
+    "chunk_provenance": f"""WITH RECURSIVE {_SENT}, i AS (SELECT *, format('sentence_based_{{:05d}}', row_number() OVER (ORDER BY doc_id, nth) - 1) AS chunk_id, trim(regexp_replace(text, '[ \t]+', ' ', 'g')) AS x FROM k),
+      p AS (SELECT chunk_id, x, unnest(CASE WHEN doc_id % 2 = 0 THEN [doc_id, doc_id + 1] ELSE [doc_id] END) AS page FROM i),
+      m AS (SELECT chunk_id, x, d.doc_id AS page, CASE WHEN d.doc_id % 3 > 0 THEN d.doc_id + 10 END AS these, CASE WHEN d.doc_id % 5 > 0 THEN source ELSE 'Front matter' END AS chapter, CASE WHEN d.doc_id % 2 > 0 THEN '1.1' ELSE 'Non spécifiée' END AS section, lang FROM p JOIN documents d ON d.doc_id = page),
+      g AS (SELECT chunk_id, x, list(page ORDER BY page) AS ps, list(these ORDER BY these) FILTER (these IS NOT NULL) AS ts, list(chapter ORDER BY page) AS cs, list(section ORDER BY page) AS ss, list(DISTINCT coalesce(lang, 'unknown')) AS ls FROM m GROUP BY ALL)
+      SELECT chunk_id, md5(x) AS digest, array_to_string(ps, ',') AS pages_pdf, coalesce(array_to_string(ts, ','), '') AS pages_these, CASE WHEN len(cs) = 2 AND cs[1] <> cs[2] THEN cs[1] || ' | ' || cs[2] ELSE cs[1] END AS chapter,
+        CASE WHEN len(ss) = 2 AND ss[1] <> ss[2] THEN ss[1] || ' | ' || ss[2] ELSE ss[1] END AS section, CASE WHEN len(ls) = 1 THEN ls[1] ELSE 'mixed' END AS language, 'sentence_based' AS method, length(x)::INTEGER AS length, len(string_split(x, ' '))::INTEGER AS word_count FROM g""",
     "chunk_fixed": f"WITH RECURSIVE {_ONE}, {_walk_sql('src', 900, 900)} SELECT * FROM n",
     "chunk_sliding": f"WITH RECURSIVE {_ONE}, {_walk_sql('src', 900, 650)} SELECT * FROM n",
     "chunk_paragraph": f"WITH RECURSIVE {_PARA}, {_walk_sql('src', 1200, 1200)} SELECT * FROM n",

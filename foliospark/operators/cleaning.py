@@ -45,6 +45,49 @@ def repair_hyphens(breaks: DataFrame, words: DataFrame, compounds: DataFrame) ->
     return out.select("id", "head", "tail", F.when(keep, F.col("hyphenated")).otherwise(F.col("joined")).alias("repaired"), keep.alias("kept_hyphen"))
 
 
+def repair_texts(docs: DataFrame, words: DataFrame, compounds: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with every word broken by a hyphen at a line's end made whole, by repair_hyphens(); ids are distinct.
+
+    A text's different breaks are voted on once and replaced longest first, as one may be part of another.
+    """
+    found = F.array_distinct(F.regexp_extract_all("text", F.lit(f"[{T.LETTERS}]{{2,}}-\n[{T.LETTERS}]+"), F.lit(0)))
+    broken = docs.select("doc_id", F.explode(found).alias("id"))
+    halves = broken.select("id").distinct().select("id", F.substring_index("id", "-\n", 1).alias("head"), F.substring_index("id", "-\n", -1).alias("tail"))
+    voted = broken.join(repair_hyphens(halves, words, compounds).select("id", "repaired"), "id")
+    per = voted.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.length("id").alias("n"), "id", "repaired")), asc=False).alias("_breaks"))
+    whole = F.aggregate(F.coalesce("_breaks", F.array()), F.col("text"), lambda t, x: F.replace(t, x["id"], x["repaired"]))
+    return docs.join(per, "doc_id", "left").select("doc_id", whole.alias("text"))
+
+
+# The page's top and bottom in which a lone number is a page number, and the distance by which a block is out of the text's margin.
+TOP_BAND, BOTTOM_BAND, TOLERANCE = 0.12, 0.82, 12.0
+
+
+def clean_groups(blocks: DataFrame, numbers: DataFrame, height: float, least: int = 0) -> DataFrame:
+    """(page, text, page_numbers_removed, margin_groups): paragraphs of grouped blocks, joined by a blank line.
+
+    blocks (page, group, nth, x0, y0, y1, band, text) are in reading order, numbers (page, tokens) hold a page's own
+    numbers. A lone number of the body goes if it is one of these or stands in the page's top or bottom band; in a
+    group that begins left of the page's most frequent rounded x0 of the body (the first of equal ones) lines of
+    digits go; paragraphs under `least` characters go.
+    """
+    body = blocks.where("band = 'body'").groupBy("page", F.round("x0").alias("x")).agg(F.count(F.lit(1)).alias("n"), F.min("nth").alias("at"))
+    left = body.groupBy("page").agg(F.max_by("x", F.struct("n", -F.col("at"))).alias("dominant"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda x: F.trim(x["text"])), "\n")
+    groups = blocks.groupBy("page", "group").agg(F.min("nth").alias("nth"), F.min_by("band", "nth").alias("band"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), lines.alias("text"))
+    g = groups.join(left, "page", "left").join(numbers, "page", "left")
+    flat = F.trim(T.normalize_unicode(F.col("text")))
+    outer = (F.col("y1") <= TOP_BAND * height) | (F.col("y0") >= BOTTOM_BAND * height)
+    number = (F.col("band") == "body") & T.is_page_number(flat) & (outer | F.coalesce(F.array_contains("tokens", flat), F.lit(False)))
+    out_of_margin = F.coalesce(F.col("x0") < F.col("dominant") - TOLERANCE, F.lit(False))
+    rows = F.filter(F.split(flat, "\n"), lambda x: ~(F.trim(x).rlike("^[0-9]{1,4}$") & out_of_margin) & ~((F.col("band") != "body") & T.is_page_number(x)))
+    cleaned = F.trim(F.regexp_replace(F.array_join(rows, " "), "[ \t]+", " "))
+    g = g.withColumn("number", number).withColumn("clean", cleaned).withColumn("margin", out_of_margin)
+    kept = F.when(~F.col("number") & (F.length("clean") > 0) & (F.length("clean") >= least), F.struct("nth", "clean"))
+    per = g.groupBy("page").agg(F.array_sort(F.collect_list(kept)).alias("p"), F.count_if("number").alias("page_numbers_removed"), F.count_if("margin").alias("margin_groups"))
+    return per.select("page", F.array_join(F.transform("p", lambda x: x["clean"]), "\n\n").alias("text"), "page_numbers_removed", "margin_groups")
+
+
 def islands(rows: DataFrame, starts: Column, by: str = "doc_id", order: str = "pos") -> DataFrame:
     """Adds `island`: the running number of rows, in order within `by`, where `starts` holds; the first rows may be island 0."""
     w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -203,15 +203,143 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return latest.unionByName(old.join(new.select(key).distinct(), key, "left_anti"))
 
 
-def occurrences(chunks: DataFrame, entities: DataFrame) -> DataFrame:
-    """(chunk_id, entity): entities (entity, alias) whose normalised alias is among a chunk's words or neighbouring word pairs.
+ALIASES = 200_000  # aliases of one pass over the chunks
+ACRONYM = 5  # characters up to which an upper-case alias is an acronym
 
-    Chunks are cut into words and pairs and joined to aliases by equality, so no chunk meets every alias.
+
+def is_acronym(alias: str) -> bool:
+    return len(alias) <= ACRONYM and alias.upper() == alias
+
+
+def occurrences(chunks: DataFrame, entities: DataFrame, block: int = ALIASES) -> DataFrame:
+    """(chunk_id, entity): entities (entity, alias) that occur in chunks (chunk_id, text).
+
+    An acronym occurs where it stands in the text as written, without a letter or digit beside it; any other
+    alias where its normalised form is part of the normalised text. A pattern automaton over at most `block`
+    aliases reads every text once, whatever their number and length. An alias without a normalised form, a
+    null one too, occurs nowhere.
+    """
+    named = entities.where("entity is not null and alias is not null").select("entity", "alias", normalize_text(F.col("alias")).alias("plain")).distinct()
+    n, out = max(1, -(-named.count() // block)), None
+    kinds = [chunks.schema["chunk_id"], entities.schema["entity"]]
+    texts = chunks.select("chunk_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(normalize_text(F.col("text")), F.lit("")).alias("plain"))
+    from pyspark.sql.types import StructField, StructType
+
+    schema = StructType([StructField("chunk_id", kinds[0].dataType), StructField("entity", kinds[1].dataType)])
+    for k in range(n):
+        rows = [tuple(r) for r in (named.where(F.pmod(F.xxhash64("alias"), F.lit(n)) == k) if n > 1 else named).collect()]
+
+        def run(batches: Iterator[pa.RecordBatch], rows: list = rows) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            exact, plain = {}, {}
+            for entity, alias, normal in rows:
+                if is_acronym(alias):
+                    exact.setdefault(alias, set()).add(entity)
+                elif normal:
+                    plain.setdefault(normal, set()).add(entity)
+            machines = []
+            for table in (exact, plain):
+                machine = ahocorasick.Automaton()
+                for word, owners in table.items():
+                    machine.add_word(word, (len(word), owners))
+                if table:
+                    machine.make_automaton()
+                machines.append(machine if table else None)
+            beside = lambda c: c.isascii() and c.isalnum()
+            for batch in batches:
+                at, found = [], []
+                for i, (text, normal) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                    here: set = set()
+                    if machines[0] is not None:
+                        for end, (size, owners) in machines[0].iter(text):
+                            if not beside(text[end - size] if end >= size else "") and not beside(text[end + 1 : end + 2]):
+                                here |= owners
+                    if machines[1] is not None:
+                        for _, (_, owners) in machines[1].iter(normal):
+                            here |= owners
+                    at += [i] * len(here)
+                    found += sorted(here, key=str)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, _arrow(kinds[1].dataType))], names=["chunk_id", "entity"])
+
+        part = texts.mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()
+
+
+def _arrow(kind) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(kind)
+
+
+def catalogue(acronyms: DataFrame, mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entities (name, label, entity_type, aliases, pages), aliases (key, name)).
+
+    acronyms (pos, acronym, expanded, page): the acronym names the entity, and of one key or one acronym the last row
+    counts. mentions (pos, value): names of questions' entities and relations' ends; one whose normalised key is
+    known is that entity, any other names itself, as first written.
+    """
+    forms = acronyms.select("acronym", F.posexplode(F.array("acronym", "expanded")).alias("nth", "alias"), "pos").where("alias is not null")
+    known = forms.groupBy(normalize_text(F.col("alias")).alias("key")).agg(F.max_by("acronym", F.struct("pos", "nth")).alias("name"))
+    said = mentions.where("value is not null").groupBy(normalize_text(F.col("value")).alias("key")).agg(F.min_by("value", "pos").alias("value"))
+    new = said.join(known, "key", "left_anti").select("key", F.col("value").alias("name"))
+    aliases = known.unionByName(new)
+    last = acronyms.groupBy("acronym").agg(F.max_by(F.struct("expanded", "page"), "pos").alias("x"))
+    short = last.select(F.col("acronym").alias("name"), F.col("x.expanded").alias("label"), entity_type(F.concat_ws(" ", "acronym", "x.expanded")).alias("entity_type"), F.array("acronym", "x.expanded").alias("aliases"), F.array_compact(F.array("x.page")).alias("pages"))
+    plain = new.join(short.select("name"), "name", "left_anti").groupBy("name").agg(F.lit(1).alias("_"))
+    plain = plain.select("name", F.col("name").alias("label"), entity_type(F.col("name")).alias("entity_type"), F.array("name").alias("aliases"), F.array().cast("array<int>").alias("pages"))
+    return short.select("name", "label", "entity_type", "aliases", F.col("pages").cast("array<int>")).unionByName(plain), aliases
+
+
+def node_set(relations: DataFrame, occurrence: DataFrame) -> DataFrame:
+    """(name): ends of relations (source, target), and entities that occur."""
+    return relations.select(F.col("source").alias("name")).union(relations.select("target")).union(occurrence.select("entity")).where("name is not null").distinct()
+
+
+def relation_counts(relations: DataFrame) -> DataFrame:
+    """(field, value, n) of relations (type, method)."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("type", "method")])).alias("p")
+    return relations.select(pairs).groupBy("p.field", "p.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def rollup(edges: DataFrame, partition: DataFrame, centralities: list[str] | None = None) -> DataFrame:
+    """One row: nodes, edges, density, components, sizes (falling), communities, modularity, and the ten nodes of highest degree centrality.
+
+    edges are simple (u, v), partition is (node, community). With names among ('closeness', 'betweenness') their ten
+    highest are added, on graphs that path analytics take.
     """
-    words = F.split(normalize_text(F.col("text")), " ")
-    grams = F.transform(F.array(words), lambda w: F.array_distinct(F.concat(w, F.transform(w, lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1))))))[0]
-    parts = chunks.select("chunk_id", F.explode(grams).alias("alias"))
-    return parts.join(entities.select("entity", normalize_text(F.col("alias")).alias("alias")).distinct(), "alias").select("chunk_id", "entity").distinct()
+    sizes = components(edges).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    parts = sizes.agg(F.count(F.lit(1)).alias("components"), F.slice(F.sort_array(F.collect_list("n"), asc=False), 1, 1000).alias("sizes"))
+    out = density(edges).crossJoin(parts).crossJoin(modularity(edges, partition))  # one row each
+
+    def ten(frame: DataFrame, value: str) -> DataFrame:
+        best = frame.orderBy(F.desc(value), "node").limit(10)
+        return best.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col(value)).alias("v"), "node"))), lambda x: x["node"]).alias(f"top_{value}"))
+
+    out = out.crossJoin(ten(degrees(edges), "centrality"))
+    for name in centralities or []:
+        out = out.crossJoin(ten(path_centralities(edges), name))
+    return out
+
+
+def graphml(nodes: DataFrame, relations: DataFrame) -> DataFrame:
+    """(part, line) of a whole GraphML file of nodes (name, kind, pages) and relations (relation_id, source, target, type, confidence); parts in order make the file."""
+    esc = lambda c: F.replace(F.replace(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    spark = nodes.sparkSession
+    keys = [("node", "entity_type"), ("node", "pages"), ("edge", "type"), ("edge", "confidence")]
+    head = ['<?xml version="1.0" encoding="utf-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', *(f'<key id="{name}" for="{kind}" attr.name="{name}" attr.type="string"/>' for kind, name in keys), '<graph edgedefault="directed">']
+    frame = lambda part, lines: spark.createDataFrame([(part, "\n".join(lines))], "part int, line string")
+    edge = F.concat(F.lit('<edge id="'), esc(F.col("relation_id")), F.lit('" source="'), esc(F.col("source")), F.lit('" target="'), esc(F.col("target")), F.lit('"><data key="type">'), esc(F.col("type")), F.lit('</data><data key="confidence">'), esc(F.col("confidence")), F.lit("</data></edge>"))
+    return frame(0, head).union(graphml_nodes(nodes).select(F.lit(1), "line")).union(relations.select(F.lit(2), edge)).union(frame(3, ["</graph>", "</graphml>"]))
+
+
+def cypher(nodes: DataFrame, relations: DataFrame) -> DataFrame:
+    """(part, line) of a whole Cypher script: the constraint, a MERGE per node (name, label, kind), and one per relation (source, target, type)."""
+    q = lambda c: F.concat(F.lit("'"), F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("\n"), F.lit(" ")), F.lit("'"))
+    first = nodes.sparkSession.createDataFrame([(0, "CREATE CONSTRAINT entity_name IF NOT EXISTS FOR (e:Entity) REQUIRE e.name IS UNIQUE;")], "part int, line string")
+    node = F.concat(F.lit("MERGE (n:Entity {name: "), q(F.col("name")), F.lit("}) SET n.label = "), q(F.col("label")), F.lit(", n.entity_type = "), q(F.col("kind")), F.lit(";"))
+    return first.union(nodes.select(F.lit(1), node)).union(cypher_edges(relations).select(F.lit(2), "line"))
 
 
 def cooccurrences(occurrence: DataFrame, per_chunk: int = 10, most: int = 300, least: int = 2) -> DataFrame:

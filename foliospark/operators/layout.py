@@ -74,8 +74,45 @@ def alternations(blocks: DataFrame, order: str) -> DataFrame:
     return body.withColumn("p", before).groupBy("page").agg(F.count_if(F.col("p").isNotNull() & (F.col("p") != F.col("col"))).alias("switches"))
 
 
+def is_multiline(text: Column) -> Column:
+    """Whether a block holds several lines of text; blank lines and lines of up to four digits do not count."""
+    return F.size(F.filter(F.split(text, "\n"), lambda x: (F.trim(x) != "") & ~F.trim(x).rlike("^[0-9]{1,4}$"))) > 1
+
+
+def double_column_check(ordered: DataFrame, width: float) -> DataFrame:
+    """Per page of blocks with `nth` and `naive`: blocks left and right, bands, switches of either order, the widest block's share, and whether columns stay apart."""
+    body = F.col("band") == "body"
+    per = ordered.groupBy("page", "layout").agg(
+        F.count_if(body & (F.col("col") == "left")).alias("n_left"), F.count_if(body & (F.col("col") == "right")).alias("n_right"), F.count_if(body & (F.col("col") == "full")).alias("n_full"),
+        F.round(F.coalesce(F.max(F.when(body, F.col("x1") - F.col("x0"))), F.lit(0.0)) / width, 3).alias("widest_share"),
+    )
+    bands = F.when((F.col("n_left") > 0) & (F.col("n_right") > 0), F.col("n_full") + 1).otherwise(1)
+    out = per.withColumn("bands", bands)
+    for order in ("nth", "naive"):
+        out = out.join(alternations(ordered, order).withColumnRenamed("switches", f"switches_{order}"), "page", "left").withColumn(f"switches_{order}", F.coalesce(f"switches_{order}", F.lit(0)))
+    return out.select("page", "layout", "n_left", "n_right", "bands", "switches_nth", "switches_naive", "widest_share", (F.col("switches_nth") <= F.col("bands")).alias("apart"))
+
+
+REFERENCES = 4  # links to articles that make a page one of references
+
+
+def layout_samples(pages: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(label, page, two_columns): a witness page of each range (label, first, last) that has pages.
+
+    pages (page, layout, switches_naive, text). Of a range's pages of two columns the one that a naive order would
+    mix most, then the longest; without such pages the longest that is not a figure. Pages of references count
+    only where there are no others. Ties go to the first page.
+    """
+    links = (F.length("text") - F.length(F.replace("text", F.lit("doi.org"), F.lit("")))) / 7
+    two = F.col("layout").isin("double_column", "mixed_layout")
+    p = pages.join(F.broadcast(ranges), F.col("page").between(F.col("first"), F.col("last")))  # ranges are a few rows
+    rank = F.struct(two.cast("int").alias("two"), (F.col("layout") != "figure_or_sparse").cast("int").alias("real"), (links < REFERENCES).cast("int").alias("prose"), F.when(two, F.col("switches_naive")).otherwise(0).alias("mixed"), F.length("text").alias("size"), (-F.col("page")).alias("back"))
+    best = p.groupBy("label").agg(F.max_by(F.struct("page", two.alias("two")), rank).alias("b"))
+    return best.select("label", "b.page", F.col("b.two").alias("two_columns"))
+
+
 def paragraphs(blocks: DataFrame, width: float) -> DataFrame:
-    """Ordered blocks with `group`: a line continues the one before if band and indent agree, the gap is small, and the one before reaches a margin or ends in a hyphen.
+    """Ordered blocks with `group`: a line continues the one before if band and indent agree, the gap is small, neither block is a paragraph of several lines, and the one before reaches a margin or ends in a hyphen.
 
     A right margin is a rounded x1 that two blocks of the page share.
     """
@@ -85,6 +122,6 @@ def paragraphs(blocks: DataFrame, width: float) -> DataFrame:
     before = lambda c: F.lag(c).over(w)
     b = b.withColumn("_x1", before("x1")).withColumn("_reach", F.exists(F.coalesce("margins", F.array().cast("array<double>")), lambda m: F.abs(F.col("_x1") - m) <= MARGIN * width))
     height = before("y1") - before("y0")
-    joins = (before("band") == F.col("band")) & (F.abs(before("x0") - F.col("x0")) <= INDENT * width) & (F.col("y0") - before("y1") < LEADING * height) & (F.col("_reach") | before("text").endswith("-"))
+    joins = (before("band") == F.col("band")) & (F.abs(before("x0") - F.col("x0")) <= INDENT * width) & (F.col("y0") - before("y1") < LEADING * height) & (F.col("_reach") | before("text").endswith("-")) & ~is_multiline(before("text")) & ~is_multiline(F.col("text"))
     marked = b.withColumn("_new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1))
     return marked.withColumn("group", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new", "_x1", "_reach", "margins")

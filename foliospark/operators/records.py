@@ -22,7 +22,7 @@ def page_meta(chapter_title: Column, chapter: Column, section_title: Column, sec
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:
-    """pages (doc_id, text) with clean_text: running lines and page numbers out, dashes, quotes and spaces in ASCII, hyphen breaks joined, blanks collapsed.
+    """pages (doc_id, text) with clean_text: running lines and page numbers out, dashes, quotes and spaces in ASCII, hyphen breaks joined or kept by the vote of the corpus, blanks collapsed.
 
     Running lines are aggregated over all pages first; the second pass joins lines to them.
     """
@@ -30,8 +30,9 @@ def clean_pages(pages: DataFrame) -> DataFrame:
     running = cleaning.running_lines(lines)
     keyed = lines.withColumn("line_key", T.line_key(F.col("line"))).join(running.select("line_key"), "line_key", "left_anti").where(~T.is_page_number(F.col("line")))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    flat = F.regexp_replace(T.normalize_unicode(joined), f"([{T.LETTERS}]{{2,}})-\n([{T.LETTERS}]+)", "$1$2")
-    kept = keyed.groupBy("doc_id").agg(F.trim(F.regexp_replace(flat, "\\s+", " ")).alias("clean_text"))
+    flat = keyed.groupBy("doc_id").agg(T.normalize_unicode(joined).alias("text"))
+    repaired = cleaning.repair_texts(flat, cleaning.word_frequencies(pages), cleaning.hyphen_frequencies(pages))
+    kept = repaired.select("doc_id", F.trim(F.regexp_replace("text", "\\s+", " ")).alias("clean_text"))
     return pages.join(kept, "doc_id", "left").withColumn("clean_text", F.coalesce("clean_text", F.lit("")))
 
 
@@ -50,6 +51,17 @@ def page_records(pages: DataFrame) -> DataFrame:
     )
 
 
+def appendix_stats(records: DataFrame, first: int = 174, last: int = 206) -> DataFrame:
+    """One row for the records of pages first to last: pages seen, kept and excluded, paragraphs and characters kept, and the two lists of pages."""
+    own, keep = records.where(F.col("page").between(first, last)), F.col("keep_for_rag")
+    parts = F.size(F.filter(F.split("clean_text", "\n\n"), lambda p: F.trim(p) != ""))
+    return own.agg(
+        F.count(F.lit(1)).alias("inspected"), F.count_if(keep).alias("kept"), F.count_if(~keep).alias("excluded"), F.coalesce(F.sum(F.when(keep, parts)), F.lit(0)).alias("segments_kept"),
+        F.coalesce(F.sum(F.when(keep, F.col("clean_char_count"))), F.lit(0)).alias("characters_kept"), F.array_sort(F.collect_set(F.when(keep, F.col("page")))).alias("kept_pages"),
+        F.array_sort(F.collect_set(F.when(~keep, F.struct("page", "exclusion_reason")))).alias("excluded_pages"),
+    )
+
+
 def warnings_histogram(records: DataFrame) -> DataFrame:
     return records.select(F.explode("warnings").alias("warning")).groupBy("warning").agg(F.count(F.lit(1)).alias("n"))
 

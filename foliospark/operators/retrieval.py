@@ -88,6 +88,27 @@ def hybrid(spark, first: list[S.Scorer], second: list[S.Scorer], k: int = 5, con
     return fuse(every, k, constant)
 
 
+def relevant_ranks(spark, scorers: list[S.Scorer], queries: DataFrame, held: DataFrame) -> DataFrame:
+    """(query_id, doc_id, rank, score, relevant, total_relevant): every relevant row (query_id, doc_id) of held with its rank among all rows.
+
+    That is all that ir_metrics() needs of a whole ranking. A question without a relevant row that scores has one
+    row that is not relevant. The relevant pairs of all questions travel with the tasks.
+    """
+    of: dict = {}
+    for r in held.select("query_id", "doc_id").distinct().collect():  # as many as are judged relevant
+        of.setdefault(r["query_id"], []).append(r["doc_id"])
+    known = {q: np.sort(np.array(d, np.int64)) for q, d in of.items()}
+
+    def chosen(ids: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+        d = batch.column(0).to_numpy(zero_copy_only=False)
+        return np.array([np.isin(d, known[i]) if i in known else np.zeros(len(d), dtype=bool) for i in ids.tolist()]).reshape(len(ids), len(d))
+
+    found = S.ranks(spark, scorers, S.pairs(spark, scorers, chosen)).withColumn("relevant", F.lit(True))
+    totals = spark.createDataFrame([(q, len(d)) for q, d in of.items()], "query_id long, n long")
+    every = queries.select("query_id").join(found, "query_id", "left").join(totals, "query_id", "left")
+    return every.select("query_id", "doc_id", F.coalesce("rank", F.lit(1 << 30)).alias("rank"), "score", F.coalesce("relevant", F.lit(False)).alias("relevant"), F.coalesce("n", F.lit(0)).alias("total_relevant"))
+
+
 def fuse(rankings: list[DataFrame], k: int | None = 5, constant: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of rankings (query_id, doc_id, rank): (query_id, doc_id, score, rank)."""
     every = rankings[0].select("query_id", "doc_id", "rank")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import ACCENTED, PLAIN
@@ -63,6 +65,99 @@ def sparse_scorers(docs: DataFrame, queries: DataFrame, grams: Column, idf: bool
     return S.sparse_scorers(d, q, S.Terms(None, hashed or BUCKETS, plain), plain)
 
 
+class Encoder(NamedTuple):
+    """A fitted representation: its kind, and the terms and inverse document frequencies it learned (none for hashing)."""
+
+    kind: str
+    terms: list[str]
+    idf: list[float]
+
+    def grams(self, text: Column) -> Column:
+        return char_grams(text) if self.kind == "tfidf_char" else word_grams(text)
+
+    def scorers(self, docs: DataFrame, queries: DataFrame) -> list[S.Scorer]:
+        """Cosines of docs (doc_id, text) with new queries (query_id, text), both encoded as fitted."""
+        d, q = docs.select("doc_id", self.grams(F.col("text")).alias("terms")), queries.select("query_id", self.grams(F.col("text")).alias("terms"))
+        table = np.array([*self.idf, 0.0])
+
+        def weigh(row: np.ndarray, place: np.ndarray, count: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+            return S.by_length((1 + np.log(count)) * table[place] if len(table) > 1 else count.astype(float), row, len(sizes))
+
+        names = pa.array(self.terms, pa.string()) if self.kind != "hashing" else None
+        return S.sparse_scorers(d, q, S.Terms(names, max(1, len(self.terms)) if names is not None else BUCKETS, weigh), weigh)
+
+
+#: Representations and the size of their vocabularies.
+KINDS = {"tfidf_word": 25_000, "tfidf_char": 30_000, "hashing": 0}
+
+
+def fit_encoder(docs: DataFrame, kind: str) -> Encoder:
+    """One of KINDS fitted to docs (doc_id, text)."""
+    if kind == "hashing":
+        return Encoder(kind, [], [])
+    grams = Encoder(kind, [], []).grams(F.col("text"))
+    return Encoder(kind, *vocabulary(docs.select("doc_id", grams.alias("terms")), 2, KINDS[kind]))
+
+
+def save_encoder(spark, encoder: Encoder, path: str) -> None:
+    rows = [(i, t, v) for i, (t, v) in enumerate(zip(encoder.terms, encoder.idf, strict=True))]
+    spark.createDataFrame(rows, "place int, term string, idf double").write.mode("overwrite").parquet(f"{path}/vocabulary")
+    spark.createDataFrame([(encoder.kind,)], "kind string").write.mode("overwrite").parquet(f"{path}/kind")
+
+
+def load_encoder(spark, path: str) -> Encoder:
+    rows = spark.read.parquet(f"{path}/vocabulary").orderBy("place").collect()
+    return Encoder(spark.read.parquet(f"{path}/kind").first()["kind"], [r["term"] for r in rows], [r["idf"] for r in rows])
+
+
+#: Fixed weights of a representation's measures in its score.
+SELECTION = {"f1_at_k": 0.30, "map": 0.25, "mrr": 0.20, "ndcg_at_k": 0.20}
+SPEED = 0.05
+
+
+def selection(measures: DataFrame) -> DataFrame:
+    """measures (method, the keys of SELECTION, encoding_seconds) with selection_score and winner, which ties give to the higher F1, then the first name."""
+    from foliospark.operators.chunking import min_max
+
+    total = sum((w * F.col(c) for c, w in SELECTION.items()), F.lit(0.0)) + SPEED * min_max("encoding_seconds", True)
+    m = measures.withColumn("selection_score", F.round(total, 6))
+    best = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("selection_score"), F.desc("f1_at_k"), "method"))  # one row per method
+    return m.withColumn("winner", best == 1)
+
+
+def run_embeddings(chunks: DataFrame, questions: DataFrame, held: DataFrame, path: str | None = None, kinds: list[str] | None = None) -> DataFrame:
+    """One row per representation of chunks (doc_id, text): its measures at five for questions (query_id, text) with relevant pairs held, its score and the winner, which is saved at path if given."""
+    import time
+
+    from foliospark.operators import retrieval as R
+
+    spark, rows, fitted = chunks.sparkSession, [], {}
+    for kind in kinds or list(KINDS):
+        began = time.perf_counter()
+        fitted[kind] = fit_encoder(chunks, kind)
+        took = time.perf_counter() - began
+        m = R.macro(R.ir_metrics(R.relevant_ranks(spark, fitted[kind].scorers(chunks, questions), questions, held), 5)).first()
+        rows.append((kind, len(fitted[kind].terms) or BUCKETS, m["n_queries"], m["precision_at_k"], m["recall_at_k"], m["f1_at_k"], m["map"], m["mrr"], m["ndcg_at_k"], took))
+    out = selection(spark.createDataFrame(rows, "method string, dimension int, n_queries long, precision_at_k double, recall_at_k double, f1_at_k double, map double, mrr double, ndcg_at_k double, encoding_seconds double"))
+    if path is not None:
+        save_encoder(spark, fitted[out.where("winner").first()["method"]], path)
+    return out
+
+
+def plot_payload(vectors: DataFrame, texts: DataFrame, query: list[float] | None = None, nearest: int = 5) -> DataFrame:
+    """(doc_id, x, y, excerpt, nearest): two principal components of vectors (doc_id, embedding), 180 characters of texts (doc_id, text), and whether the row is among the nearest to a query vector."""
+    from foliospark.operators.retrieval import dense
+
+    out, _ = pca(vectors)
+    out = out.join(texts.select("doc_id", F.substring("text", 1, 180).alias("excerpt")), "doc_id", "left")
+    near = F.lit(False)
+    if query is not None:
+        spark = vectors.sparkSession
+        hits = dense(vectors, spark.createDataFrame([(0, [float(x) for x in query])], "query_id long, embedding array<double>"), nearest).select("doc_id", F.lit(True).alias("near"))
+        out, near = out.join(F.broadcast(hits), "doc_id", "left"), F.coalesce("near", F.lit(False))  # a few rows
+    return out.select("doc_id", F.round(F.col("pc")[0], 6).alias("x"), F.round(F.col("pc")[1], 6).alias("y"), "excerpt", near.alias("nearest"))
+
+
 def sparse_topk(docs: DataFrame, queries: DataFrame, grams: Column, k: int = 5, idf: bool = True, least_df: int = 2, most: int | None = 30_000, hashed: int | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): the best k by sparse_scorers()."""
     return ranked(S.top(docs.sparkSession, sparse_scorers(docs, queries, grams, idf, least_df, most, hashed), k), k)

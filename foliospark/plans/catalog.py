@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foliospark.plans import agents, chunks, graphs, records, retrieval, structures, texts, vectorial
+from foliospark.plans import agents, builds, chunks, graphs, records, retrieval, structures, texts, vectorial
 
-_MODULES = (retrieval, texts, structures, chunks, vectorial, graphs, agents, records)
+_MODULES = (retrieval, texts, structures, chunks, vectorial, graphs, agents, records, builds)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}

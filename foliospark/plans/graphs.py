@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from foliospark.operators import graph as G
 from foliospark.sources import table
 
-TERMS = ("the", "and", "licensed under", "apache license", "version 2", "de la", "der die", "tion", "inand", "que", "moron", "idiot", "trash", "worthless", "license", "token")
+TERMS = ("the", "and", "licensed under", "apache license", "version 2", "de la", "der die", "tion", "inand", "que", "moron", "idiot", "trash", "worthless", "license", "token", "licensed under the apache license", "MIT", "A")
 
 
 def _trade(spark, d):
@@ -94,7 +94,7 @@ def _occurrences(spark, d):
 
 
 def alias_occurrences(spark, d):
-    """Documents in which each gazetteer entry occurs as a word or word pair."""
+    """Documents in which each gazetteer entry occurs."""
     return _occurrences(spark, d).groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -130,9 +130,10 @@ _DEG = "SELECT node, degree, round(degree / ((SELECT count(*) FROM dg) - 1), 8)
 _BFS = """bfs AS (SELECT DISTINCT u AS s, u AS x, 0 AS dist FROM b UNION SELECT s, b.v, dist + 1 FROM bfs JOIN b ON b.u = bfs.x WHERE dist < 24),
 ds AS (SELECT s, x, min(dist) AS dist FROM bfs GROUP BY ALL)"""
 _NORM = "trim(regexp_replace(strip_accents(lower({x})), '[^a-z0-9]+', ' ', 'g'))"
-_OCC = f"""wd AS (SELECT doc_id AS chunk_id, string_split({_NORM.format(x='text')}, ' ') AS w FROM documents),
-gr AS (SELECT DISTINCT chunk_id, unnest(list_concat(w, list_transform(w[:-2], lambda x, i: x || ' ' || w[i + 1]))) AS alias FROM wd),
-oc AS (SELECT chunk_id, alias AS entity FROM gr WHERE alias IN {TERMS})"""
+#: Gazetteer entries `e` of a text: acronyms as they stand, others as a part of the normalised text.
+FOUND = "CASE WHEN length(e) <= 5 AND upper(e) = e THEN regexp_matches(text, '(^|[^A-Za-z0-9])' || e || '([^A-Za-z0-9]|$)') ELSE contains(nt, ne) END"
+GAZETTEER = f"(SELECT e, {_NORM.format(x='e')} AS ne FROM (SELECT unnest({list(TERMS)}) AS e))"
+_OCC = f"""oc AS (SELECT doc_id AS chunk_id, e AS entity FROM (SELECT doc_id, text, {_NORM.format(x='text')} AS nt FROM documents), {GAZETTEER} WHERE {FOUND})"""
 
 QUERIES = {
     f.__name__: f

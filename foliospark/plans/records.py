@@ -27,6 +27,13 @@ def warnings_histogram(spark, d):
     return P.warnings_histogram(P.page_records(_pages(spark, d)))
 
 
+def appendix_report(spark, d):
+    """The report on the last appendix's pages, its lists as text."""
+    r = P.appendix_stats(P.page_records(_pages(spark, d)))
+    listed = F.array_join(F.transform("excluded_pages", lambda x: F.format_string("%03d:%s", x["page"], x["exclusion_reason"])), ",")
+    return r.withColumn("kept_pages", F.array_join("kept_pages", ",")).withColumn("excluded_pages", listed)
+
+
 def forbidden_leaks(spark, d):
     """Kept pages that are on the forbidden list (those whose number ends in 7)."""
     forbidden = _pages(spark, d).where("page % 10 = 7").select("page")
@@ -108,7 +115,7 @@ rc AS (SELECT doc_id, page, (CASE WHEN printed IS NULL THEN rule WHEN rule IS NU
   length(text)::INTEGER AS raw_char_count, length(t)::INTEGER AS clean_char_count, len(list_filter(string_split(t, ' '), lambda w: w <> ''))::INTEGER AS estimated_word_count, t,
   CASE WHEN printed IS NULL THEN NULL WHEN rule IS NULL THEN 'number in front matter' WHEN printed = rule THEN NULL WHEN abs(printed - rule) <= 2 THEN 'printed number differs' ELSE 'foreign numbering' END AS warning FROM zn)"""
 
-QUERIES = {f.__name__: f for f in (page_records, warnings_histogram, forbidden_leaks, page_metadata, label_report, evidence_similarity, evidence_best_chunk, verified_relations, entity_names, service_answers)}
+QUERIES = {f.__name__: f for f in (page_records, appendix_report, warnings_histogram, forbidden_leaks, page_metadata, label_report, evidence_similarity, evidence_best_chunk, verified_relations, entity_names, service_answers)}
 
 ORACLE_SQL = {
     "page_records": f"WITH {_REC} SELECT doc_id, page, thesis_page, zone, language, language_confidence, exclusion_reason IS NULL AS keep_for_rag, exclusion_reason, raw_char_count, clean_char_count, estimated_word_count, md5(t) AS digest FROM rc",
@@ -126,6 +133,9 @@ ORACLE_SQL = {
       SELECT evidence_id, chunk_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY evidence_id ORDER BY shared DESC, chunk_id) AS r FROM s) WHERE r = 1""",
     "verified_relations": f"""SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'N:' || n_name ELSE lower(n_name) END AS source, r_name AS target, CASE n_nationkey % 5 WHEN 0 THEN 'CAUSES' WHEN 2 THEN 'USES' WHEN 4 THEN 'INFLUENCES' ELSE 'ASSOCIATED_WITH' END AS type,
       0.95::DOUBLE AS confidence, {list(REL)}[n_nationkey % 5 + 1] AS original_predicate FROM nation JOIN region ON n_regionkey = r_regionkey""",
-    "entity_names": f"""WITH wd AS (SELECT item_id, string_split({graphs._NORM.format(x='text')}, ' ') AS w FROM benchmark), gr AS (SELECT DISTINCT item_id, unnest(list_concat(w, list_transform(w[:-2], lambda x, i: x || ' ' || w[i + 1]))) AS a FROM wd)
-      SELECT item_id, array_to_string((list(a ORDER BY a))[1:12], '|') AS names FROM gr WHERE a IN {graphs.TERMS} GROUP BY 1""",
+    "entity_names": f"""SELECT item_id, array_to_string((list(e ORDER BY e))[1:12], '|') AS names FROM (SELECT item_id, text, {graphs._NORM.format(x='text')} AS nt FROM benchmark), {graphs.GAZETTEER} WHERE {graphs.FOUND} GROUP BY 1""",
+    "appendix_report": f"""WITH {_REC}, o AS (SELECT * FROM rc WHERE page BETWEEN 174 AND 206) SELECT count(*) AS inspected, count(*) FILTER (exclusion_reason IS NULL) AS kept, count(*) FILTER (exclusion_reason IS NOT NULL) AS excluded,
+      coalesce(sum(len(list_filter(string_split(t, chr(10) || chr(10)), lambda p: trim(p) <> ''))) FILTER (exclusion_reason IS NULL), 0)::BIGINT AS segments_kept, coalesce(sum(clean_char_count) FILTER (exclusion_reason IS NULL), 0)::BIGINT AS characters_kept,
+      coalesce(array_to_string(list_sort(list(DISTINCT page) FILTER (exclusion_reason IS NULL)), ','), '') AS kept_pages,
+      coalesce(array_to_string(list_sort(list(DISTINCT format('{{:03d}}:{{}}', page, exclusion_reason)) FILTER (exclusion_reason IS NOT NULL)), ','), '') AS excluded_pages FROM o""",
 }

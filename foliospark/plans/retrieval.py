@@ -80,19 +80,7 @@ def _relevant_bm25(spark, d):
     """Every document that holds a passage with its rank among all documents; a passage that none holds has one row that is not relevant."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    scorers, held = R.bm25_scorers(docs, items), _relevance(spark, d)
-    of = {}
-    for r in held.collect():  # documents that hold a benchmark passage, by question
-        of.setdefault(r["query_id"], []).append(r["doc_id"])
-
-    def holds(ids, batch):
-        found = batch.column(0).to_numpy(zero_copy_only=False)
-        return np.array([np.isin(found, of.get(i, [])) for i in ids.tolist()]).reshape(len(ids), batch.num_rows)
-
-    found = S.ranks(spark, scorers, S.pairs(spark, scorers, holds)).withColumn("relevant", F.lit(True))
-    totals = held.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    every = items.select("query_id").join(found, "query_id", "left").join(totals, "query_id", "left")
-    return every.select("query_id", "doc_id", F.coalesce("rank", F.lit(1 << 30)).alias("rank"), "score", F.coalesce("relevant", F.lit(False)).alias("relevant"), F.coalesce("n", F.lit(0)).alias("total_relevant"))
+    return R.relevant_ranks(spark, R.bm25_scorers(docs, items), items, _relevance(spark, d))
 
 
 def ir_metrics_bm25(spark, d):

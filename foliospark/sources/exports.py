@@ -41,3 +41,27 @@ def checksums(spark: SparkSession, glob: str) -> DataFrame:
 def text(lines: DataFrame, path: str) -> None:
     """Write a column `line` as text, as for GraphML and Cypher exports."""
     lines.select("line").write.mode("overwrite").text(path)
+
+
+def manifest(spark: SparkSession, path: str, values: dict) -> str:
+    """Write values as one JSON document, indented by two; numbers that JSON lacks are refused. Returns its text."""
+    import json
+
+    text_ = json.dumps(values, ensure_ascii=False, indent=2, allow_nan=False)
+    spark.createDataFrame([(text_,)], "line string").coalesce(1).write.mode("overwrite").text(path)
+    return text_
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    import json
+
+    return json.loads("\n".join(r["value"] for r in spark.read.option("wholetext", True).text(path).collect()))
+
+
+def open_documents(spark: SparkSession, glob: str, encoding: str = "UTF-8") -> DataFrame:
+    """(path, sha256, text, error): one row per file; a file that is encrypted or not text has an error and no text, and stops no other."""
+    raw = spark.read.format("binaryFile").load(glob)
+    text_ = F.try_validate_utf8(F.col("content").cast("string")) if encoding.upper() == "UTF-8" else F.decode("content", encoding)
+    head = F.hex(F.substring("content", 1, 4))
+    error = F.when(F.col("content").isNull() | (F.length("content") == 0), "empty").when(head.isin("D0CF11E0", "504B0304"), "container").when(F.contains(F.hex("content"), F.lit("2F456E6372797074")), "encrypted").when(text_.isNull(), "not text")
+    return raw.select("path", F.upper(F.sha2("content", 256)).alias("sha256"), error.alias("error"), F.when(error.isNull(), text_).alias("text"))

@@ -59,9 +59,9 @@ def read_manifest(spark: SparkSession, path: str) -> dict:
 
 
 def open_documents(spark: SparkSession, glob: str, encoding: str = "UTF-8") -> DataFrame:
-    """(path, sha256, text, error): one row per file; a file that is encrypted or not text has an error and no text, and stops no other."""
+    """(path, sha256, text, error): one row per file; a file that is encrypted or not text has an error and no text, and stops no other. An empty file has no row."""
     raw = spark.read.format("binaryFile").load(glob)
     text_ = F.try_validate_utf8(F.col("content").cast("string")) if encoding.upper() == "UTF-8" else F.decode("content", encoding)
     head = F.hex(F.substring("content", 1, 4))
-    error = F.when(F.col("content").isNull() | (F.length("content") == 0), "empty").when(head.isin("D0CF11E0", "504B0304"), "container").when(F.contains(F.hex("content"), F.lit("2F456E6372797074")), "encrypted").when(text_.isNull(), "not text")
+    error = F.when(head.isin("D0CF11E0", "504B0304"), "container").when(F.contains(F.hex("content"), F.lit("2F456E6372797074")), "encrypted").when(text_.isNull(), "not text")
     return raw.select("path", F.upper(F.sha2("content", 256)).alias("sha256"), error.alias("error"), F.when(error.isNull(), text_).alias("text"))

@@ -314,3 +314,129 @@ def test_sinks(spark, tmp_path):
     counts = exports.fan_out(df, f"{tmp_path}/c", {"one": F.col("k") == 1, "rest": F.col("k") > 1})
     assert counts == {"one": 1, "rest": 1}
     assert exports.checksums(spark, f"{tmp_path}/a/*.json").count() >= 1
+
+
+def test_windows_against_a_plain_search():
+    rng = random.Random(31)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "b", " ", ". ", "\n", "."]) for _ in range(rng.randint(0, 60)))
+        size, step = rng.randint(2, 15), rng.randint(1, 15)
+        spans = chunking.window_spans(text, size, step)
+        assert [x for x in (text[a:b].strip() for a, b in spans) if x] == chunking.windows(text, size, step)
+        for (a, b), after in zip(spans, [*spans[1:], None], strict=False):
+            if a + size < len(text):
+                ends = [e for e in range(a + size // 2 + 1, a + size + 1) if text[e - 1] == "\n" or text[e - 1 : e + 1] == ". " and e < a + size]
+                assert b == (ends[-1] if ends else a + size)
+            if after:
+                assert after[0] == max(a + 1, min(b, a + step))
+
+
+def test_recursive_levels():
+    text = "aa bb. cc dd\n\nee ff gg hh; ii, jj kk ll mm nn"
+    assert chunking.recursive(text, 12, 0) == ["aa bb. cc dd", "ee ff gg hh", "; ii", ", jj kk ll", "mm nn"]
+    assert chunking.recursive("one two three four five", 9, 4) == ["one two", "three", "four", "five"]
+    assert chunking.recursive("a b c d e f g", 6, 3) == ["a b c", "c d e", "e f g"]
+    assert chunking.recursive("x" * 50, 10, 0) == ["x" * 50]
+
+
+def test_semantic_against_a_plain_fold():
+    rng = random.Random(32)
+    for _ in range(60):
+        said = [" ".join(rng.choice("sun moon star rain wind snow".split()) for _ in range(rng.randint(5, 60))).capitalize() + "." for _ in range(rng.randint(1, 25))]
+        said = [s for s in said if len(s) >= 20]
+        if not said:
+            continue
+        v = chunking._sentence_vectors(said)
+        want, held = [], [said[0]]
+        for i in range(1, len(said)):
+            size = len(" ".join(held))
+            if size + 1 + len(said[i]) > chunking.SEMANTIC_SIZE or size >= chunking.SEMANTIC_LEAST and float((v[i - 1] * v[i]).sum()) < chunking.SEMANTIC_COSINE:
+                want.append(" ".join(held))
+                held = []
+            held.append(said[i])
+        assert chunking.semantic(" ".join(said)) == [*want, " ".join(held)]
+
+
+def test_alias_of_any_length_and_acronyms(spark):
+    chunks = spark.createDataFrame([(1, "The North Atlantic Oscillation index, or NAO, of winter"), (2, "nao and SNAOX are not it; the oscillations neither"), (3, None), (4, "Éte: NAO.")], "chunk_id long, text string")
+    entities = spark.createDataFrame([("NAO", "NAO"), ("NAO", "north atlantic oscillation"), ("osc", "oscillation"), ("none", "..."), ("ete", "été"), (None, "x")], "entity string, alias string")
+    want = {(1, "NAO"), (1, "osc"), (2, "osc"), (4, "NAO"), (4, "ete")}
+    for block in (100, 2):
+        found = [tuple(r) for r in graph.occurrences(chunks, entities, block).collect()]
+        assert set(found) - {(4, "ete")} == want - {(4, "ete")} and len(found) == len(set(found))
+
+
+def test_hyphens_in_texts_by_vote(spark):
+    docs = spark.createDataFrame([(1, "a well-\nknown inter-\nnational fact"), (2, "well-known well-known wellknown international"), (3, "no break"), (4, None)], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in cleaning.repair_texts(docs, cleaning.word_frequencies(docs), cleaning.hyphen_frequencies(docs)).collect()}
+    assert out == {1: "a well-known international fact", 2: "well-known well-known wellknown international", 3: "no break", 4: None}
+
+
+def test_clean_groups(spark):
+    rows = [
+        (1, 0, 0, 50.0, 20.0, 30.0, "header", "Title of the page"), (1, 1, 1, 50.0, 100.0, 110.0, "body", "First line of text"), (1, 1, 2, 50.0, 112.0, 122.0, "body", "and second line."),
+        (1, 2, 3, 30.0, 200.0, 230.0, "body", "180\nA line with a number in its margin"), (1, 3, 4, 50.0, 400.0, 410.0, "body", "5000"), (1, 4, 5, 50.0, 420.0, 430.0, "body", "17"), (1, 5, 6, 50.0, 800.0, 810.0, "body", "42"), (1, 6, 7, 50.0, 500.0, 510.0, "body", "ok"),
+    ]
+    blocks = spark.createDataFrame(rows, "page int, group int, nth int, x0 double, y0 double, y1 double, band string, text string")
+    numbers = spark.createDataFrame([(1, ["17"])], "page int, tokens array<string>")
+    r = cleaning.clean_groups(blocks, numbers, 842.0).first()
+    assert r["text"] == "Title of the page\n\nFirst line of text and second line.\n\nA line with a number in its margin\n\n5000\n\nok" and r["page_numbers_removed"] == 2 and r["margin_groups"] == 1
+    assert "ok" not in cleaning.clean_groups(blocks, numbers, 842.0, 5).first()["text"].split("\n\n")
+
+
+def test_double_columns_by_hand(spark):
+    from foliospark.operators import layout
+
+    rows = [(1, 0, 46.0, 100.0, 287.0, 112.0, "left one"), (1, 1, 307.0, 100.0, 548.0, 112.0, "right one"), (1, 2, 46.0, 120.0, 287.0, 132.0, "left two"), (1, 3, 307.0, 120.0, 548.0, 132.0, "right two")]
+    blocks = layout.classified(spark.createDataFrame(rows, "page int, pos int, x0 double, y0 double, x1 double, y1 double, text string"), 595.0, 842.0)
+    r = layout.double_column_check(layout.reading_order(layout.naive_order(blocks), layout.layouts(blocks)), 595.0).first()
+    assert (r["n_left"], r["n_right"], r["bands"], r["switches_nth"], r["switches_naive"], r["apart"]) == (2, 2, 1, 1, 3, True) and r["widest_share"] == 0.405
+
+
+def test_manifest_and_documents(spark, tmp_path):
+    from foliospark.sources import exports
+
+    exports.manifest(spark, str(tmp_path / "m"), {"a": [1, 2], "é": None})
+    assert exports.read_manifest(spark, str(tmp_path / "m")) == {"a": [1, 2], "é": None}
+    with pytest.raises(ValueError):
+        exports.manifest(spark, str(tmp_path / "n"), {"a": float("nan")})
+    for name, data in (("a.txt", "é text".encode()), ("b.bin", b"\xff\xfe\x00\x80"), ("c.txt", b""), ("d.pdf", b"%PDF-1.7 /Encrypt 5 0 R")):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(data)
+    got = {r["path"].rsplit("/", 1)[1]: (r["text"], r["error"]) for r in exports.open_documents(spark, str(tmp_path / "in" / "*")).collect()}
+    assert got == {"a.txt": ("é text", None), "b.bin": (None, "not text"), "d.pdf": (None, "encrypted")}
+
+
+def test_saved_encoder_gives_the_same_ranking(spark, tmp_path):
+    from foliospark.operators import scoring, vectors
+
+    rng = random.Random(33)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta".split()) for _ in range(12))) for i in range(40)], "doc_id long, text string")
+    q = docs.where("doc_id < 5").withColumnRenamed("doc_id", "query_id")
+    held = q.select("query_id", F.col("query_id").alias("doc_id"))
+    out = {r["method"]: r for r in vectors.run_embeddings(docs, q, held, str(tmp_path / "best")).collect()}
+    assert set(out) == set(vectors.KINDS) and sum(r["winner"] for r in out.values()) == 1 and all(r["mrr"] > 0.9 for r in out.values())
+    best = next(m for m, r in out.items() if r["winner"])
+    a, b = vectors.fit_encoder(docs, best), vectors.load_encoder(spark, str(tmp_path / "best"))
+    assert sorted(scoring.top(spark, a.scorers(docs, q), 3).collect()) == sorted(scoring.top(spark, b.scorers(docs, q), 3).collect())
+
+
+def test_hybrid_is_the_fusion_of_whole_rankings(spark):
+    rng = random.Random(34)
+    vocabulary = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(3, 15)))) for i in range(400)], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "alpha beta"), (2, "kappa iota theta")], "query_id long, text string")
+    from foliospark.operators import scoring, vectors
+
+    one, two = retrieval.bm25_scorers(docs, q), vectors.sparse_scorers(docs, q, vectors.word_grams(F.col("text")), idf=False)
+    whole = retrieval.fuse([retrieval.ranked(scoring.top(spark, x, 400), None) for x in (one, two)], 5)
+    assert sorted(map(tuple, retrieval.hybrid(spark, one, two, 5).select("query_id", "doc_id", "rank").collect())) == sorted(map(tuple, whole.select("query_id", "doc_id", "rank").collect()))
+
+
+def test_chunking_run(spark):
+    pages = spark.createDataFrame([(i, " ".join(f"Word{i} stands in sentence {k} of the page." for k in range(40))) for i in range(6)], "doc_id long, text string")
+    q = spark.createDataFrame([(i, f"word{i} stands") for i in range(6)], "query_id long, text string")
+    out = chunking.run_chunking(pages, q, q.select("query_id", F.col("query_id").alias("doc_id")), ["fixed_size", "sentence_based", "recursive"]).collect()
+    assert len(out) == 3 and sum(r["winner"] for r in out) == 1
+    assert all(r["recall_at_5"] > 0 and 0 <= r["global_score"] <= 1 and r["intra_similarity"] > r["inter_similarity"] - 1 for r in out)
+    assert next(r for r in out if r["winner"])["global_score"] == max(r["global_score"] for r in out)

@@ -127,11 +127,8 @@ def exact_duplicates(spark, d):
 
 def stats_grouping_sets(spark, d):
     """Documents and characters by language, by source, by both and in all."""
-    table(spark, d, "documents").createOrReplaceTempView("folio_documents")
-    return spark.sql(
-        """SELECT lang, source, cast(grouping(lang) as int) AS g_lang, cast(grouping(source) as int) AS g_source, count(*) AS n, sum(length(text)) AS chars
-           FROM folio_documents GROUP BY GROUPING SETS ((lang), (source), (lang, source), ())"""
-    )
+    sets = table(spark, d, "documents").groupingSets([["lang"], ["source"], ["lang", "source"], []], "lang", "source")
+    return sets.agg(F.grouping("lang").cast("int").alias("g_lang"), F.grouping("source").cast("int").alias("g_source"), F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
 def coverage_check(spark, d):

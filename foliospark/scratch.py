@@ -11,12 +11,14 @@ CONF = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; a temporary one is set only where none is configured, as in tests."""
+    """The session's shared folder; a temporary one is set only where none is configured and all runs on one machine, as in tests."""
     where = spark.conf.get(CONF, None) or spark.sparkContext.getConf().get(CONF, None)
     if where:
         return where.rstrip("/")
     held = spark.sparkContext.getCheckpointDir()
     if held is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError(f"set {CONF} to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="foliospark-"))
         held = spark.sparkContext.getCheckpointDir()
     return held.rstrip("/")

@@ -18,7 +18,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from foliospark.llm import catalog, decontaminate, hmm, html_text, importance, langid, packing, pii, quality_rules, simhash, tokens, words
+from foliospark.llm import catalog, decontaminate, hmm, html_text, importance, langid, packing, pii, quality_rules, sharding, simhash, tokens, words
 
 
 @pytest.fixture(scope="module")
@@ -132,6 +132,41 @@ def test_op3(spark, data_dir, docs):
     assert {(r["law"], r["grown_shard"]) for r in got} == {("bytes", None)}
 
 
+def test_op3_placement_against_plain_loops():
+    rng = random.Random(41)
+    for _ in range(20):
+        shards, n = rng.randint(2, 6), rng.randint(0, 80)
+        raw = [[rng.random() ** 3 for _ in range(3)] for _ in range(n)]
+        total = [sum(x[k] for x in raw) or 1.0 for k in range(3)]
+        items = np.array([[x[k] / total[k] for k in range(3)] for x in raw]).reshape(-1, 3)
+        left, want, spare = [[1 / shards] * 3 for _ in range(shards)], [0] * n, sharding.SLACK / shards
+        for i in sorted(range(n), key=lambda i: -max(items[i])):
+            after = [[r + spare - x for r, x in zip(row, items[i], strict=True)] for row in left]
+            whole, by_bytes = [k for k in range(shards) if min(after[k]) >= 0], [k for k in range(shards) if after[k][0] >= 0]
+            if whole:
+                best = max(whole, key=lambda k: (sum(r * x for r, x in zip(left[k], items[i], strict=True)), -k))
+            elif by_bytes:
+                best = max(by_bytes, key=lambda k: (min(after[k][1:]), -k))
+            else:
+                best = max(range(shards), key=lambda k: (left[k][0], -k))
+            want[i] = best
+            left[best] = [r - x for r, x in zip(left[best], items[i], strict=True)]
+        assert list(sharding.place(items, shards)) == want
+
+
+def test_op3_balance(spark):
+    rng = random.Random(42)
+    texts = [(i, " ".join("w" * rng.randint(1, 12) for _ in range(rng.randint(0, 40)))) for i in range(4000)] + [(4000 + i, "one text of a third of all rows") for i in range(2000)]
+    got = sharding.shard(spark.createDataFrame(texts, "doc_id long, text string").repartition(7), 24).collect()
+    sums = np.zeros((24, 3))
+    for r in got:
+        sums[r["shard"]] += (r["size"], r["tokens"], 1)
+    share = sums / sums.sum(axis=0) * 24
+    assert len(got) == 6000 and np.abs(share[:, 0] - 1).max() < 0.012 and np.abs(share - 1).max() < 0.25, share  # bytes are the law
+    for k in range(24):
+        assert sorted(r["slot"] for r in got if r["shard"] == k) == list(range(int(sums[k, 2])))
+
+
 EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD, PHONE = re.compile(r"[0-9](?:[\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -614,6 +649,40 @@ def test_op8(spark, data_dir):
     assert all(0 <= r["score"] <= 1 for r in held)
 
 
+def plain_grams(text, buckets):
+    """Counts of 2- and 3-grams of folded ASCII letters with one blank for anything else."""
+    b = [ord(c.lower()) if c.isascii() and c.isalpha() else 32 for c in text]
+    out, wrap = collections.Counter(), 1 << 32
+    two = [b[i] != 32 or b[i + 1] != 32 for i in range(len(b) - 1)]
+    codes = [((b[i] * 0x9E3779B1 + b[i + 1] * 0x85EBCA77) % wrap) >> 7 for i in range(len(b) - 1)]
+    for i in range(len(b) - 1):
+        if two[i]:
+            out[codes[i] % buckets] += 1
+        if i + 2 < len(b) and two[i] and two[i + 1]:
+            out[(((codes[i] * 0xC2B2AE3D + b[i + 2] * 0x27D4EB2F) % wrap) >> 9) % buckets] += 1
+    return out
+
+
+def test_op8_against_plain_cosines(spark):
+    rng = random.Random(43)
+    say = lambda seed: " ".join(random.Random(seed).choice({0: ["the", "and", "fox", "with"], 1: ["der", "und", "fuchs", "mit"], 2: ["le", "et", "renard", "avec"]}[seed % 3]) + rng.choice(["", "s", "en", "a"]) for _ in range(25))
+    rows = [(i, "edf"[i % 3], say(i)) for i in range(90)]
+    model = langid.learn(spark.createDataFrame(rows, "id long, lang string, text string"))
+    texts = [say(i) for i in range(200, 260)]
+    names, scores, _ = langid.predict(model, pa.array(texts))
+    for text, name, score in zip(texts, names, scores, strict=True):
+        v = {k: math.log1p(n) * float(model.idf[k]) for k, n in plain_grams(text, langid.BUCKETS).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cosines = [sum(x * float(c[k]) for k, x in v.items()) / norm for c in model.centroids]
+        assert score == pytest.approx(max(cosines), abs=1e-4) and name == model.languages[cosines.index(max(cosines))]
+
+
+def test_op8_one_repeated_row_does_not_fill_the_sample(spark):
+    rows = [(1, "en", "the same row again")] * 3000 + [(None, "en", f"the other row {i}") for i in range(200)] + [(i, "fr", f"une autre ligne {i}") for i in range(50)]
+    model = langid.learn(spark.createDataFrame(rows, "id long, lang string, text string"), sample=100, per_language=50)
+    assert set(model.languages) == {"en", "fr"} and model.languages.count("en") == langid.CENTROIDS
+
+
 def test_op8_rejects_what_is_far(spark):
     df = spark.createDataFrame([(i, "en", f"the cat number {i} and the dog that sat with it") for i in range(50)], "id long, lang string, text string")
     model = langid.learn(df)
@@ -676,6 +745,29 @@ def test_op9_limits():
     assert ends[-1] == 1000 and all(0 < b - a <= 100 and bears[b - 1] - (bears[a - 1] if a else 0) <= 50 for a, b in zip([0, *ends], ends, strict=False))
 
 
+def test_op9_placement_against_plain_loops():
+    rng = random.Random(44)
+    for _ in range(15):
+        limits = packing.Limits(rng.randint(40, 120), rng.randint(2, 6), rng.randint(30, 120))
+        sizes = [rng.randint(1, limits.tokens) for _ in range(rng.randint(1, 60))]
+        loss = [rng.randint(0, min(z, limits.loss)) for z in sizes]
+        order, place, bins = sorted(range(len(sizes)), key=lambda i: -sizes[i]), {}, 0
+        while order:
+            left, lossy, count, used = limits.tokens, limits.loss, limits.segments, 0
+            while count:
+                able = [i for i in order if sizes[i] <= left and loss[i] <= lossy]
+                if not able:
+                    break
+                dot = lambda i: sizes[i] / limits.tokens * (left / limits.tokens) + 1 / limits.segments * (count / limits.segments) + loss[i] / limits.loss * (lossy / limits.loss)  # noqa: B023, E731
+                best = able[int(np.argmax([dot(i) for i in able]))]
+                place[best] = (bins, used, limits.segments - count)
+                used, left, lossy, count = used + sizes[best], left - sizes[best], lossy - loss[best], count - 1
+                order.remove(best)
+            bins += 1
+        of, at, seg, n = packing.fill(np.array(sizes), np.array(loss), limits)
+        assert n == bins and [(int(a), int(b), int(c)) for a, b, c in zip(of, at, seg, strict=True)] == [place[i] for i in range(len(sizes))]
+
+
 def test_op9_conversations(spark, data_dir):
     out = packing.pack(packing.conversations_as_examples(spark.read.parquet(f"{data_dir}/conversations.parquet")), packing.Limits(512, 8, 256)).collect()
     per = collections.defaultdict(lambda: [0, 0, 0])

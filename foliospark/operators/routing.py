@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import random
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,45 +71,103 @@ def epsilon(epoch: int, epochs: int = 160) -> float:
 EXPECTED = {"semantic": "use_vector", "relational": "use_graph", "hybrid": "use_hybrid", "unknown": "abstain"}
 
 
-def train(questions: list[tuple[str, str, bool]], epochs: int = 160, seed: int = 42) -> tuple[dict, dict, list[dict]]:
-    """(route values, post-retrieval values, history) by tabular Q-learning over (state, type, answerable) questions.
+POST_ACTIONS, POST_STATES = ("answer", "abstain", "escalate_hybrid"), ("context_found", "context_weak", "context_empty")
 
-    The right route earns 1 (0.7 for the costly hybrid), a wrong one -1 (-1.3). After retrieval the context
-    is found or empty; answering a found one earns 1.5, and abstaining on an empty one 1. Route values learn
-    from their reward and the best value of the context they lead to; states never seen take the mean of
-    the seen states of their type. A driver's loop: the table has 16 rows and every step needs the last.
+
+def shares(values: list[float], eps: float) -> list[float]:
+    """How often each action is taken: all alike while exploring, the best ones (ties alike) otherwise."""
+    top = [math.isclose(v, max(values), rel_tol=1e-9, abs_tol=1e-12) for v in values]
+    return [eps / len(values) + (1 - eps) * t / sum(top) for t in top]
+
+
+def train(groups: list[tuple[str, str, int]], epochs: int = 160) -> tuple[dict, dict, list[dict]]:
+    """(route values, post-retrieval values, history) of tabular Q-learning over groups (state, type, questions).
+
+    The right route earns 1 (0.7 for the costly hybrid), a wrong one -1 (-1.3). After it the context is found, for
+    unanswerable questions (type unknown) empty, and after a wrong route weak. To abstain earns 1 for an unanswerable
+    question, to answer after the right route and to escalate after a wrong one for another; anything else earns -1,
+    and half a point more goes to every step after the right route of an answerable question. Route values learn from their reward and the best value of the context that follows; states never
+    seen take the mean of the seen ones of their type.
+
+    Expected steps in place of drawn ones: a group's n questions take every action n times its share() in an epoch,
+    and m steps towards one target are one step of 1 - 0.9^m. So the result depends on no seed and no order, and
+    the work on the number of groups, 64 at most, and not on that of questions. Without questions all values are zero.
     """
-    rng = random.Random(seed)
     every = [f"{t}|entity_{e}|coverage_{c}" for t in TYPES for e in (0, 1) for c in ("low", "high")]
-    route = {s: [0.0] * 4 for s in every}
-    post = {s: [0.0] * 3 for s in ("context_found", "context_weak", "context_empty")}
-    seen, history = set(), []
-    pick = lambda values, eps: rng.randrange(len(values)) if rng.random() < eps else rng.choice([i for i, v in enumerate(values) if math.isclose(v, max(values))])
-    for epoch in range(epochs):
-        eps, total, right, order = epsilon(epoch, epochs), 0.0, 0, list(questions)
-        rng.shuffle(order)
-        for state, kind, answerable in order:
-            a = pick(route[state], eps)
-            good = ACTIONS[a] == EXPECTED[kind]
-            reward = (1.0 if good else -1.0) - (0.3 if ACTIONS[a] == "use_hybrid" else 0.0)
-            context = "context_empty" if not answerable or ACTIONS[a] == "abstain" else "context_found" if good else "context_weak"
-            b = pick(post[context], eps)
-            want = 1 if not answerable else 0 if good else 2
-            gain = (1.0 if b == want else -1.0) + (0.5 if b == want and answerable and good else 0.0)
-            post[context][b] += ALPHA * (gain - post[context][b])
-            route[state][a] += ALPHA * (reward + GAMMA * max(post[context]) - route[state][a])
-            seen.add(state)
-            total += reward + gain
-            right += good
-        history.append({"epoch": epoch, "epsilon": eps, "mean_reward": total / len(order), "cumulative_reward": total, "routing_accuracy": right / len(order)})
+    route, post = {s: [0.0] * len(ACTIONS) for s in every}, {s: [0.0] * len(POST_ACTIONS) for s in POST_STATES}
+    asked = sum(n for _, _, n in groups)
+    history = []
+    for epoch in range(epochs if asked else 0):
+        eps, total, right = epsilon(epoch, epochs), 0.0, 0.0
+        steps = []  # (state, action, type, reward, context, times) by the values at the epoch's start
+        for state, kind, n in groups:
+            for a, p in enumerate(shares(route[state], eps)):
+                good = ACTIONS[a] == EXPECTED[kind]
+                context = "context_weak" if not good else "context_empty" if kind == "unknown" else "context_found"
+                steps.append((state, a, (1.0 if good else -1.0) - 0.3 * (ACTIONS[a] == "use_hybrid"), context, kind, n * p))
+                right += n * p * good
+        gains = {c: [0.0] * len(POST_ACTIONS) for c in POST_STATES}  # sums of the rewards, by times
+        times = dict.fromkeys(POST_STATES, 0.0)
+        for _, _, reward, context, kind, n in steps:
+            want = "escalate_hybrid" if context == "context_weak" and kind != "unknown" else "answer" if context == "context_found" else "abstain"
+            times[context] += n
+            for b, name in enumerate(POST_ACTIONS):
+                gains[context][b] += n * ((1.0 if name == want else -1.0) + 0.5 * (context == "context_found"))
+            total += n * reward
+        for c in POST_STATES:
+            if times[c] > 0:
+                for b, p in enumerate(shares(post[c], eps)):
+                    mean = gains[c][b] / times[c]
+                    total += times[c] * p * mean
+                    post[c][b] += (1 - (1 - ALPHA) ** (times[c] * p)) * (mean - post[c][b])
+        moves: dict[tuple[str, int], list[float]] = {}
+        for state, a, reward, context, _, n in steps:
+            at = moves.setdefault((state, a), [0.0, 0.0])
+            at[0] += n
+            at[1] += n * (reward + GAMMA * max(post[context]))
+        for (state, a), (n, aim) in moves.items():
+            if n > 0:
+                route[state][a] += (1 - (1 - ALPHA) ** n) * (aim / n - route[state][a])
+        history.append({"epoch": epoch + 1, "epsilon": round(eps, 6), "mean_reward": round(total / asked, 6), "cumulative_reward": round(total, 6), "routing_accuracy": round(right / asked, 6)})
+    seen = {s for s, _, n in groups if n > 0}
     for s in every:
-        if s not in seen:
-            like = [route[x] for x in seen if x.split("|")[0] == s.split("|")[0]]
-            if like:
-                route[s] = [sum(v) / len(like) for v in zip(*like, strict=True)]
+        like = [route[x] for x in sorted(seen) if x.split("|")[0] == s.split("|")[0]]
+        if s not in seen and like:
+            route[s] = [sum(v) / len(like) for v in zip(*like, strict=True)]
     return route, post, history
 
 
+def gold_groups(decided: DataFrame) -> list[tuple[str, str, int]]:
+    """Groups of train() from questions (state, gold_type): the state's type is the gold one while training; 64 groups at most reach the driver."""
+    rest = F.regexp_replace("state", "^[^|]*", "")
+    rows = decided.groupBy(F.concat("gold_type", rest).alias("state"), "gold_type").agg(F.count(F.lit(1)).alias("n")).collect()
+    return sorted((r["state"], r["gold_type"], r["n"]) for r in rows)
+
+
+def values_table(spark, route: dict, groups: list[tuple[str, str, int]], epochs: int = 160) -> DataFrame:
+    """(state, action, q, visits) of trained values; visits counts the questions of a state over all epochs."""
+    visits: dict[str, int] = {}
+    for state, _, n in groups:
+        visits[state] = visits.get(state, 0) + n * epochs
+    rows = [(s, a, round(v, 8), visits.get(s, 0)) for s, values in sorted(route.items()) for a, v in zip(ACTIONS, values, strict=True)]
+    return spark.createDataFrame(rows, "state string, action string, q double, visits long")
+
+
+def policy_report(decided: DataFrame) -> DataFrame:
+    """One row over questions (gold_type, estimated_type, action): their number, the shares of right routes and right types, and that of abstentions among the unanswerable.
+
+    A share over no questions is zero.
+    """
+    expected = F.create_map(*[F.lit(x) for kv in EXPECTED.items() for x in kv])[F.col("gold_type")]
+    right, unknown = F.col("action") == expected, F.col("gold_type") == "unknown"
+    n = F.count(F.lit(1))
+    share = lambda hits, of: F.round(hits / F.greatest(F.lit(1), of), 6)
+    return decided.agg(
+        n.alias("questions"), share(F.count_if(right), n).alias("routing_accuracy"), share(F.count_if(F.col("estimated_type") == F.col("gold_type")), n).alias("type_detection_accuracy"),
+        share(F.count_if(right & unknown), F.count_if(unknown)).alias("correct_abstention_rate"),
+    )
+
+
 def feedback_fold(events: DataFrame, start: float = 0.0, by: tuple[str, ...] = ("state", "action")) -> DataFrame:
     """(by, n, q): the value after all feedback (by, ord, event_id, reward) in order, each step moving a tenth of the way.
 

@@ -46,19 +46,40 @@ def policy_argmax(spark, d):
     return A.greedy(_q_table(spark))
 
 
+def _gold(spark, d):
+    """Questions with a gold type made up: the estimated one but for a tenth of the questions."""
+    other = F.element_at(F.array(*map(F.lit, A.TYPES)), (F.col("question_id") % 4 + 1).cast("int"))
+    return _features(spark, d).withColumn("gold_type", F.when(F.col("question_id") % 10 == 3, other).otherwise(F.col("estimated_type")))
+
+
 def routing_accuracy(spark, d):
-    """Share of questions routed as their type expects, overall and by type."""
+    """Share of questions routed as their gold type expects, overall and by type."""
     expected = F.create_map(*[F.lit(x) for kv in A.EXPECTED.items() for x in kv])
-    decided = _features(spark, d).join(A.greedy(_q_table(spark)), "state").select(F.col("estimated_type").alias("question_type"), "action", expected[F.col("estimated_type")].alias("expected"))
+    decided = _gold(spark, d).join(A.greedy(_q_table(spark)), "state").select(F.col("gold_type").alias("question_type"), "action", expected[F.col("gold_type")].alias("expected"))
     return A.accuracy(decided)
 
 
+def policy_report(spark, d):
+    """Routing and type detection of all questions by the made-up table of values, and how often it abstains where it must."""
+    return A.policy_report(_gold(spark, d).join(A.greedy(_q_table(spark)), "state"))
+
+
 def q_training(spark, d):
-    """Values of the trained table; training runs on the questions' states."""
-    rows = _features(spark, d).groupBy("state", "estimated_type").agg(F.count(F.lit(1)).alias("n")).orderBy("state").collect()  # at most one row per state
-    questions = [(r["state"], r["estimated_type"], r["estimated_type"] != "unknown") for r in rows] or [(f"{t}|entity_0|coverage_low", t, t != "unknown") for t in A.TYPES]
-    route, _, _ = A.train(questions)
-    return spark.createDataFrame([(s, a, round(v, 6)) for s, vs in sorted(route.items()) for a, v in zip(A.ACTIONS, vs, strict=True)], "state string, action string, q double")
+    """Values and visits of the trained table; training runs on the questions of even ids, the others are the test split."""
+    groups = A.gold_groups(_gold(spark, d).where("question_id % 2 = 0"))
+    return A.values_table(spark, A.train(groups)[0], groups)
+
+
+def q_history(spark, d):
+    """Exploration, rewards and accuracy of every epoch of the training."""
+    history = A.train(A.gold_groups(_gold(spark, d).where("question_id % 2 = 0")))[2]
+    return spark.createDataFrame([tuple(h.values()) for h in history], "epoch long, epsilon double, mean_reward double, cumulative_reward double, routing_accuracy double")
+
+
+def q_visits(spark, d):
+    """Visits of each state over all epochs of the training."""
+    groups = A.gold_groups(_gold(spark, d).where("question_id % 2 = 0"))
+    return A.values_table(spark, A.train(groups, 1)[0], groups).select("state", "visits").distinct()
 
 
 def _feedback(spark, d):
@@ -163,7 +184,8 @@ _ST = f"st AS (SELECT t || '|entity_' || e || '|coverage_' || c AS state FROM (V
 _AC = f"(VALUES {', '.join(f'({j}, {chr(39)}{a}{chr(39)})' for j, a in enumerate(A.ACTIONS))}) ac(j, action)"
 _QT = f"""{_ST}, qt AS (SELECT state, action, j, round(((i * 7 + j * 5) % 11) / 4.0 - 1, 4)::DOUBLE AS q FROM (SELECT state, row_number() OVER (ORDER BY state) - 1 AS i FROM st), {_AC}),
 po AS (SELECT state, action, q FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY q DESC, j) AS r FROM qt) WHERE r = 1)"""
-_EXP = "CASE estimated_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in A.EXPECTED.items()) + " END"
+_EXP = "CASE gold_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in A.EXPECTED.items()) + " END"
+_GT = f"gt AS (SELECT ft.*, CASE WHEN question_id % 10 = 3 THEN {list(A.TYPES)}[question_id % 4 + 1] ELSE estimated_type END AS gold_type FROM ft)"
 _FB = """fb AS (SELECT event_id, ts, ['semantic', 'relational', 'hybrid', 'unknown'][user_id % 4 + 1] || '|entity_0|coverage_low' AS state,
   CASE event_type WHEN 'view' THEN 'use_vector' WHEN 'click' THEN 'use_graph' WHEN 'purchase' THEN 'use_hybrid' ELSE 'abstain' END AS action, CASE WHEN value >= 50 THEN 0.5 ELSE -0.5 END::DOUBLE AS reward FROM events),
 fo AS (SELECT state, action, count(*) AS n, sum(0.1::DOUBLE * pow(0.9, i) * reward) AS q FROM (SELECT *, row_number() OVER (PARTITION BY state, action ORDER BY ts DESC, event_id DESC) - 1 AS i FROM fb) GROUP BY ALL)"""
@@ -181,7 +203,7 @@ _FLATS = "fd AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS
 
 QUERIES = {
     f.__name__: f
-    for f in (route_features, route_state, policy_argmax, routing_accuracy, q_training, q_feedback_fold, feedback_stream, context_confidence, final_confidence, answer_rules, query_history_50, nearest_question_jaccard, nearest_question_blended,
+    for f in (route_features, route_state, policy_argmax, routing_accuracy, policy_report, q_training, q_history, q_visits, q_feedback_fold, feedback_stream, context_confidence, final_confidence, answer_rules, query_history_50, nearest_question_jaccard, nearest_question_blended,
               evidence_anchor, evidence_missing, type_classifier)
 }
 
@@ -189,7 +211,11 @@ ORACLE_SQL = {
     "route_features": f"WITH {_FT} SELECT * FROM ft",
     "route_state": f"WITH {_FT}, {_ST} SELECT state, count(question_id) AS n FROM st LEFT JOIN ft USING (state) GROUP BY 1",
     "policy_argmax": f"WITH {_QT} SELECT * FROM po",
-    "routing_accuracy": f"WITH {_FT}, {_QT} SELECT estimated_type AS question_type, count(*) AS n, round(avg((action = {_EXP})::INT), 6) AS accuracy FROM ft JOIN po USING (state) GROUP BY ROLLUP (estimated_type)",
+    "routing_accuracy": f"WITH {_FT}, {_GT}, {_QT} SELECT gold_type AS question_type, count(*) AS n, round(avg((action = {_EXP})::INT), 6) AS accuracy FROM gt JOIN po USING (state) GROUP BY ROLLUP (gold_type)",
+    "policy_report": f"""WITH {_FT}, {_GT}, {_QT}, r AS (SELECT gold_type = 'unknown' AS none, gold_type = estimated_type AS same, action = {_EXP} AS good FROM gt JOIN po USING (state))
+      SELECT count(*) AS questions, round(count(*) FILTER (good) / greatest(1, count(*)), 6) AS routing_accuracy, round(count(*) FILTER (same) / greatest(1, count(*)), 6) AS type_detection_accuracy,
+        round(count(*) FILTER (good AND none) / greatest(1, count(*) FILTER (none)), 6) AS correct_abstention_rate FROM r""",
+    "q_visits": f"WITH {_FT}, {_GT}, {_ST}, g AS (SELECT regexp_replace(state, '^[^|]*', gold_type) AS state, count(*) AS n FROM gt WHERE question_id % 2 = 0 GROUP BY 1) SELECT state, coalesce(n, 0) * 160 AS visits FROM st LEFT JOIN g USING (state)",
     "q_feedback_fold": f"WITH {_FB} SELECT state, action, n, round(q, 8) AS q FROM fo",
     "feedback_stream": f"WITH {_FB} SELECT state, action, n, round(q, 6) AS q FROM fo",
     "context_confidence": _bm25_second(),

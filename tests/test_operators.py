@@ -257,16 +257,45 @@ def test_cooccurrence_confidence(spark):
     assert (r["a"], r["b"], r["n"], r["confidence"]) == ("x", "y", 2, 0.537889)
 
 
+FIXPOINTS = {"semantic": ("use_vector", 2.35), "relational": ("use_graph", 2.35), "hybrid": ("use_hybrid", 2.05), "unknown": ("abstain", 1.9)}
+
+
 def test_training_reaches_its_fixpoints():
     assert routing.epsilon(0) == 0.3 and routing.epsilon(159) == 0.05
-    questions = [(f"{t}|entity_{e}|coverage_high", t, t != "unknown") for t in routing.TYPES for e in (0, 1) for _ in range(2)]
-    route, post, history = routing.train(questions, 160)
+    groups = [(f"{t}|entity_{e}|coverage_high", t, 2) for t in routing.TYPES for e in (0, 1)]
+    route, post, history = routing.train(groups, 160)
     assert post["context_found"][0] == pytest.approx(1.5, abs=0.05) and post["context_empty"][1] == pytest.approx(1.0, abs=0.05)
     best = {s.split("|")[0]: (routing.ACTIONS[max(range(4), key=v.__getitem__)], max(v)) for s, v in route.items()}
-    want = {"semantic": ("use_vector", 2.35), "relational": ("use_graph", 2.35), "hybrid": ("use_hybrid", 2.05), "unknown": ("abstain", 1.9)}
-    for t, (action, value) in want.items():
+    for t, (action, value) in FIXPOINTS.items():
         assert best[t][0] == action and best[t][1] == pytest.approx(value, abs=0.1)
-    assert history[-1]["routing_accuracy"] > 0.8 and (route, post) == routing.train(questions, 160)[:2]
+    assert history[-1]["routing_accuracy"] > 0.9 and history[0]["epoch"] == 1 and history[0]["routing_accuracy"] == 0.25
+    assert (route, post) == routing.train(groups, 160)[:2] and routing.train([], 5)[2] == []
+    assert [history[k]["mean_reward"] for k in (0, 80, 159)] == sorted(history[k]["mean_reward"] for k in (0, 80, 159))
+
+
+def test_training_against_drawn_steps():
+    """The same rewards, question by question with drawn actions: the same policy, and values that differ by the draws alone."""
+    rng, groups = random.Random(5), [(f"{t}|entity_1|coverage_low", t, 3 + i) for i, t in enumerate(routing.TYPES)]
+    values, after = {s: dict.fromkeys(routing.ACTIONS, 0.0) for s, _, _ in groups}, {c: dict.fromkeys(routing.POST_ACTIONS, 0.0) for c in routing.POST_STATES}
+
+    def draw(row, eps):
+        return rng.choice([k for k in row if rng.random() < eps or math.isclose(row[k], max(row.values()))] or list(row))
+
+    for epoch in range(160):
+        for s, t in rng.sample([(s, t) for s, t, n in groups for _ in range(n)], sum(n for _, _, n in groups)):
+            a = draw(values[s], routing.epsilon(epoch))
+            hit = a == routing.EXPECTED[t]
+            c = ("context_empty" if t == "unknown" else "context_found") if hit else "context_weak"
+            b = draw(after[c], routing.epsilon(epoch))
+            want = "abstain" if t == "unknown" else "answer" if hit else "escalate_hybrid"
+            after[c][b] += 0.1 * ((1 if b == want else -1) + (0.5 if c == "context_found" else 0) - after[c][b])
+            values[s][a] += 0.1 * ((1 if hit else -1) - (0.3 if a == "use_hybrid" else 0) + 0.9 * max(after[c].values()) - values[s][a])
+    route, post, _ = routing.train(groups)
+    for s, t, _ in groups:
+        a = max(values[s], key=values[s].get)
+        assert a == FIXPOINTS[t][0] == routing.ACTIONS[max(range(4), key=route[s].__getitem__)]
+        assert values[s][a] == pytest.approx(max(route[s]), abs=0.1)
+    assert max(post["context_weak"]) == pytest.approx(max(after["context_weak"].values()), abs=0.3)
 
 
 def test_confidences(spark):

@@ -138,23 +138,45 @@ def glossary(line_rows: DataFrame) -> DataFrame:
     return merged.select("acronym", "expanded_form", page_references(F.col("refs")).alias("referenced_pages"), roman_references(F.col("refs")).alias("referenced_pages_roman"))
 
 
-def boundary_repairs(pages: DataFrame, words: DataFrame, compounds: DataFrame, reach: int = 3) -> DataFrame:
-    """Words cut by a page end: pages (page, head, tail) where tail is the fragment before a final hyphen and head the first lower-case word.
-
-    The fragment is joined to the nearest of the next `reach` pages that has a head; the more frequent form
-    wins: joined (confidence 1 from five occurrences on, else 0.9), hyphenated (0.9), or neither (0.75); 0 if
-    no page follows. Below 0.9 the repair is for review.
+def boundary_repairs(pages: DataFrame, words: DataFrame, compounds: DataFrame, by: str = "doc", reach: int = 3) -> DataFrame:
+    """Words cut by a page's end, described and not applied: pages (by, page, text) of distinct numbers, paragraphs parted by blank lines.
+
+    A page that ends in letters and a hyphen is continued on the nearest of the next `reach` pages that has a
+    paragraph with a lower-case beginning; a number without a page ends the search. Of such paragraphs the first
+    whose form, joined or hyphenated, the corpus has, else the first, gives the rest of the word. The more frequent
+    form wins: joined (confidence 1 from five occurrences on, else 0.9), hyphenated (0.9); where the corpus has
+    neither (0.75) the hyphen stays if both members are words of three occurrences or more. Without a continuation
+    all but the fragment and the skipped pages is null and confidence zero; under 0.9 a repair is for review.
     """
-    left = pages.where("tail is not null").select(F.col("page").alias("left_page"), "tail")
-    right = pages.where("head is not null").select(F.col("page").alias("right_page"), "head")
-    deltas = left.withColumn("right_page", F.explode(F.sequence(F.col("left_page") + 1, F.col("left_page") + reach)))
-    found = deltas.join(right, "right_page").groupBy("left_page").agg(F.min(F.struct("right_page", "head")).alias("m"))
-    out = left.join(found, "left_page", "left").select("left_page", "m.right_page", "tail", "m.head")
-    out = out.withColumn("joined", F.concat("tail", "head")).withColumn("hyphenated", F.concat_ws("-", "tail", "head"))
-    out = out.join(words.select(F.col("word").alias("_w"), F.col("n").alias("_wn")), F.lower("joined") == F.col("_w"), "left")
-    out = out.join(compounds.select(F.col("compound").alias("_c"), F.col("n").alias("_cn")), F.lower("hyphenated") == F.col("_c"), "left")
-    j, h = F.coalesce("_wn", F.lit(0)), F.coalesce("_cn", F.lit(0))
-    none = F.col("head").isNull()
-    token = F.when(none, F.lit(None)).when((j >= h) & (j > 0), F.col("joined")).when(h > 0, F.col("hyphenated")).otherwise(F.col("joined"))
-    sure = F.when(none, 0.0).when((j >= h) & (j >= 5), 1.0).when((j >= h) & (j > 0) | (h > 0), 0.9).otherwise(0.75)
-    return out.select("left_page", "right_page", token.alias("repaired"), sure.alias("confidence"), (sure < 0.9).alias("review"))
+    text = F.rtrim("text")
+    stem = F.regexp_extract(text, f"([{T.LETTERS}]{{2,}})-$", 1)
+    left = pages.select(by, F.col("page").alias("left_page"), stem.alias("stem"), F.right(text, F.lit(90)).alias("left_context")).where("stem <> ''")
+    parts = F.filter(F.transform(F.split("text", "\n\n"), lambda p: F.trim(p)), lambda p: p.rlike("^[a-zà-öø-ÿ]"))
+    starts = F.transform(parts, lambda p, i: F.struct(i.alias("at"), F.regexp_extract(p, "^([a-zà-öø-ÿ]+)", 1).alias("rest"), F.substring(p, 1, 90).alias("right_context")))
+    right = pages.select(by, F.col("page").alias("right_page"), starts.alias("starts"))
+    w = Window.partitionBy(by, "left_page").orderBy("right_page")
+    near = left.withColumn("right_page", F.explode(F.sequence(F.col("left_page") + 1, F.col("left_page") + reach))).join(right, [by, "right_page"])
+    near = near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == F.col("right_page") - F.col("left_page"))  # no number is missing before
+    first = near.groupBy(by, "left_page").agg(F.min_by(F.struct("right_page", "starts"), F.when(F.size("starts") > 0, F.col("right_page"))).alias("m"), F.max("right_page").alias("last"))
+    met = left.join(first, [by, "left_page"], "left").select(by, "left_page", "stem", "left_context", F.col("m.right_page").alias("right_page"), "last", F.explode_outer("m.starts").alias("s")).select("*", "s.*").drop("s")
+    met = met.withColumn("_j", F.lower(F.concat("stem", "rest"))).withColumn("_h", F.lower(F.concat_ws("-", "stem", "rest")))
+    counted = lambda f, key, name: f.select(F.col(key).alias(f"_{name}"), F.col("n").alias(name))
+    met = met.join(counted(words, "word", "n_joined"), F.col("_j") == F.col("_n_joined"), "left").join(counted(compounds, "compound", "n_hyphenated"), F.col("_h") == F.col("_n_hyphenated"), "left")
+    met = met.withColumn("n_joined", F.coalesce("n_joined", F.lit(0))).withColumn("n_hyphenated", F.coalesce("n_hyphenated", F.lit(0)))
+    order = F.struct((F.col("n_joined") + F.col("n_hyphenated") == 0).alias("a"), F.col("at").alias("b"))
+    best = met.groupBy(by, "left_page", "stem", "left_context", "right_page", "last").agg(F.min_by(F.struct("rest", "right_context", "n_joined", "n_hyphenated"), order).alias("b")).select("*", "b.*").drop("b")
+    member = lambda name: counted(words.where("n >= 3"), "word", name)
+    best = best.join(member("n_left"), F.lower("stem") == F.col("_n_left"), "left").join(member("n_right"), F.lower("rest") == F.col("_n_right"), "left")
+    j, h, none = F.col("n_joined"), F.col("n_hyphenated"), F.col("rest").isNull()
+    plain, compound = F.concat("stem", "rest"), F.concat_ws("-", "stem", "rest")
+    members = F.col("n_left").isNotNull() & F.col("n_right").isNotNull()
+    token = F.when(none, F.lit(None)).when((j >= h) & (j > 0), plain).when((h > 0) | members, compound).otherwise(plain)
+    sure = F.when(none, 0.0).when((j >= h) & (j >= 5), 1.0).when(j + h > 0, 0.9).otherwise(0.75)
+    reason = F.when(none, "no continuation").when((j >= h) & (j > 0), "joined").when(h > 0, "compound").when(members, "compound, not attested").otherwise("joined, not attested")
+    until = F.when(none, F.coalesce("last", "left_page")).otherwise(F.col("right_page") - 1)
+    skipped = F.when(until > F.col("left_page"), F.sequence(F.col("left_page") + 1, until)).otherwise(F.array().cast("array<int>"))
+    frequency = lambda c: F.when(~none, c)
+    return best.select(
+        by, "left_page", "right_page", F.concat("stem", F.lit("-")).alias("left_fragment"), F.col("rest").alias("right_fragment"), token.alias("repaired"), sure.alias("confidence"), reason.alias("reason"),
+        (sure < 0.9).alias("review"), skipped.alias("skipped_pages"), frequency(j).alias("n_joined"), frequency(h).alias("n_hyphenated"), "left_context", "right_context",
+    )

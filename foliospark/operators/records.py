@@ -22,7 +22,7 @@ def page_meta(chapter_title: Column, chapter: Column, section_title: Column, sec
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:
-    """pages (doc_id, text) with clean_text: running lines and page numbers out, dashes, quotes and spaces in ASCII, hyphen breaks joined or kept by the vote of the corpus, blanks collapsed.
+    """pages (doc_id, text) with clean_text: running lines and page numbers out, dashes, quotes and spaces in ASCII, hyphen breaks joined or kept by the vote of the corpus, blanks collapsed, paragraphs parted by a blank line.
 
     Running lines are aggregated over all pages first; the second pass joins lines to them.
     """
@@ -32,7 +32,8 @@ def clean_pages(pages: DataFrame) -> DataFrame:
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
     flat = keyed.groupBy("doc_id").agg(T.normalize_unicode(joined).alias("text"))
     repaired = cleaning.repair_texts(flat, cleaning.word_frequencies(pages), cleaning.hyphen_frequencies(pages))
-    kept = repaired.select("doc_id", F.trim(F.regexp_replace("text", "\\s+", " ")).alias("clean_text"))
+    parts = F.filter(F.transform(F.split("text", "\n\\s*\n"), lambda p: F.trim(F.regexp_replace(p, "\\s+", " "))), lambda p: p != "")
+    kept = repaired.select("doc_id", F.array_join(parts, "\n\n").alias("clean_text"))
     return pages.join(kept, "doc_id", "left").withColumn("clean_text", F.coalesce("clean_text", F.lit("")))
 
 
@@ -43,14 +44,74 @@ def page_records(pages: DataFrame) -> DataFrame:
     lang = T.language(F.col("fr"), F.col("en"), t)
     out = counted.withColumn("language", lang).withColumn("printed", structure.printed_number(F.col("text"))).withColumn("numbering", structure.pagination(F.col("page"), F.col("printed")))
     out = out.withColumn("inclusion", structure.inclusion(F.col("zone"), F.length(t)))
-    words = F.size(F.filter(F.split(t, " "), lambda w: w != ""))
     warnings = F.array_compact(F.array(F.col("numbering.warning"), F.when(F.col("language.confidence") == 0, F.lit("language not sure")), F.when(F.length(t) == 0, F.lit("blank"))))
     return out.select(
         "doc_id", "page", F.col("numbering.number").alias("thesis_page"), "zone", F.col("language.lang").alias("language"), F.col("language.confidence").alias("language_confidence"), F.col("inclusion.keep").alias("keep_for_rag"),
-        F.col("inclusion.reason").alias("exclusion_reason"), F.length("text").alias("raw_char_count"), F.length(t).alias("clean_char_count"), words.alias("estimated_word_count"), "clean_text", warnings.alias("warnings"),
+        F.col("inclusion.reason").alias("exclusion_reason"), F.length("text").alias("raw_char_count"), F.length(t).alias("clean_char_count"), words_of(t).alias("estimated_word_count"), "clean_text", warnings.alias("warnings"),
     )
 
 
+# Fixed value: why a page of references is left out.
+MOVED = "references_internes_article"
+
+
+def words_of(text: Column) -> Column:
+    """How many words parted by blanks a text has."""
+    return F.size(F.filter(F.split(text, "\\s+"), lambda w: w != ""))
+
+
+def document_records(pages: DataFrame, toc: DataFrame, by: str = "doc") -> DataFrame:
+    """The whole record of each page, 26 columns, of pages (doc_id, by, page, text, layout, n_images, document_id, source_file, source_sha256).
+
+    Ids are distinct, and so are page numbers within `by`. Paragraphs of the text are parted by blank lines; a heading
+    is looked for at the beginning of each. On pages of figures the cleaned text is reduced to captions before this.
+    """
+    entries = structure.contents(toc, by)
+    own = pages.withColumn("own_heading", structure.page_heading(F.split(T.normalize_unicode(F.col("text")), "\n\n")))
+    base = page_records(pages.select("doc_id", "page", "text")).drop("page")
+    r = structure.with_sections(own, entries, by).join(base, "doc_id")
+    layout, keep = F.coalesce("layout", F.lit("single_column")), F.col("keep_for_rag")
+    more = F.array_compact(F.array(F.when(layout == "figure_or_sparse", F.lit("figures")), F.when(keep & (F.trim("clean_text") == ""), F.lit("kept without text"))))
+    return r.select(
+        "document_id", "source_file", "source_sha256", by, "page", F.col("thesis_page"), structure.printed_number(F.col("text")).alias("printed_page"), "zone", "chapter_number", "chapter_title", "section_number", "section_title",
+        "section_inherited", "language", "language_confidence", structure.content_type(F.col("zone"), F.col("section_title"), F.col("clean_text"), layout).alias("content_type"),
+        F.when(keep, layout).otherwise("excluded").alias("extraction_mode"), layout.alias("detected_layout"), "keep_for_rag", "exclusion_reason", F.col("text").alias("raw_text"), "clean_text", "raw_char_count", "clean_char_count",
+        "estimated_word_count", "n_images", F.concat("warnings", more).alias("warnings"),
+    )
+
+
+def move_references(records: DataFrame, toc: DataFrame, by: str = "doc") -> tuple[DataFrame, DataFrame]:
+    """(records, references): reference lists inside articles leave the records and become rows of their own.
+
+    records are those of document_records() with paragraphs parted by blank lines, toc is structure.contents(). On the
+    page where a list begins the paragraphs before its title stay; on the following pages of the list nothing does, and
+    a page of which nothing stays is left out. Counts, warnings and the raw text of the list are made anew.
+    """
+    r = structure.article_references(records, toc, by)
+    parts, ref = F.split("clean_text", "\n\n"), F.col("_reference")
+    cut = F.when(ref["start"] == F.col("page"), ref["paragraph"]).otherwise(0)
+    head = F.trim(F.array_join(F.slice(parts, F.lit(1), cut), "\n\n"), F.lit(" \t\r\n"))
+    tail = F.trim(F.array_join(F.slice(parts, cut + 1, F.size(parts)), "\n\n"), F.lit(" \t\r\n"))
+    r = r.withColumn("_cut", cut).withColumn("_head", head).withColumn("_tail", tail).withColumn("_moved", F.coalesce(ref.isNotNull() & F.col("keep_for_rag") & (F.length("_tail") > 0), F.lit(False)))
+    moved, left_out = F.col("_moved"), F.col("_moved") & (F.col("_head") == "")
+    at = F.position(ref["title"], F.col("raw_text"))
+    raw = F.when((F.col("_cut") > 0) & (at > 0), F.expr("substring(raw_text, position(_reference.title, raw_text))")).otherwise(F.col("raw_text"))
+    lists = r.where(moved).select(
+        "document_id", "source_file", "source_sha256", by, "page", "thesis_page", ref["chapter_number"].alias("chapter"), ref["chapter_title"].alias("chapter_title"), ref["article"].alias("article"), ref["title"].alias("section"),
+        (F.col("_cut") > 0).alias("partial_page"), raw.alias("raw_text"), F.col("_tail").alias("clean_text"), F.length("_tail").alias("clean_char_count"), F.lit(MOVED).alias("exclusion_reason"),
+    )
+    made = {
+        "clean_text": F.when(moved, F.col("_head")).otherwise(F.col("clean_text")),
+        "clean_char_count": F.when(moved, F.length("_head")).otherwise(F.col("clean_char_count")),
+        "estimated_word_count": F.when(moved, words_of(F.col("_head"))).otherwise(F.col("estimated_word_count")),
+        "warnings": F.when(moved, F.concat("warnings", F.array(F.lit("references moved")))).otherwise(F.col("warnings")),
+        "keep_for_rag": F.col("keep_for_rag") & ~left_out,
+        "exclusion_reason": F.when(left_out, MOVED).otherwise(F.col("exclusion_reason")),
+        "extraction_mode": F.when(left_out, "excluded").otherwise(F.col("extraction_mode")),
+    }
+    return r.select(*[made[c].alias(c) if c in made else F.col(c) for c in records.columns]), lists
+
+
 def appendix_stats(records: DataFrame, first: int = 174, last: int = 206) -> DataFrame:
     """One row for the records of pages first to last: pages seen, kept and excluded, paragraphs and characters kept, and the two lists of pages."""
     own, keep = records.where(F.col("page").between(first, last)), F.col("keep_for_rag")

@@ -23,6 +23,11 @@ KEPT_ZONES = ("summaries", "chapters", "appendix_a", "appendix_c")
 FIRST_NUMBERED, OFFSET, TOLERANCE = 16, 15, 2
 LEAST_CHARS, LEAST_APPENDIX_CHARS = 120, 150
 HEADING = r"^([0-9]+(?:\.[0-9]+){0,3})\s+(\S.{2,120})$"
+LONE_NUMBER = r"^[0-9]+(?:\.[0-9]+){0,3}$"
+# First pages of the chapters and appendices.
+CHAPTER_STARTS = {16: "1", 34: "2", 50: "3", 86: "4", 122: "5", 144: "A", 150: "B", 174: "C"}
+# Titles that are a paragraph of their own and open a list of references.
+REFERENCE_TITLES = ("references", "bibliography", "literature cited", "bibliographie", "references cited", "reference list")
 DOT_LEADER = r"\.\s*\.\s*\.|…"
 # Words of a section title, in order of precedence, and the content type they tell.
 TITLE_WORDS = [
@@ -128,3 +133,68 @@ def reference_ranges(pages: DataFrame, headings: DataFrame, toc: DataFrame, by:
     spans = ends.select(by, F.col("page").alias("start"), F.greatest("page", F.coalesce(F.col("_n") - 1, F.col("page"))).alias("end"))
     covered = spans.select(by, "start", "end", F.explode(F.sequence("start", "end")).alias("page"))
     return pages.select(by, "page").join(covered, [by, "page"])
+
+
+def page_heading(blocks: Column) -> Column:
+    """STRUCT<number, title> of the first block of an array of texts that opens with a numbered heading, or with a lone number and its title in the next line; null if none does."""
+
+    def of_block(block: Column) -> Column:
+        rows = F.filter(F.transform(F.split(block, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+        first, second = F.try_element_at(rows, F.lit(1)), F.try_element_at(rows, F.lit(2))
+        two = first.rlike(LONE_NUMBER) & (F.length(second) < 130) & ~second.rlike(DOT_LEADER)
+        return F.coalesce(heading(first), F.when(two, F.struct(first.alias("number"), second.alias("title"))))
+
+    return F.try_element_at(F.filter(F.transform(blocks, of_block), lambda h: h.isNotNull()), F.lit(1))
+
+
+def contents(toc: DataFrame, by: str = "doc") -> DataFrame:
+    """Entries (by, page, level, title) of pages from 1 on, titles in plain characters, with chapter_number for entries of level 1 on a chapter's first page."""
+    from foliospark.functions.text import normalize_unicode
+
+    number = F.create_map(*[F.lit(x) for kv in CHAPTER_STARTS.items() for x in kv])
+    kept = toc.where("page >= 1").select(by, F.col("page").cast("int").alias("page"), F.col("level").cast("int").alias("level"), F.trim(normalize_unicode(F.col("title"))).alias("title"))
+    return kept.withColumn("chapter_number", F.when(F.col("level") == 1, number[F.col("page")]))
+
+
+def with_sections(pages: DataFrame, toc: DataFrame, by: str = "doc", own: str = "own_heading") -> DataFrame:
+    """Adds chapter_number, chapter_title, section_number, section_title and section_inherited to pages (by, page, own).
+
+    The chapter is the latest entry of level 1 at or before the page. A page's own heading is its section; without
+    one a deeper entry of the contents that begins on the page is, its deepest; else the section before goes on
+    within the chapter. Inherited sections are marked; a page before any section has none. Of equal entries the
+    greatest title counts. toc is contents().
+    """
+    chapters = toc.where("level = 1").select(by, "page", F.struct("page", "chapter_number", "title").alias("_c"))
+    begun = toc.where("level > 1").groupBy(by, "page").agg(F.max_by("title", F.struct("level", "title")).alias("_t"))
+    p = as_of(pages, chapters, by, "page", ["_c"]).join(begun, [by, "page"], "left")
+    section = F.coalesce(F.when(F.col(own).isNotNull(), F.struct(F.col(f"{own}.number").alias("number"), F.col(f"{own}.title").alias("title"))), F.when(F.col("_t").isNotNull(), F.struct(F.lit(None).cast("string").alias("number"), F.col("_t").alias("title"))))
+    p = p.withColumn("_s", section)
+    w = Window.partitionBy(by, "_c").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
+    p = p.withColumn("_l", F.last("_s", ignorenulls=True).over(w))
+    out = p.withColumns({"chapter_number": F.col("_c.chapter_number"), "chapter_title": F.col("_c.title"), "section_number": F.col("_l.number"), "section_title": F.col("_l.title")})
+    return out.withColumn("section_inherited", F.col("_s").isNull() & F.col("_l").isNotNull()).drop("_c", "_t", "_s", "_l")
+
+
+def article_references(records: DataFrame, toc: DataFrame, by: str = "doc") -> DataFrame:
+    """records with `_reference`: STRUCT<start, paragraph, title, chapter_number, chapter_title, article> of the reference list that covers a kept page, or null.
+
+    A list begins at a kept page's first paragraph that is one of REFERENCE_TITLES, but for a final dot or colon,
+    and ends before the next page on which an entry of the contents begins, or on its own page if none follows.
+    Between two entries lists end together, so the earliest covers the later ones. The article is the latest entry
+    of level 2 or deeper. One as-of join and one window: pages and lists are not multiplied.
+    """
+    parts = F.split("clean_text", "\n\n")
+    is_title = lambda p: F.rtrim(F.lower(F.trim(p)), F.lit(".:")).isin(*REFERENCE_TITLES)
+    place = F.array_position(F.transform(parts, is_title), F.lit(True))
+    deeper = toc.where("level > 1").groupBy(by, "page").agg(F.max_by("title", F.struct("level", "title")).alias("_article"))
+    r = as_of(records, deeper, by, "page", ["_article"])
+    found = F.struct(F.col("page").alias("start"), (place - 1).cast("int").alias("paragraph"), F.trim(F.get(parts, (place - 1).cast("int"))).alias("title"), "chapter_number", "chapter_title", F.col("_article").alias("article"))
+    r = r.withColumn("_own", F.when(F.col("keep_for_rag") & (place > 0), found))
+    begun = toc.select(by, "page").distinct()
+    spans = begun.select(by, "page", F.struct("page", (F.lead("page").over(Window.partitionBy(by).orderBy("page")) - 1).alias("end")).alias("_span"))
+    first = begun.groupBy(by).agg((F.min("page") - 1).alias("_before"))  # pages before the first entry end with it
+    r = as_of(r, spans, by, "page", ["_span"]).join(first, by, "left")
+    end = F.when(F.col("_span").isNull(), F.col("_before")).otherwise(F.col("_span.end"))
+    w = Window.partitionBy(by, F.col("_span.page")).orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
+    earliest = F.when(end.isNull(), F.col("_own")).otherwise(F.first("_own", ignorenulls=True).over(w))
+    return r.withColumn("_reference", earliest).drop("_article", "_own", "_span", "_before")

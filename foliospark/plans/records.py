@@ -101,7 +101,7 @@ def service_answers(spark, d):
 _CLEAN = f"""kp AS (SELECT doc_id, pos, line FROM ln WHERE {texts._KEY} NOT IN (SELECT line_key FROM rl) AND NOT regexp_full_match(trim(line), '[0-9]{{1,4}}') AND NOT regexp_full_match(lower(trim(line)), '[ivxlcdm]{{1,8}}')
   AND NOT regexp_full_match(lower(trim(line)), '(page|p\\.)\\s*[0-9]{{1,4}}')),
 jn AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS j FROM kp GROUP BY 1),
-ct AS (SELECT d.doc_id, (d.doc_id % 206 + 1)::INTEGER AS page, d.text, coalesce(trim(regexp_replace(regexp_replace({texts._duck('j')}, '([{texts.T.LETTERS}]{{2,}})-\\n([{texts.T.LETTERS}]+)', '\\1\\2', 'g'), '\\s+', ' ', 'g')), '') AS t FROM documents d LEFT JOIN jn USING (doc_id))"""
+ct AS (SELECT d.doc_id, (d.doc_id % 206 + 1)::INTEGER AS page, d.text, coalesce(array_to_string(list_filter(list_transform(string_split_regex(regexp_replace({texts._duck('j')}, '([{texts.T.LETTERS}]{{2,}})-\\n([{texts.T.LETTERS}]+)', '\\1\\2', 'g'), '\\n\\s*\\n'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)), '') AS t FROM documents d LEFT JOIN jn USING (doc_id))"""
 _FRC, _ENC = (x.replace("lower(text)", "lower(t)") for x in (texts._FR, texts._EN))
 _REC = f"""{texts._LINES}, {texts._RUN}, {_CLEAN},
 pn AS (SELECT *, list_filter(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: regexp_full_match(x, '[0-9]{{1,3}}')), lambda x: x::INTEGER), lambda x: x > 0)[-1] AS printed,
@@ -112,7 +112,7 @@ rc AS (SELECT doc_id, page, (CASE WHEN printed IS NULL THEN rule WHEN rule IS NU
   CASE WHEN t = '' OR fr + en < 5 THEN 0.0::DOUBLE WHEN fr = en THEN 0.5::DOUBLE ELSE round(greatest(fr, en)::DOUBLE / (fr + en), 3) END AS language_confidence,
   CASE WHEN zone NOT IN {P.structure.KEPT_ZONES} THEN CASE zone {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in P.structure.REASONS.items())} ELSE 'hors_perimetre' END WHEN t = '' THEN 'page_blanche'
     WHEN zone = 'appendix_c' AND length(t) < 150 THEN 'annexe_c_sans_texte_exploitable' WHEN zone <> 'appendix_c' AND length(t) < 120 THEN 'page_quasi_vide_ou_titre_seul' END AS exclusion_reason,
-  length(text)::INTEGER AS raw_char_count, length(t)::INTEGER AS clean_char_count, len(list_filter(string_split(t, ' '), lambda w: w <> ''))::INTEGER AS estimated_word_count, t,
+  length(text)::INTEGER AS raw_char_count, length(t)::INTEGER AS clean_char_count, len(list_filter(string_split_regex(t, '\\s+'), lambda w: w <> ''))::INTEGER AS estimated_word_count, t,
   CASE WHEN printed IS NULL THEN NULL WHEN rule IS NULL THEN 'number in front matter' WHEN printed = rule THEN NULL WHEN abs(printed - rule) <= 2 THEN 'printed number differs' ELSE 'foreign numbering' END AS warning FROM zn)"""
 
 QUERIES = {f.__name__: f for f in (page_records, appendix_report, warnings_histogram, forbidden_leaks, page_metadata, label_report, evidence_similarity, evidence_best_chunk, verified_relations, entity_names, service_answers)}

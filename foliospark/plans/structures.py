@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from foliospark.operators import html_blocks as H
 from foliospark.operators import layout as L
+from foliospark.operators import records as P
 from foliospark.operators import structure as S
 from foliospark.sources import table
 
@@ -74,6 +75,42 @@ def reference_split(spark, d):
     return S.reference_ranges(p, p.where("doc_id % 23 = 5").select("doc", "page"), _toc(spark, d)).select("doc", "page", "start", "end")
 
 
+def _articles(spark, d):
+    k, rows = F.col("doc_id"), F.split("text", "\n")
+    listed = F.when(k % 46 == 5, F.concat(F.lit("References:\n\n"), F.array_join(rows, "\n\n"))).when(k % 23 == 5, F.concat_ws("\n\n", F.array_join(F.slice(rows, 1, 2), "\n\n"), F.lit("BIBLIOGRAPHY"), F.array_join(F.slice(rows, 3, 1000000), "\n\n")))
+    clean = F.coalesce(listed, F.array_join(rows, "\n\n"))
+    blank, keep = F.lit(None).cast("string"), k % 5 != 3
+    return _pages(spark, d).select(
+        "doc_id", "doc", "page", F.lit("d").alias("document_id"), F.lit("f").alias("source_file"), F.lit("s").alias("source_sha256"), (F.col("page") - 15).alias("thesis_page"), blank.alias("chapter_number"), F.concat(F.lit("C"), F.floor(F.col("page") / 30)).alias("chapter_title"),
+        keep.alias("keep_for_rag"), F.when(~keep, "left out").alias("exclusion_reason"), F.lit("single_column").alias("extraction_mode"), F.replace(clean, F.lit("\n\n"), F.lit("\n")).alias("raw_text"), clean.alias("clean_text"), F.length(clean).alias("clean_char_count"),
+        F.lit(0).alias("estimated_word_count"), F.array().cast("array<string>").alias("warnings"),
+    )
+
+
+def reference_moved(spark, d):
+    """Reference lists taken out of pages: every 23rd page has one, in its middle or at its top, up to the next entry of the contents."""
+    lists = P.move_references(_articles(spark, d), S.contents(_toc(spark, d)))[1]
+    digest = lambda c: F.md5(F.col(c).cast("binary")).alias(c)
+    return lists.select("doc", "page", "thesis_page", "chapter_title", "article", "section", "partial_page", digest("raw_text"), digest("clean_text"), "clean_char_count", "exclusion_reason")
+
+
+def reference_kept(spark, d):
+    """The pages after their reference lists are taken out."""
+    r = P.move_references(_articles(spark, d), S.contents(_toc(spark, d)))[0]
+    return r.select("doc_id", "keep_for_rag", "exclusion_reason", "extraction_mode", "clean_char_count", F.md5(F.col("clean_text").cast("binary")).alias("clean_text"), F.array_join("warnings", ",").alias("warnings"))
+
+
+def document_records(spark, d):
+    """The whole record of every page; some pages begin with a heading, in one line or two."""
+    k = F.col("doc_id")
+    text = F.when(k % 11 == 3, F.concat(F.lit("2.1\nResult of "), k, F.lit("\n\n"), "text")).when(k % 11 == 4, F.concat(F.lit("3 Method of "), k, F.lit("\n"), "text")).otherwise(F.col("text"))
+    layout = F.when(k % 10 == 9, "figure_or_sparse").when(k % 10 == 8, "double_column").otherwise("single_column")
+    pages = _pages(spark, d).select("doc_id", "doc", "page", text.alias("text"), layout.alias("layout"), (k % 3).cast("int").alias("n_images"), F.lit("thesis").alias("document_id"), F.lit("thesis.pdf").alias("source_file"), F.lit("0A").alias("source_sha256"))
+    out = P.document_records(pages, _toc(spark, d))
+    digest = lambda c: F.md5(F.col(c).cast("binary"))
+    return out.withColumns({"raw_text": digest("raw_text"), "clean_text": digest("clean_text"), "warnings": F.array_join("warnings", ",")})
+
+
 def inclusion_policy(spark, d):
     """Keep or leave out every page, and why; every 17th page is blank here."""
     text = F.when(F.col("doc_id") % 17 == 0, "").otherwise(F.col("text"))
@@ -152,13 +189,38 @@ ro AS (SELECT bl.*, layout, row_number() OVER (PARTITION BY page ORDER BY CASE b
   CASE WHEN layout IN ('double_column', 'mixed_layout') AND band = 'body' THEN stretch ELSE 0 END, CASE WHEN layout IN ('double_column', 'mixed_layout') AND band = 'body' THEN CASE col WHEN 'left' THEN 0 WHEN 'right' THEN 1 ELSE 2 END ELSE 0 END,
   round(y0, 1), x0, pos)::INTEGER AS nth, row_number() OVER (PARTITION BY page ORDER BY round(y0, 1), x0, pos)::INTEGER AS naive FROM bl JOIN ly USING (page) JOIN st USING (page, pos))"""
 _ALT = "SELECT page, count(*) FILTER (WHERE p IS NOT NULL AND p <> col) AS s FROM (SELECT page, col, lag(col) OVER (PARTITION BY page ORDER BY {o}) AS p FROM ro WHERE band = 'body' AND col <> 'full') GROUP BY page"
+_ART = f"""{_P}, {_TOC}, pg AS (SELECT *, string_split(text, chr(10)) AS l, chr(10) || chr(10) AS br, doc_id % 5 <> 3 AS keep FROM p),
+ar AS (SELECT doc_id, doc, page, keep, page - 15 AS thesis_page, 'C' || page // 30 AS chapter_title, CASE WHEN doc_id % 46 = 5 THEN list_prepend('References:', l) WHEN doc_id % 23 = 5 THEN l[1:2] || ['BIBLIOGRAPHY'] || CASE WHEN len(l) > 2 THEN l[3:] ELSE [''] END ELSE l END AS l FROM pg),
+hd AS (SELECT doc, page AS s, CASE WHEN doc_id % 46 = 5 THEN 0 ELSE list_position(l, 'BIBLIOGRAPHY') - 1 END AS place, l FROM ar WHERE keep AND doc_id % 23 = 5),
+sp AS (SELECT hd.doc, s, place, l[place + 1] AS title, (SELECT chapter_title FROM ar WHERE ar.doc = hd.doc AND ar.page = s) AS ch, coalesce((SELECT min(page) - 1 FROM toc WHERE toc.doc = hd.doc AND toc.page > s), s) AS e,
+  (SELECT arg_max(title, page) FROM toc WHERE toc.doc = hd.doc AND level > 1 AND toc.page <= s) AS article FROM hd),
+cv AS (SELECT ar.*, sp.s, sp.title, sp.ch, sp.article, CASE WHEN sp.s = page THEN sp.place ELSE 0 END AS cut FROM ar JOIN (SELECT doc, page AS pp, min(s) AS s FROM ar JOIN sp USING (doc) WHERE page BETWEEN s AND e GROUP BY ALL) x ON x.doc = ar.doc AND x.pp = ar.page JOIN sp ON sp.doc = ar.doc AND sp.s = x.s WHERE keep),
+mv AS (SELECT *, trim(array_to_string(l[1:cut], chr(10) || chr(10)), ' ' || chr(10)) AS head, trim(array_to_string(l[cut + 1:], chr(10) || chr(10)), ' ' || chr(10)) AS tail, array_to_string(l, chr(10)) AS raw FROM cv),
+mo AS (SELECT * FROM mv WHERE tail <> '')"""
 _PLAIN = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({x}, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g'))"
 _TITLE_OF = _PLAIN.format(x="regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")
 
+def _with_records() -> str:
+    from foliospark.plans.records import _REC
+
+    return f"""WITH documents AS (SELECT doc_id, CASE doc_id % 11 WHEN 3 THEN '2.1' || chr(10) || 'Result of ' || doc_id || chr(10) || chr(10) || text WHEN 4 THEN '3 Method of ' || doc_id || chr(10) || text ELSE text END AS text FROM main.documents), {_P}, {_TOC}, {_REC},
+      e AS (SELECT doc_id, doc, page, doc_id % 11 IN (3, 4) AS own, CASE WHEN page IN {tuple(S.CHAPTER_STARTS)} THEN page END AS start FROM p),
+      c AS (SELECT e.*, (SELECT max(page) FROM toc WHERE toc.doc = e.doc AND level = 1 AND toc.page <= e.page) AS cp, (SELECT max(title) FROM toc WHERE toc.doc = e.doc AND level > 1 AND toc.page = e.page) AS tt FROM e),
+      o AS (SELECT *, CASE WHEN own THEN CASE doc_id % 11 WHEN 3 THEN '2.1|Result of ' || doc_id ELSE '3|Method of ' || doc_id END WHEN tt IS NOT NULL THEN '|' || tt END AS s FROM c),
+      f AS (SELECT *, last_value(s IGNORE NULLS) OVER (PARTITION BY doc, cp ORDER BY page ROWS UNBOUNDED PRECEDING) AS l FROM o),
+      g AS (SELECT f.*, nullif(string_split(l, '|')[1], '') AS sn, string_split(l, '|')[2] AS st, CASE doc_id % 10 WHEN 9 THEN 'figure_or_sparse' WHEN 8 THEN 'double_column' ELSE 'single_column' END AS ly FROM f),
+      h AS (SELECT g.*, zn.printed, zn.text, rc.* EXCLUDE (doc_id, page), lower(coalesce(st, '')) AS title, ltrim(rc.t)[1:80] AS head, rc.exclusion_reason IS NULL AS keep, (SELECT max(title) FROM toc WHERE toc.doc = g.doc AND toc.page = cp) AS ct FROM g JOIN zn USING (doc_id) JOIN rc USING (doc_id))
+      SELECT 'thesis' AS document_id, 'thesis.pdf' AS source_file, '0A' AS source_sha256, doc, page, thesis_page, printed AS printed_page, zone, CASE cp {' '.join(f"WHEN {k} THEN '{v}'" for k, v in S.CHAPTER_STARTS.items())} END AS chapter_number, ct AS chapter_title, sn AS section_number, st AS section_title,
+        s IS NULL AND l IS NOT NULL AS section_inherited, language, language_confidence, CASE WHEN regexp_matches(head, '(?i)^(Figure|Fig\\.)\\s*[A-Z]?\\.?[0-9]') THEN 'figure_caption' WHEN regexp_matches(head, '(?i)^(Table|Tableau)\\s*[A-Z]?\\.?[0-9]') THEN 'table_caption' WHEN ly = 'figure_or_sparse' THEN 'figure_caption'
+          WHEN zone = 'summaries' OR starts_with(lower(head), 'abstract') THEN 'abstract' {_CT} WHEN zone IN ('appendix_a', 'appendix_b', 'appendix_c') THEN 'appendix' ELSE 'other' END AS content_type,
+        CASE WHEN keep THEN ly ELSE 'excluded' END AS extraction_mode, ly AS detected_layout, keep AS keep_for_rag, exclusion_reason, md5(text) AS raw_text, md5(t) AS clean_text, raw_char_count, clean_char_count, estimated_word_count, (doc_id % 3)::INTEGER AS n_images,
+        concat_ws(',', warning, CASE WHEN language_confidence = 0 THEN 'language not sure' END, CASE WHEN t = '' THEN 'blank' END, CASE WHEN ly = 'figure_or_sparse' THEN 'figures' END, CASE WHEN keep AND t = '' THEN 'kept without text' END) AS warnings FROM h"""
+
+
 QUERIES = {
     f.__name__: f
-    for f in (zone_range_join, pagination, printed_number, heading_detect, asof_section, section_carry_forward, toc_lead_end, reference_split, inclusion_policy, content_type, layout_classify, reading_order,
-              column_alternations, paragraph_groups, html_blocks, page_identity)
+    for f in (zone_range_join, pagination, printed_number, heading_detect, asof_section, section_carry_forward, toc_lead_end, reference_split, reference_moved, reference_kept, inclusion_policy, content_type, layout_classify, reading_order,
+              column_alternations, paragraph_groups, html_blocks, page_identity, document_records)
 }
 
 ORACLE_SQL = {
@@ -176,6 +238,11 @@ ORACLE_SQL = {
     "toc_lead_end": f"WITH {_P}, {_TOC} SELECT doc, page, title, greatest(page, coalesce(lead(page) OVER (PARTITION BY doc ORDER BY page, level, title) - 1, 206))::INTEGER AS page_end FROM toc",
     "reference_split": f"""WITH {_P}, {_TOC}, h AS (SELECT p.doc, p.page AS start, greatest(p.page, coalesce(min(toc.page) - 1, p.page))::INTEGER AS "end" FROM p LEFT JOIN toc ON toc.doc = p.doc AND toc.page > p.page WHERE doc_id % 23 = 5 GROUP BY p.doc, p.page)
       SELECT p.doc, p.page, start, "end" FROM p JOIN h ON h.doc = p.doc AND p.page BETWEEN start AND "end" """,
+    "reference_moved": f"""WITH {_ART} SELECT doc, page, thesis_page, ch AS chapter_title, article, title AS section, cut > 0 AS partial_page, md5(CASE WHEN cut > 0 AND instr(raw, title) > 0 THEN substr(raw, instr(raw, title)) ELSE raw END) AS raw_text, md5(tail) AS clean_text,
+      length(tail)::INTEGER AS clean_char_count, 'references_internes_article' AS exclusion_reason FROM mo""",
+    "reference_kept": f"""WITH {_ART}, j AS (SELECT ar.doc_id, ar.keep, array_to_string(ar.l, chr(10) || chr(10)) AS t, mo.doc_id IS NOT NULL AS moved, head FROM ar LEFT JOIN mo USING (doc_id)), k AS (SELECT *, moved AND head = '' AS gone, CASE WHEN moved THEN head ELSE t END AS c FROM j)
+      SELECT doc_id, keep AND NOT gone AS keep_for_rag, CASE WHEN gone THEN 'references_internes_article' WHEN NOT keep THEN 'left out' END AS exclusion_reason, CASE WHEN gone THEN 'excluded' ELSE 'single_column' END AS extraction_mode, length(c)::INTEGER AS clean_char_count, md5(c) AS clean_text,
+        CASE WHEN moved THEN 'references moved' ELSE '' END AS warnings FROM k""",
     "inclusion_policy": f"""WITH {_P}, {_Z}, q AS (SELECT *, length(trim(CASE WHEN doc_id % 17 = 0 THEN '' ELSE text END)) AS n, zone IN {S.KEPT_ZONES} AS ok FROM z),
       r AS (SELECT doc_id, zone, CASE WHEN NOT ok THEN CASE zone {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in S.REASONS.items())} ELSE 'hors_perimetre' END WHEN n = 0 THEN 'page_blanche'
         WHEN zone = 'appendix_c' AND n < 150 THEN 'annexe_c_sans_texte_exploitable' WHEN zone <> 'appendix_c' AND n < 120 THEN 'page_quasi_vide_ou_titre_seul' END AS reason FROM q) SELECT doc_id, zone, reason IS NULL AS keep, reason FROM r""",
@@ -194,4 +261,5 @@ ORACLE_SQL = {
       t AS (SELECT page_id, pos, regexp_extract(part, '^(h[1-6]|p)\\|', 1) AS kind, {_PLAIN.format(x="regexp_replace(part, '^(h[1-6]|p)\\|[^>]*>', '')")} AS text FROM u WHERE pos > 0)
       SELECT page_id, pos::INTEGER AS pos, kind, md5(text) AS digest, length(text)::BIGINT AS n FROM t WHERE text <> ''""",
     "page_identity": f"SELECT page_id, {_TITLE_OF} AS title, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, upper(sha256(html)) AS sha256 FROM pages",
+    "document_records": _with_records(),
 }

@@ -100,14 +100,18 @@ def hyphen_repair(spark, d):
     return C.repair_hyphens(halves, words, C.hyphen_frequencies(docs)).select(F.col("id").alias("word"), "repaired", "kept_hyphen")
 
 
+STEMS, RESTS = ("ertion", "by", "th", "xqz", "The"), ("ha", "nc", "nding", "foo", "of")
+
+
 def boundary_lookahead(spark, d):
-    """Words cut at page ends joined over up to three following pages."""
-    docs = _docs(spark, d)
-    first, last = F.regexp_extract("text", f"([{T.LETTERS}]+)", 1), F.regexp_extract("text", f"([{T.LETTERS}]+)[^{T.LETTERS}]*$", 1)
-    pages = docs.select(
-        F.col("doc_id").cast("int").alias("page"), F.when(F.col("doc_id") % 3 == 1, F.lower(first)).alias("head"), F.when((F.col("doc_id") % 4 == 0) & (F.length(last) >= 2), F.lower(last)).alias("tail")
-    )
-    return C.boundary_repairs(pages, C.word_frequencies(docs), C.hyphen_frequencies(docs))
+    """Words cut at page ends joined over up to three following pages: every fourth document ends in a fragment, some begin with continuations, every thirtieth is missing."""
+    docs, k = _docs(spark, d), F.col("doc_id")
+    pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i % 5 + 1).cast("int"))
+    lines = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n\n"))
+    text = F.when(k % 4 == 0, F.concat(lines, F.lit(" "), pick(STEMS, k), F.lit("- "))).when((k % 4 == 1) & (k % 3 > 0), F.concat(F.lit("Figure 2\n\nqqq\n\n"), pick(RESTS, k - 1), F.lit(" et\n\n"), lines)).otherwise(lines)
+    pages = docs.where(k % 30 != 17).select(F.floor(k / 206).cast("int").alias("doc"), (k % 206).cast("int").alias("page"), text.alias("text"))
+    out = C.boundary_repairs(pages, C.word_frequencies(docs), C.hyphen_frequencies(docs))
+    return out.withColumn("skipped_pages", F.array_join("skipped_pages", ",")).withColumn("left_context", F.md5(F.col("left_context").cast("binary"))).withColumn("right_context", F.md5(F.col("right_context").cast("binary")))
 
 
 TERMS = ("the", "tion", "de", "que", "licen")
@@ -205,13 +209,20 @@ ORACLE_SQL = {
       SELECT doc_id, first_pos, length(caption)::BIGINT AS n_chars, md5(caption) AS digest FROM t WHERE len(string_split_regex(trim(caption), '\\s+')) >= 12""",
     "hyphen_repair": f"""WITH {_WORDS}, {_HYPH} SELECT w.word, CASE WHEN coalesce(h.n, 0) > coalesce(j.n, 0) THEN w.word[1:4] || '-' || w.word[5:] ELSE w.word END AS repaired, coalesce(h.n, 0) > coalesce(j.n, 0) AS kept_hyphen
       FROM wf w LEFT JOIN wf j ON j.word = w.word LEFT JOIN hf h ON h.compound = w.word[1:4] || '-' || w.word[5:] WHERE length(w.word) >= 8 AND w.n >= 20""",
-    "boundary_lookahead": f"""WITH {_WORDS}, {_HYPH}, p AS (SELECT doc_id::INTEGER AS page, CASE WHEN doc_id % 3 = 1 THEN lower(regexp_extract(text, '([{T.LETTERS}]+)', 1)) END AS head,
-        CASE WHEN doc_id % 4 = 0 AND length(regexp_extract(text, '([{T.LETTERS}]+)[^{T.LETTERS}]*$', 1)) >= 2 THEN lower(regexp_extract(text, '([{T.LETTERS}]+)[^{T.LETTERS}]*$', 1)) END AS tail FROM documents),
-      l AS (SELECT a.page AS left_page, a.tail, min(b.page) AS right_page FROM p a LEFT JOIN p b ON b.head IS NOT NULL AND b.page BETWEEN a.page + 1 AND a.page + 3 WHERE a.tail IS NOT NULL GROUP BY ALL),
-      x AS (SELECT l.left_page, l.right_page, l.tail, p.head, coalesce(w.n, 0) AS j, coalesce(h.n, 0) AS h FROM l LEFT JOIN p ON p.page = l.right_page LEFT JOIN wf w ON w.word = lower(l.tail || p.head) LEFT JOIN hf h ON h.compound = lower(l.tail || '-' || p.head)),
-      y AS (SELECT left_page, right_page, CASE WHEN head IS NULL THEN NULL WHEN j >= h AND j > 0 THEN tail || head WHEN h > 0 THEN tail || '-' || head ELSE tail || head END AS repaired,
-        (CASE WHEN head IS NULL THEN 0 WHEN j >= h AND j >= 5 THEN 1 WHEN (j >= h AND j > 0) OR h > 0 THEN 0.9 ELSE 0.75 END)::DOUBLE AS confidence FROM x)
-      SELECT *, confidence < 0.9 AS review FROM y""",
+    "boundary_lookahead": f"""WITH {_WORDS}, {_HYPH}, d AS (SELECT doc_id AS k, (doc_id // 206)::INT AS doc, (doc_id % 206)::INT AS page, replace(coalesce(text, ''), chr(10), chr(10) || chr(10)) AS t FROM documents WHERE doc_id % 30 <> 17),
+      p AS (SELECT doc, page, CASE WHEN k % 4 = 0 THEN t || ' ' || {list(STEMS)}[k % 5 + 1] || '-' WHEN k % 4 = 1 AND k % 3 > 0 THEN 'Figure 2' || chr(10) || chr(10) || 'qqq' || chr(10) || chr(10) || {list(RESTS)}[(k - 1) % 5 + 1] || ' et' || chr(10) || chr(10) || t ELSE t END AS t FROM d),
+      l AS (SELECT doc, page AS l, regexp_extract(t, '([{T.LETTERS}]{{2,}})-$', 1) AS stem, right(t, 90) AS lc FROM p WHERE regexp_matches(t, '[{T.LETTERS}]{{2,}}-$')),
+      c AS (SELECT * FROM (SELECT doc, page, generate_subscripts(s, 1) AS i, trim(unnest(s)) AS x FROM (SELECT doc, page, string_split(t, chr(10) || chr(10)) AS s FROM p)) WHERE regexp_matches(x, '^[a-zà-öø-ÿ]')),
+      o AS (SELECT l.*, page AS r, count(*) OVER (PARTITION BY l.doc, l ORDER BY page) = page - l AS whole FROM l JOIN p ON p.doc = l.doc AND p.page BETWEEN l + 1 AND l + 3),
+      f AS (SELECT doc, l, max(r) AS last, min(r) FILTER (EXISTS (SELECT 1 FROM c WHERE c.doc = o.doc AND c.page = r)) AS r FROM o WHERE whole GROUP BY ALL),
+      m AS (SELECT l.*, f.last, f.r, i, regexp_extract(x, '^([a-zà-öø-ÿ]+)', 1) AS rest, x[1:90] AS rc FROM l LEFT JOIN f USING (doc, l) LEFT JOIN c ON c.doc = l.doc AND c.page = f.r),
+      n AS (SELECT m.*, coalesce(wf.n, 0) AS j, coalesce(hf.n, 0) AS h FROM m LEFT JOIN wf ON wf.word = lower(stem || rest) LEFT JOIN hf ON hf.compound = lower(stem || '-' || rest)),
+      b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc, l ORDER BY j + h = 0, i) AS nth FROM n) WHERE nth = 1),
+      e AS (SELECT b.*, lower(stem) IN (SELECT word FROM wf WHERE n >= 3) AND lower(rest) IN (SELECT word FROM wf WHERE n >= 3) AS members FROM b),
+      y AS (SELECT *, CASE WHEN rest IS NULL THEN 'no continuation' WHEN j >= h AND j > 0 THEN 'joined' WHEN h > 0 THEN 'compound' WHEN members THEN 'compound, not attested' ELSE 'joined, not attested' END AS reason, CASE WHEN rest IS NULL THEN coalesce(last, l) ELSE r - 1 END AS til FROM e),
+      z AS (SELECT *, (CASE WHEN rest IS NULL THEN 0 WHEN j >= h AND j >= 5 THEN 1 WHEN j + h > 0 THEN 0.9 ELSE 0.75 END)::DOUBLE AS confidence FROM y)
+      SELECT doc, l AS left_page, r AS right_page, stem || '-' AS left_fragment, rest AS right_fragment, CASE WHEN rest IS NOT NULL THEN stem || CASE WHEN starts_with(reason, 'compound') THEN '-' ELSE '' END || rest END AS repaired, confidence, reason,
+        confidence < 0.9 AS review, array_to_string(range(l + 1, til + 1), ',') AS skipped_pages, CASE WHEN rest IS NOT NULL THEN j END AS n_joined, CASE WHEN rest IS NOT NULL THEN h END AS n_hyphenated, md5(lc) AS left_context, md5(rc) AS right_context FROM z""",
     "term_counts": "SELECT doc_id, " + ", ".join(f"((length(lower(text)) - length(replace(lower(text), '{t}', ''))) // {len(t)})::BIGINT AS n_{t}" for t in TERMS) + " FROM documents",
     "exact_duplicates": "SELECT doc_id, first_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents WHERE length(text) >= 200) WHERE doc_id > first_id",
     "stats_grouping_sets": "SELECT lang, source, grouping(lang)::INTEGER AS g_lang, grouping(source)::INTEGER AS g_source, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY GROUPING SETS ((lang), (source), (lang, source), ())",

@@ -469,3 +469,53 @@ def test_chunking_run(spark):
     assert len(out) == 3 and sum(r["winner"] for r in out) == 1
     assert all(r["recall_at_5"] > 0 and 0 <= r["global_score"] <= 1 and r["intra_similarity"] > r["inter_similarity"] - 1 for r in out)
     assert next(r for r in out if r["winner"])["global_score"] == max(r["global_score"] for r in out)
+
+
+def test_boundary_repairs_by_hand(spark):
+    words = spark.createDataFrame([("considered", 40), ("replace", 2), ("cold", 9), ("wave", 7), ("firstform", 1)], "word string, n long")
+    compounds = spark.createDataFrame([("well-known", 12)], "compound string, n long")
+    pages = [
+        (1, 1, "a con- "), (1, 2, "Figure 2\n\nother text\n\nsidered it"),  # the attested paragraph, not the first
+        (2, 1, "so well-"), (2, 2, "FIGURE"), (2, 3, "known"),  # a page skipped
+        (3, 1, "the cold-"), (3, 2, "wave came"),  # both members are words
+        (4, 1, "some re-"), (4, 2, "placement is"),  # neither
+        (5, 1, "gap re-"), (5, 3, "place"),  # a page is missing
+        (6, 1, "end re-"), (6, 2, None), (6, 3, ""), (6, 4, "Upper"), (6, 5, "place"),  # too far
+        (7, 1, None), (7, 2, "a-"),
+    ]
+    out = cleaning.boundary_repairs(spark.createDataFrame(pages, "doc int, page int, text string"), words, compounds).collect()
+    got = {r["doc"]: (r["right_page"], r["repaired"], r["confidence"], r["reason"], list(r["skipped_pages"])) for r in out}
+    assert got == {
+        1: (2, "considered", 1.0, "joined", []), 2: (3, "well-known", 0.9, "compound", [2]), 3: (2, "cold-wave", 0.75, "compound, not attested", []), 4: (2, "replacement", 0.75, "joined, not attested", []),
+        5: (None, None, 0.0, "no continuation", []), 6: (None, None, 0.0, "no continuation", [2, 3, 4]),
+    }
+
+
+def test_page_headings(spark):
+    got = [one(spark, structure.page_heading(F.split(F.col("t"), "\n\n")), t=t) for t in ("1.1.2\nDefinition of events\nmore", "text\n\n3.1 Attribution", "Conclusions . . . . 107", "2\nOne . . . . 3", "", "7")]
+    assert [tuple(x) if x else None for x in got] == [("1.1.2", "Definition of events"), ("3.1", "Attribution"), None, None, None, None]
+
+
+def test_sections_and_references_by_hand(spark):
+    from foliospark.operators import records
+
+    toc = structure.contents(spark.createDataFrame([(1, 0, 1, "bad"), (1, 16, 1, "One"), (1, 17, 2, "A"), (1, 20, 2, "B"), (1, 34, 1, "Two")], "doc int, page int, level int, title string"))
+    assert {(r["page"], r["chapter_number"]) for r in toc.collect()} == {(16, "1"), (17, None), (20, None), (34, "2")}
+    pages = spark.createDataFrame([(1, p, ("1.1", "Own") if p == 18 else None) for p in (15, 16, 17, 18, 19, 20, 34, 35)], "doc int, page int, own_heading struct<number: string, title: string>")
+    got = {r["page"]: (r["chapter_number"], r["section_number"], r["section_title"], r["section_inherited"]) for r in structure.with_sections(pages, toc).collect()}
+    assert got == {
+        15: (None, None, None, False), 16: ("1", None, None, False), 17: ("1", None, "A", False), 18: ("1", "1.1", "Own", False), 19: ("1", "1.1", "Own", True), 20: ("1", None, "B", False),
+        34: ("2", None, None, False), 35: ("2", None, None, False),
+    }
+
+    texts = {16: "body\n\nReferences are cited here.", 17: "body one\n\nReferences.\n\nSmith 2000", 18: "Jones 2001\n\nBibliography\n\nLee", 19: "", 20: "next article", 34: "Reference list:\n\nKim", 35: "after"}
+    rows = [("d", "f", "s", 1, p, p - 15, None, "C", p != 20, None, "single_column", "raw " + t, t, len(t), 9, []) for p, t in texts.items()]
+    schema = "document_id string, source_file string, source_sha256 string, doc int, page int, thesis_page int, chapter_number string, chapter_title string, keep_for_rag boolean, exclusion_reason string, extraction_mode string, raw_text string, clean_text string, clean_char_count int, estimated_word_count int, warnings array<string>"
+    kept, lists = records.move_references(spark.createDataFrame(rows, schema), toc)
+    assert {r["page"]: (r["article"], r["section"], r["partial_page"], r["raw_text"], r["clean_text"]) for r in lists.collect()} == {
+        17: ("A", "References.", True, "References.\n\nSmith 2000", "References.\n\nSmith 2000"), 18: ("A", "References.", False, "raw " + texts[18], texts[18]), 34: ("B", "Reference list:", False, "raw " + texts[34], texts[34]),
+    }
+    left = {r["page"]: (r["clean_text"], r["keep_for_rag"], r["exclusion_reason"], r["estimated_word_count"], list(r["warnings"])) for r in kept.collect()}
+    assert left[17] == ("body one", True, None, 2, ["references moved"]) and left[18][:3] == ("", False, "references_internes_article")
+    assert left[16][0] == texts[16] and left[20] == ("next article", False, None, 9, []) and left[35][0] == "after" and left[19][1]
+    assert len(kept.columns) == len(rows[0])

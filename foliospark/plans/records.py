@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foliospark.operators import records as P
 from foliospark.operators import routing
-from foliospark.plans import graphs, texts
+from foliospark.plans import builds, chunks, graphs, structures, texts
 from foliospark.service import Service
 from foliospark.sources import table
 
@@ -22,6 +22,17 @@ def page_records(spark, d):
     return P.page_records(_pages(spark, d)).select("doc_id", "page", "thesis_page", "zone", "language", "language_confidence", "keep_for_rag", "exclusion_reason", "raw_char_count", "clean_char_count", "estimated_word_count", F.md5(F.col("clean_text").cast("binary")).alias("digest"))
 
 
+def document_records(spark, d):
+    """The whole record of every page; some pages begin with a heading, in one line or two."""
+    k = F.col("doc_id")
+    text = F.when(k % 11 == 3, F.concat(F.lit("2.1\nResult of "), k, F.lit("\n\n"), "text")).when(k % 11 == 4, F.concat(F.lit("3 Method of "), k, F.lit("\n"), "text")).otherwise(F.col("text"))
+    layout = F.when(k % 10 == 9, "figure_or_sparse").when(k % 10 == 8, "double_column").otherwise("single_column")
+    pages = structures._pages(spark, d).select("doc_id", "doc", "page", text.alias("text"), layout.alias("layout"), (k % 3).cast("int").alias("n_images"), F.lit("thesis").alias("document_id"), F.lit("thesis.pdf").alias("source_file"), F.lit("0A").alias("source_sha256"))
+    out = P.document_records(pages, structures._toc(spark, d))
+    digest = lambda c: F.md5(F.col(c).cast("binary"))
+    return out.withColumns({"raw_text": digest("raw_text"), "clean_text": digest("clean_text"), "warnings": F.array_join("warnings", ",")})
+
+
 def warnings_histogram(spark, d):
     """Warnings of all page records."""
     return P.warnings_histogram(P.page_records(_pages(spark, d)))
@@ -87,17 +98,50 @@ def entity_names(spark, d):
     return P.entity_names(q, e).select(F.col("question_id").alias("item_id"), F.array_join("names", "|").alias("names"))
 
 
-def service_answers(spark, d):
-    """Answers to the user turns of conversations by the service with a made-up table of values."""
-    chunks = table(spark, d, "documents").select("doc_id", "text")
+def _service(spark, d, reports=None):
+    docs = table(spark, d, "documents").select("doc_id", "text")
     e = spark.createDataFrame([(t, t) for t in graphs.TERMS], "entity string, alias string")
     relations = graphs._trade(spark, d).select((F.col("u") * 100 + F.col("v")).alias("relation_id"), "u", "v")
     q_table = routing.states(spark).crossJoin(spark.createDataFrame([(a, 1.0 if a == "use_vector" else 0.5) for a in routing.ACTIONS], "action string, q double"))
+    return Service(docs, e, relations, q_table, reports)
+
+
+def _reports(spark, d):
+    return {"chunking": chunks.chunk_score(spark, d), "embeddings": builds.embedding_score(spark, d).withColumn("dimension", F.length("method"))}
+
+
+def service_answers(spark, d):
+    """Answers to the user turns of conversations by the service with a made-up table of values."""
     asked = table(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.col("text").alias("question"))
-    out = Service(chunks, e, relations, q_table).answer(asked)
+    out = _service(spark, d).answer(asked)
     return out.withColumn("answer", F.md5(F.col("answer").cast("binary")))
 
 
+def service_vectorial(spark, d):
+    """The winners that the service names, by scores made from order lines."""
+    return _service(spark, d, _reports(spark, d)).vectorial()
+
+
+def service_evaluation(spark, d):
+    """Rows of each report of the service."""
+    return _service(spark, d, _reports(spark, d)).evaluation().groupBy("report").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.get_json_object("row", "$.winner") == "true").alias("winners"))
+
+
+def service_graph(spark, d):
+    """Nodes and relations that the service gives of the trade between nations."""
+    return _service(spark, d).graph()
+
+
+def service_graph_status(spark, d):
+    """Distinct counts of the service's graph."""
+    return _service(spark, d).graph_status()
+
+
+def service_plot(spark, d):
+    """Two components of all documents, those nearest to a question marked."""
+    return _service(spark, d).plot("the meaning of the text", 5)
+
+
 _CLEAN = f"""kp AS (SELECT doc_id, pos, line FROM ln WHERE {texts._KEY} NOT IN (SELECT line_key FROM rl) AND NOT regexp_full_match(trim(line), '[0-9]{{1,4}}') AND NOT regexp_full_match(lower(trim(line)), '[ivxlcdm]{{1,8}}')
   AND NOT regexp_full_match(lower(trim(line)), '(page|p\\.)\\s*[0-9]{{1,4}}')),
 jn AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS j FROM kp GROUP BY 1),
@@ -115,7 +159,7 @@ rc AS (SELECT doc_id, page, (CASE WHEN printed IS NULL THEN rule WHEN rule IS NU
   length(text)::INTEGER AS raw_char_count, length(t)::INTEGER AS clean_char_count, len(list_filter(string_split_regex(t, '\\s+'), lambda w: w <> ''))::INTEGER AS estimated_word_count, t,
   CASE WHEN printed IS NULL THEN NULL WHEN rule IS NULL THEN 'number in front matter' WHEN printed = rule THEN NULL WHEN abs(printed - rule) <= 2 THEN 'printed number differs' ELSE 'foreign numbering' END AS warning FROM zn)"""
 
-QUERIES = {f.__name__: f for f in (page_records, appendix_report, warnings_histogram, forbidden_leaks, page_metadata, label_report, evidence_similarity, evidence_best_chunk, verified_relations, entity_names, service_answers)}
+QUERIES = {f.__name__: f for f in (page_records, document_records, appendix_report, warnings_histogram, forbidden_leaks, page_metadata, label_report, evidence_similarity, evidence_best_chunk, verified_relations, entity_names, service_answers, service_vectorial, service_evaluation, service_graph, service_graph_status, service_plot)}
 
 ORACLE_SQL = {
     "page_records": f"WITH {_REC} SELECT doc_id, page, thesis_page, zone, language, language_confidence, exclusion_reason IS NULL AS keep_for_rag, exclusion_reason, raw_char_count, clean_char_count, estimated_word_count, md5(t) AS digest FROM rc",
@@ -134,8 +178,28 @@ ORACLE_SQL = {
     "verified_relations": f"""SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'N:' || n_name ELSE lower(n_name) END AS source, r_name AS target, CASE n_nationkey % 5 WHEN 0 THEN 'CAUSES' WHEN 2 THEN 'USES' WHEN 4 THEN 'INFLUENCES' ELSE 'ASSOCIATED_WITH' END AS type,
       0.95::DOUBLE AS confidence, {list(REL)}[n_nationkey % 5 + 1] AS original_predicate FROM nation JOIN region ON n_regionkey = r_regionkey""",
     "entity_names": f"""SELECT item_id, array_to_string((list(e ORDER BY e))[1:12], '|') AS names FROM (SELECT item_id, text, {graphs._NORM.format(x='text')} AS nt FROM benchmark), {graphs.GAZETTEER} WHERE {graphs.FOUND} GROUP BY 1""",
+    "service_graph": f"WITH {graphs._T} SELECT 'node' AS kind, node::VARCHAR AS id, NULL::VARCHAR AS u, NULL::VARCHAR AS v, degree::BIGINT AS degree FROM dg UNION ALL SELECT 'relation', (u * 100 + v)::VARCHAR, u::VARCHAR, v::VARCHAR, NULL FROM t",
+    "service_graph_status": f"WITH {graphs._T} SELECT (SELECT count(*) FROM dg) AS nodes, (SELECT count(*) FROM t) AS relations, {len(graphs.TERMS)}::BIGINT AS entities, {len(graphs.TERMS)}::BIGINT AS aliases, (SELECT count(*) FROM dg) > 0 AS connected",
     "appendix_report": f"""WITH {_REC}, o AS (SELECT * FROM rc WHERE page BETWEEN 174 AND 206) SELECT count(*) AS inspected, count(*) FILTER (exclusion_reason IS NULL) AS kept, count(*) FILTER (exclusion_reason IS NOT NULL) AS excluded,
       coalesce(sum(len(list_filter(string_split(t, chr(10) || chr(10)), lambda p: trim(p) <> ''))) FILTER (exclusion_reason IS NULL), 0)::BIGINT AS segments_kept, coalesce(sum(clean_char_count) FILTER (exclusion_reason IS NULL), 0)::BIGINT AS characters_kept,
       coalesce(array_to_string(list_sort(list(DISTINCT page) FILTER (exclusion_reason IS NULL)), ','), '') AS kept_pages,
       coalesce(array_to_string(list_sort(list(DISTINCT format('{{:03d}}:{{}}', page, exclusion_reason)) FILTER (exclusion_reason IS NOT NULL)), ','), '') AS excluded_pages FROM o""",
 }
+
+_RUNS = (chunks.ORACLE_SQL["chunk_score"], builds.ORACLE_SQL["embedding_score"])
+ORACLE_SQL |= {
+    "service_vectorial": f"SELECT (SELECT count(*) FROM documents) AS chunks, c.method AS chunking_winner, e.method AS embeddings_winner, length(e.method)::INTEGER AS dimension, NULL::VARCHAR AS retrieval_winner FROM ({_RUNS[0]}) c, ({_RUNS[1]}) e WHERE c.winner AND e.winner",
+    "service_evaluation": f"SELECT 'chunking' AS report, count(*) AS n, count(*) FILTER (winner) AS winners FROM ({_RUNS[0]}) UNION ALL SELECT 'embeddings', count(*), count(*) FILTER (winner) FROM ({_RUNS[1]})",
+    "document_records": f"""WITH documents AS (SELECT doc_id, CASE doc_id % 11 WHEN 3 THEN '2.1' || chr(10) || 'Result of ' || doc_id || chr(10) || chr(10) || text WHEN 4 THEN '3 Method of ' || doc_id || chr(10) || text ELSE text END AS text FROM main.documents), {structures._P}, {structures._TOC}, {_REC},
+      e AS (SELECT doc_id, doc, page, doc_id % 11 IN (3, 4) AS own, CASE WHEN page IN {tuple(P.structure.CHAPTER_STARTS)} THEN page END AS start FROM p),
+      c AS (SELECT e.*, (SELECT max(page) FROM toc WHERE toc.doc = e.doc AND level = 1 AND toc.page <= e.page) AS cp, (SELECT max(title) FROM toc WHERE toc.doc = e.doc AND level > 1 AND toc.page = e.page) AS tt FROM e),
+      o AS (SELECT *, CASE WHEN own THEN CASE doc_id % 11 WHEN 3 THEN '2.1|Result of ' || doc_id ELSE '3|Method of ' || doc_id END WHEN tt IS NOT NULL THEN '|' || tt END AS s FROM c),
+      f AS (SELECT *, last_value(s IGNORE NULLS) OVER (PARTITION BY doc, cp ORDER BY page ROWS UNBOUNDED PRECEDING) AS l FROM o),
+      g AS (SELECT f.*, nullif(string_split(l, '|')[1], '') AS sn, string_split(l, '|')[2] AS st, CASE doc_id % 10 WHEN 9 THEN 'figure_or_sparse' WHEN 8 THEN 'double_column' ELSE 'single_column' END AS ly FROM f),
+      h AS (SELECT g.*, zn.printed, zn.text, rc.* EXCLUDE (doc_id, page), lower(coalesce(st, '')) AS title, ltrim(rc.t)[1:80] AS head, rc.exclusion_reason IS NULL AS keep, (SELECT max(title) FROM toc WHERE toc.doc = g.doc AND toc.page = cp) AS ct FROM g JOIN zn USING (doc_id) JOIN rc USING (doc_id))
+      SELECT 'thesis' AS document_id, 'thesis.pdf' AS source_file, '0A' AS source_sha256, doc, page, thesis_page, printed AS printed_page, zone, CASE cp {' '.join(f"WHEN {k} THEN '{v}'" for k, v in P.structure.CHAPTER_STARTS.items())} END AS chapter_number, ct AS chapter_title, sn AS section_number, st AS section_title,
+        s IS NULL AND l IS NOT NULL AS section_inherited, language, language_confidence, CASE WHEN regexp_matches(head, '(?i)^(Figure|Fig\\.)\\s*[A-Z]?\\.?[0-9]') THEN 'figure_caption' WHEN regexp_matches(head, '(?i)^(Table|Tableau)\\s*[A-Z]?\\.?[0-9]') THEN 'table_caption' WHEN ly = 'figure_or_sparse' THEN 'figure_caption'
+          WHEN zone = 'summaries' OR starts_with(lower(head), 'abstract') THEN 'abstract' {structures._CT} WHEN zone IN ('appendix_a', 'appendix_b', 'appendix_c') THEN 'appendix' ELSE 'other' END AS content_type,
+        CASE WHEN keep THEN ly ELSE 'excluded' END AS extraction_mode, ly AS detected_layout, keep AS keep_for_rag, exclusion_reason, md5(text) AS raw_text, md5(t) AS clean_text, raw_char_count, clean_char_count, estimated_word_count, (doc_id % 3)::INTEGER AS n_images,
+        concat_ws(',', warning, CASE WHEN language_confidence = 0 THEN 'language not sure' END, CASE WHEN t = '' THEN 'blank' END, CASE WHEN ly = 'figure_or_sparse' THEN 'figures' END, CASE WHEN keep AND t = '' THEN 'kept without text' END) AS warnings FROM h""",
+}

@@ -519,3 +519,25 @@ def test_sections_and_references_by_hand(spark):
     assert left[17] == ("body one", True, None, 2, ["references moved"]) and left[18][:3] == ("", False, "references_internes_article")
     assert left[16][0] == texts[16] and left[20] == ("next article", False, None, 9, []) and left[35][0] == "after" and left[19][1]
     assert len(kept.columns) == len(rows[0])
+
+
+def test_service_reports(spark, tmp_path):
+    from foliospark.service import Service
+
+    chunks = spark.createDataFrame([(1, "cold air over the sea brings snow to the coast"), (2, "a graph of entities and their relations"), (3, "warm summers and dry soil in the south")], "doc_id long, text string")
+    entities = spark.createDataFrame([("snow", "snow"), ("snow", "sleet")], "entity string, alias string")
+    relations = spark.createDataFrame([(1, "snow", "sea"), (2, "sea", "coast")], "relation_id int, u string, v string")
+    service = Service(chunks, entities, relations, routing.states(spark).withColumn("action", F.lit("use_vector")).withColumn("q", F.lit(1.0)))
+    questions = spark.createDataFrame([(7, "snow on the coast"), (8, "relations of entities")], "query_id long, text string")
+    with pytest.raises(ValueError):
+        service.chunking()
+    with pytest.raises(ValueError):
+        Service(chunks, entities, relations, service.q_table, {"other": chunks})
+    assert service.evaluation().count() == 0 and service.vectorial().first().asDict() == {"chunks": 3, "chunking_winner": None, "embeddings_winner": None, "dimension": None, "retrieval_winner": None}
+    service.reports["retrieval"] = service.compare(questions, spark.createDataFrame([(7, 1), (8, 2)], "query_id long, doc_id long"))
+    assert service.vectorial().first()["retrieval_winner"] == "bm25" and {r["mrr"] for r in service.reports["retrieval"].collect()} == {1.0}
+    assert tuple(service.graph_status().first()) == (3, 2, 1, 2, True)
+    assert [r["doc_id"] for r in service.plot("graph relations", 1).where("nearest").collect()] == [2]
+    service.save(str(tmp_path / "s"))
+    again = Service.load(spark, str(tmp_path / "s"))
+    assert list(again.reports) == ["retrieval"] and again.graph().count() == 5 and again.evaluation().count() == 2

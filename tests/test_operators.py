@@ -7,6 +7,7 @@ import math
 import pathlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -541,3 +542,22 @@ def test_service_reports(spark, tmp_path):
     service.save(str(tmp_path / "s"))
     again = Service.load(spark, str(tmp_path / "s"))
     assert list(again.reports) == ["retrieval"] and again.graph().count() == 5 and again.evaluation().count() == 2
+
+
+def test_cohesion_sends_sums_only(spark, monkeypatch):
+    def exploded(*_):
+        raise AssertionError("vectors are exploded into rows")
+
+    texts = ["One sentence about the weather here. Another sentence about the harbour. A third sentence, quite unlike.", "Only one sentence stands in this chunk", "", "The same words come twice again. The same words come twice again."]
+    chunks = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id long, nth int, text string")
+    v = chunking._sentence_vectors(texts).astype(float)
+    pairs = [float(v[i] @ v[j]) for i in range(4) for j in range(4) if i != j]
+    said = [[p for p in t.replace(". ", ".|").split("|") if len(p) >= 20] for t in texts]
+    means = []
+    for parts in (p for p in said if len(p) > 1):
+        w = chunking._sentence_vectors(parts).astype(float)
+        means.append(np.mean([w[i] @ w[j] for i in range(len(w)) for j in range(len(w)) if i != j]))
+    with monkeypatch.context() as m:
+        m.setattr(vectors, "pair_mean", exploded)
+        got = chunking.cohesion(chunks)
+    assert np.allclose(got, (np.mean(means), np.mean(pairs)), atol=2e-6)

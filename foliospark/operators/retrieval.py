@@ -142,6 +142,11 @@ def ir_metrics(ranking: DataFrame, k: int = 5) -> DataFrame:
         F.sum(F.when(top & (rel == 1), 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg"),
         F.max("total_relevant").alias("total"),
     )
+    return metrics_of(per, k)
+
+
+def metrics_of(per: DataFrame, k: int = 5) -> DataFrame:
+    """The metrics of ir_metrics() from its sums per query (query_id, top_hits, all_hits, precisions, first, dcg, total)."""
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(k), F.greatest(F.lit(1), F.col("total"))).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1.0))
     return per.select(
         "query_id",

@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 QUERY_BLOCK = 2048
@@ -154,6 +155,94 @@ def ranks(spark, scorers: list[Scorer], candidates: DataFrame) -> DataFrame:
     return out.select("query_id", "doc_id", "score", (F.col("better") + 1).cast("int").alias("rank"))
 
 
+class _Labelled:
+    """A block of questions of one label: its relevant rows in order of rank, and how many rows of the table come before each."""
+
+    def __init__(self, k: int) -> None:
+        self.k, self.ids, self.q, self.seen, self.x = k, [], [], [], []
+        self.order: list | None = None
+
+    def add(self, phase: int, ids: np.ndarray, v: np.ndarray) -> None:
+        if phase == 0:
+            self.ids.append(ids)
+            self.q.append(v)
+            return
+        x = np.round(np.concatenate(self.q) @ v.T, 6)
+        if phase == 1:
+            self.seen.append(ids)
+            self.x.append(x)
+            return
+        self._sort()
+        after = np.searchsorted(self.known, ids, "right")  # among rows of one score the smaller id is better
+        for (scores, keys, before), row in zip(self.order, -x, strict=True):
+            at = np.searchsorted(scores, row)
+            tie = scores[np.minimum(at, len(scores) - 1)] == row
+            np.add.at(before, np.searchsorted(keys, at * (len(self.known) + 1) + np.where(tie, after, 0)), 1)
+
+    def _sort(self) -> None:
+        if self.order is not None:
+            return
+        ids, x = np.concatenate(self.seen), -np.concatenate(self.x, axis=1)
+        place = np.argsort(ids, kind="stable")
+        self.known, self.order = ids[place], []
+        for row in x[:, place]:
+            by = np.argsort(row, kind="stable")
+            scores, at = np.unique(row[by], return_inverse=True)
+            self.order.append((scores, at * (len(ids) + 1) + by, np.zeros(len(ids) + 1, np.int64)))
+        self.seen, self.x = [], []
+
+    def sums(self) -> pa.RecordBatch:
+        rows = []
+        for i, (_, keys, before) in zip(np.concatenate(self.ids).tolist(), self.order or [], strict=bool(self.order)):
+            rank = np.cumsum(before)[: len(keys)] + 1
+            top = rank[rank <= self.k]
+            rows.append((i, len(top), len(rank), float((np.arange(1, len(rank) + 1) / rank).sum()), int(rank[0]), float((1 / np.log2(top + 1)).sum())))
+        return pa.RecordBatch.from_pylist([dict(zip(_SUMS, r, strict=True)) for r in rows], schema=pa.schema(zip(_SUMS, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64()), strict=True)))
+
+
+_SUMS = ("query_id", "top_hits", "all_hits", "precisions", "first", "dcg")
+
+
+def labelled_sums(vectors: DataFrame, queries: DataFrame, k: int, block: int = 128) -> DataFrame:
+    """(query_id, top_hits, all_hits, precisions, first, dcg) of the whole ranking of vectors (doc_id, embedding, label) for each of queries (query_id, embedding, label), rows of its label being relevant.
+
+    That is every question against every row, by nature the square of the table. Questions go in blocks of one label to
+    the tasks, each of which reads the rows of the label, then all rows as they come: it holds questions x relevant
+    rows of one block, the driver nothing. A question without a row of its label is left out.
+    """
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("query_id"))
+    asked = queries.where("label is not null and embedding is not null").select(F.col("query_id").cast("long").alias("id"), "embedding", "label", F.floor((nth - 1) / block).alias("part"))
+    asked = asked.withColumn("block", F.struct("label", "part"))
+    rows = vectors.where("embedding is not null").select(F.col("doc_id").cast("long").alias("id"), "embedding", "label")
+    blocks = asked.select("block").distinct()  # a row of every `block` questions
+    own = rows.join(F.broadcast(blocks), F.col("label") == F.col("block.label"))
+    every = functools.reduce(DataFrame.unionByName, [f.select("block", F.lit(p).alias("phase"), "id", "embedding") for p, f in enumerate((asked, own, rows.crossJoin(F.broadcast(blocks))))])
+    tasks = 3 * vectors.sparkSession.sparkContext.defaultParallelism
+    dealt = every.select(F.to_json("block").alias("block"), "phase", "id", F.col("embedding").cast("array<float>").alias("embedding")).repartition(tasks, "block").sortWithinPartitions("block", "phase")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held = None, None
+        for batch in batches:
+            names, phases = batch.column(0).dictionary_encode(), batch.column(1).to_numpy(zero_copy_only=False)
+            code = names.indices.to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((np.diff(code) != 0) | (np.diff(phases) != 0)) + 1).tolist(), batch.num_rows]
+            for a, b in itertools.pairwise(cuts):
+                if a == b:
+                    continue
+                if (its := names.dictionary[int(code[a])].as_py()) != name:
+                    if held is not None:
+                        yield held.sums()
+                    name, held = its, _Labelled(k)
+                for at in range(a, b, 4096):
+                    part = batch.slice(at, min(4096, b - at))
+                    v = part.column(3).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1).astype(float)
+                    held.add(int(phases[a]), part.column(2).to_numpy(zero_copy_only=False), v)
+        if held is not None:
+            yield held.sums()
+
+    return dealt.mapInArrow(run, "query_id long, top_hits long, all_hits long, precisions double, first long, dcg double").where("all_hits > 0")
+
+
 def _blocks(queries: DataFrame, block: int) -> Iterator[list]:
     """The queries' rows, about `block` at a time."""
     n = max(1, -(-queries.count() // block))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
-from foliospark.operators import chunking, cleaning, graph, layout, retrieval, routing, structure, vectors
+from foliospark.operators import chunking, cleaning, graph, layout, retrieval, routing, scoring, structure, vectors
 from foliospark.operators.components import connected_components
 from foliospark.sources import exports, jsonl
 from foliospark.streaming import feedback
@@ -561,3 +561,29 @@ def test_cohesion_sends_sums_only(spark, monkeypatch):
         m.setattr(vectors, "pair_mean", exploded)
         got = chunking.cohesion(chunks)
     assert np.allclose(got, (np.mean(means), np.mean(pairs)), atol=2e-6)
+
+
+def test_labelled_sums_hold_no_pairs_on_the_driver(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, [float(rng.randint(-2, 2)) for _ in range(3)], rng.choice((0, 1, None))) for i in range(300)] + [(300, None, 1)]  # many ties
+    v = spark.createDataFrame(rows, "doc_id long, embedding array<float>, label int")
+    q = v.where("doc_id % 10 = 0").withColumnRenamed("doc_id", "query_id")
+
+    def collected(*_):
+        raise AssertionError("pairs reach the driver")
+
+    with monkeypatch.context() as m:
+        for name in ("toPandas", "collect"):
+            m.setattr(type(v), name, collected)
+        out = scoring.labelled_sums(v, q, 5, block=4)
+    got = {r["query_id"]: tuple(r)[1:] for r in out.collect()}
+    want = {}
+    for i, e, label in rows:
+        if i % 10 or e is None or label is None:
+            continue
+        order = sorted((r for r in rows if r[1] is not None), key=lambda r: (-sum(a * b for a, b in zip(e, r[1], strict=True)), r[0]))
+        ranks = [n for n, r in enumerate(order, 1) if r[2] == label]
+        top = [n for n in ranks if n <= 5]
+        want[i] = (len(top), len(ranks), sum(h / n for h, n in enumerate(ranks, 1)), ranks[0], sum(1 / math.log2(n + 1) for n in top))
+    assert got.keys() == want.keys()
+    assert all(np.allclose(got[i], want[i]) for i in want)

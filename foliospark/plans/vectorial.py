@@ -19,19 +19,19 @@ def _named(ranking):
 def tfidf_word_topk(spark, d):
     """Top five documents of every passage by TF-IDF of words and word pairs."""
     docs, q = _sides(spark, d)
-    return _named(V.sparse_topk(docs, q, V.word_grams(F.col("text")), 5, most=25_000))
+    return _named(V.text_topk(docs, q, "word", 5, most=25_000))
 
 
 def char_ngram_topk(spark, d):
     """Top five documents of every passage by TF-IDF of character grams within words."""
     docs, q = _sides(spark, d)
-    return _named(V.sparse_topk(docs, q, V.char_grams(F.col("text")), 5, most=30_000))
+    return _named(V.text_topk(docs, q, "char", 5, most=30_000))
 
 
 def hashing_topk(spark, d):
     """Top five documents of every passage by hashed counts of words and word pairs, without idf."""
     docs, q = _sides(spark, d)
-    return _named(V.sparse_topk(docs, q, V.word_grams(F.col("text")), 5, idf=False, hashed=V.BUCKETS))
+    return _named(V.text_topk(docs, q, "word", 5))
 
 
 def inter_similarity_exact(spark, d):

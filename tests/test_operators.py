@@ -587,3 +587,24 @@ def test_labelled_sums_hold_no_pairs_on_the_driver(spark, monkeypatch):
         want[i] = (len(top), len(ranks), sum(h / n for h, n in enumerate(ranks, 1)), ranks[0], sum(1 / math.log2(n + 1) for n in top))
     assert got.keys() == want.keys()
     assert all(np.allclose(got[i], want[i]) for i in want)
+
+
+def test_text_vocabulary_counts_what_lists_of_terms_count(spark):
+    rng = random.Random(9)
+    said = ["Été", "über", "a", "snow", "wind", "cold_1", "ice", "frost", "thaw", "hail"]
+    rows = [(i, None if i == 7 else "" if i == 8 else " ".join(rng.choices(said, weights=range(1, 11), k=rng.randint(1, 30)))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    texts = docs.select(F.lower("text").alias("text"))
+    for kind, grams in (("word", vectors.word_grams), ("char", vectors.char_grams)):
+        for most in (3, 12, 25, 10_000):
+            want = vectors.vocabulary(docs.select("doc_id", grams(F.col("text")).alias("terms")), 2, most)
+            got = vectors.text_vocabulary(texts, kind, 2, most)
+            assert got[0] == want[0] and np.allclose(got[1], want[1])
+    words = ["cold_1", "frost", "hail", "ice", "thaw", "wind"]
+    for least in (2, 40):
+        pairs, more = scoring.frequent_pairs(texts, words, least, unit=300)  # several units
+        found = {f"{words[r['a']]} {words[r['b']]}": r for r in pairs.collect()}
+        exact = {r["term"]: r for r in scoring.frequencies(docs.select(vectors.word_grams(F.col("text")).alias("terms"))).collect() if all(w in words for w in r["term"].split())}
+        for term in (t for t in exact if " " in t and exact[t]["total"] >= least):
+            r = found[term]
+            assert r["total"] <= exact[term]["total"] <= r["total"] + r["others"] * (more - 1) and r["df"] <= exact[term]["df"]

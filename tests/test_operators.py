@@ -624,3 +624,30 @@ def test_pages_are_cleaned_once_and_breaks_alone_repaired(spark, monkeypatch):
     with monkeypatch.context() as m:
         m.setattr(cleaning, "word_frequencies", counted)
         assert records.clean_pages(docs.where("doc_id % 2 = 0")).count() == 4
+
+
+def test_bm25_of_many_questions_is_that_of_few(spark, monkeypatch):
+    rng = random.Random(3)
+    said = [f"w{i:02d}" for i in range(60)]
+    texts = [None, "", "w00"] + [" ".join(rng.choices(said, weights=[60 / (i + 1) for i in range(60)], k=rng.randint(1, 40))) for _ in range(700)]
+    texts += [texts[9]] * 40 + ["half"] * 20  # copies, whose ties the smaller ids win
+    docs = spark.createDataFrame([(1000 - i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    asked = [texts[9], "unknown words", "", None, "half"] + [" ".join(rng.choices(said, k=rng.randint(1, 9))) for _ in range(95)]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+
+    def collected(f):
+        return sorted(map(tuple, f.select("query_id", "rank", "doc_id", "score").collect()))
+
+    want = {k: collected(retrieval.bm25(docs, queries, k)) for k in (1, 3)}
+    terms, _ = retrieval.bm25_terms(docs, queries)
+    lower = lambda f, i: f.select(i, F.lower("text").alias("terms"))
+    rows = scoring.placed(lower(docs, "doc_id"), terms)
+    for k, often in ((1, 8), (3, 8), (3, 512)):
+        got = retrieval.ranked(scoring.sparse_top(rows, lower(queries, "query_id"), terms, k, block=30, often=often), k)
+        assert collected(got) == want[k]
+
+    def scored(*_):
+        raise AssertionError("blocks of many questions cut all texts again")
+
+    monkeypatch.setattr(scoring, "top", scored)
+    assert collected(retrieval.bm25(docs, queries, 1, few=50)) == want[1]

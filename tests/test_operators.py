@@ -651,3 +651,25 @@ def test_bm25_of_many_questions_is_that_of_few(spark, monkeypatch):
 
     monkeypatch.setattr(scoring, "top", scored)
     assert collected(retrieval.bm25(docs, queries, 1, few=50)) == want[1]
+
+
+def test_types_are_learned_from_grams_cut_once(spark, monkeypatch):
+    from pyspark.ml.feature import HashingTF
+
+    rng = random.Random(4)
+    texts = ["Le château était froid, à l'été", "the cold winter wind", "", "œuvre ß tiny_word ab"] + [" ".join(rng.choices(("snow", "vent", "Åland", "régime", "of"), k=rng.randint(1, 30))) for _ in range(40)]
+    docs = spark.createDataFrame([(i, "abc"[i % 3], t) for i, t in enumerate(texts)], "doc_id long, label string, text string").repartition(3)
+    want = HashingTF(inputCol="grams", outputCol="tf", numFeatures=routing.GRAMS).transform(docs.select("doc_id", vectors.char_grams(F.col("text")).alias("grams")))
+    want = {r["doc_id"]: r["tf"] for r in want.collect()}
+
+    def exploded(*_):
+        raise AssertionError("grams are made as arrays of strings")
+
+    monkeypatch.setattr(vectors, "char_grams", exploded)
+    more = docs.unionByName(spark.createDataFrame([(99, None, None)], docs.schema))
+    made = routing.type_vectors(more)
+    assert made.columns == ["doc_id", "label", "tf"]
+    got = {r["doc_id"]: r["tf"] for r in made.collect()}
+    assert got.pop(99).numNonzeros() == 0 and got == want
+    predicted = routing.fit_types(made.where("label is not null")).transform(made)
+    assert predicted.count() == 45 and predicted.where("prediction in (0, 1, 2)").count() == 45

@@ -6,6 +6,7 @@ import itertools
 import math
 import pathlib
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -673,3 +674,17 @@ def test_types_are_learned_from_grams_cut_once(spark, monkeypatch):
     assert got.pop(99).numNonzeros() == 0 and got == want
     predicted = routing.fit_types(made.where("label is not null")).transform(made)
     assert predicted.count() == 45 and predicted.where("prediction in (0, 1, 2)").count() == 45
+
+
+def test_texts_already_composed_stay_out_of_python(spark, monkeypatch):
+    from foliospark.functions import python as PY
+
+    texts = [None, "", "plain", "été", "été", "가", "ü " * 300, "Å"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 80)], "id long, text string").coalesce(1)  # several slices
+    got = {r["id"]: r["t"] for r in docs.select("id", PY.nfc(F.col("text")).alias("t")).collect()}
+    assert got == {i: t if t is None else unicodedata.normalize("NFC", t) for i, t in enumerate(texts * 80)}
+    seen = []
+    monkeypatch.setattr(PY, "arrow_udf", lambda f, kind: lambda c: seen.append(c) or c)
+    PY.nfc(F.col("text"))
+    kept = docs.select("text", seen[0].alias("sent")).where("sent is not null").select("text").distinct().collect()
+    assert {r["text"] for r in kept} == {t for t in texts if t and any(ord(c) >= 0x300 for c in t)}

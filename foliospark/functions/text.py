@@ -65,6 +65,22 @@ def normalize_unicode(text: Column) -> Column:
     return out
 
 
+#: Finds all that normalize_unicode() changes, and some more; a few ranges are looked for faster than each character.
+MAYBE_LOOSE = "[\u00a0\u00ab\u00ad\u00bb\u00c6\u00e6\u0152\u0153\u2000-\uffff]"
+
+
+def normalized(text: str) -> Column:
+    """normalize_unicode() of a column by name; ASCII and other texts without any such character are only looked through."""
+    loose = (F.length(text) < F.octet_length(text)) & F.col(text).rlike(MAYBE_LOOSE)
+    return F.when(loose, normalize_unicode(F.col(text))).otherwise(F.col(text))
+
+
+def line_keys(text: str) -> Column:
+    """line_key() of every newline-separated line of a column by name: all but the trimming is done on the whole text, as none of it goes over a line's end."""
+    flat = F.regexp_replace(F.regexp_replace(F.lower(normalized(text)), "[0-9]+", "#"), "[^\\S\n]+", " ")
+    return F.transform(F.split(flat, "\n", -1), lambda x: F.trim(x))
+
+
 def line_key(line: Column) -> Column:
     """The form under which running lines are counted: lower case, digits as #, blanks collapsed."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(normalize_unicode(line)), "[0-9]+", "#"), "\\s+", " "))
@@ -78,14 +94,17 @@ def is_page_number(line: Column) -> Column:
 
 def signals(text: Column, words: list[str]) -> Column:
     """How many words of the text, e and a without accents, are in the list."""
-    found = F.regexp_extract_all(F.translate(F.lower(text), "éèêà", "eeea"), F.lit(f"[{LETTERS}']+"), F.lit(0))
+    plain = F.lower(text)
+    for accented, letter in zip("éèêà", "eeea", strict=True):
+        plain = F.replace(plain, F.lit(accented), F.lit(letter))
+    found = F.regexp_extract_all(plain, F.lit(f"[{LETTERS}']+"), F.lit(0))
     return F.coalesce(F.size(F.filter(found, lambda w: w.isin(words))), F.lit(0))
 
 
 def language(fr: Column, en: Column, text: Column, default: str = "en") -> Column:
     """STRUCT<lang, confidence> from the two signal counts."""
     total = fr + en
-    blank = F.coalesce(F.trim(F.regexp_replace(text, "\\s+", " ")) == "", F.lit(True))
+    blank = F.coalesce(~text.rlike("\\S"), F.lit(True))
     pair = lambda a, b: F.struct(a.alias("lang"), b.cast("double").alias("confidence"))
     return (
         F.when(blank, pair(F.lit("unknown"), F.lit(0.0)))

@@ -688,3 +688,25 @@ def test_texts_already_composed_stay_out_of_python(spark, monkeypatch):
     PY.nfc(F.col("text"))
     kept = docs.select("text", seen[0].alias("sent")).where("sent is not null").select("text").distinct().collect()
     assert {r["text"] for r in kept} == {t for t in texts if t and any(ord(c) >= 0x300 for c in t)}
+
+
+def test_no_text_of_pages_is_dealt_out_by_line(spark, monkeypatch):
+    loose = "«x» ﬁn œuvre —­"
+    texts = [f"Run  Head {i}\n{loose} {i}{i}\n 12\n 12 \npage {i}-­\nword {chr(97 + i)}" for i in range(5)] + ["run head #", None, "", "IV\np. 3"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for t, k, n in docs.select("text", T.line_keys("text"), T.normalized("text")).collect():
+        want = spark.createDataFrame([(x,) for x in (t or "").split("\n")], "x string").select(T.line_key(F.col("x"))).collect()
+        assert k == (None if t is None else [r[0] for r in want])
+        assert n == (None if t is None else spark.createDataFrame([(t,)], "x string").select(T.normalize_unicode(F.col("x"))).first()[0])
+
+    def dealt(*_):
+        raise AssertionError("lines are rows with their text")
+
+    monkeypatch.setattr(cleaning, "lines", dealt)
+    out = {r["doc_id"]: r["clean_text"] for r in records.clean_pages(docs).collect()}
+    assert out[0] == "page 0-word a" or out[0].endswith("word a")
+    assert "Head" not in "".join(out.values()) and out[5] == out[6] == out[7] == out[8] == ""
+    both = docs.select(F.lower("text").alias("t"), T.signals(F.col("text"), T.FRENCH).alias("fr"), T.signals(F.col("text"), T.ENGLISH).alias("en"))
+    from foliospark.functions.python import language_signals
+
+    assert all(list(r["s"]) == [r["fr"], r["en"]] for r in both.select("*", language_signals(F.col("t")).alias("s")).collect())

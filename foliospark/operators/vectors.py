@@ -216,7 +216,7 @@ def plot_payload(vectors: DataFrame, texts: DataFrame, query: list[float] | None
     """(doc_id, x, y, excerpt, nearest): two principal components of vectors (doc_id, embedding), 180 characters of texts (doc_id, text), and whether the row is among the nearest to a query vector."""
     from foliospark.operators.retrieval import dense
 
-    out, _ = pca(vectors)
+    out, _ = pca(vectors.select("doc_id", "embedding"), keep=["doc_id"])
     out = out.join(texts.select("doc_id", F.substring("text", 1, 180).alias("excerpt")), "doc_id", "left")
     near = F.lit(False)
     if query is not None:
@@ -259,18 +259,60 @@ def _vectors(frame: DataFrame) -> DataFrame:
     return frame.withColumn("v", array_to_vector(F.col("embedding").cast("array<double>")))
 
 
-def pca(vectors: DataFrame, k: int = 2) -> tuple[DataFrame, list[float]]:
-    """(vectors with `pc`, explained shares): centred principal components, each signed so that its largest loading is positive."""
-    from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import vector_to_array
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(float)
 
-    v = _vectors(vectors)
-    centred = StandardScaler(inputCol="v", outputCol="c", withMean=True, withStd=False).fit(v).transform(v)
-    model = PCA(k=k, inputCol="c", outputCol="p").fit(centred)
-    load = np.array(model.pc.toArray())
-    signs = np.sign(load[np.argmax(np.abs(load), axis=0), range(k)])
-    out = model.transform(centred).withColumn("pc", F.zip_with(vector_to_array("p"), F.array(*map(F.lit, signs.tolist())), lambda x, s: x * s))
-    return out.drop("v", "c", "p"), model.explainedVariance.toArray().tolist()
+
+def _moments(vectors: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """(n, sum, sum of outer products) of embeddings, in one pass; tasks send their sums, which eight tasks add up for the driver."""
+    schema, names = "n long, s array<double>, g array<double>", ["n", "s", "g"]
+
+    def rows(n: int, s: np.ndarray, g: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), *(pa.array([x.reshape(-1)], pa.list_(pa.float64())) for x in (s, g))], names=names)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s, g = 0, np.zeros(0), np.zeros(0)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                v = _matrix(whole.slice(at, 512).column(0))
+                n, s, g = n + len(v), v.sum(axis=0) + (s if n else 0.0), v.T @ v + (g if n else 0.0)
+        yield from rows(n, s, g)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s, g = 0, np.zeros(0), np.zeros(0)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                m, x, y = (batch.column(c)[i] for c in range(3))
+                x, y = (z.values.to_numpy(zero_copy_only=False) for z in (x, y))
+                n, s, g = n + m.as_py(), x + (s if n else 0.0), y + (g if n else 0.0)
+        yield from rows(n, s, g)
+
+    found = vectors.select("embedding").mapInArrow(own, schema).repartition(8).mapInArrow(added, schema).collect()
+    n, s, g = sum(r["n"] for r in found), sum(np.array(r["s"]) for r in found), sum(np.array(r["g"]) for r in found)
+    return n, s, g.reshape(len(s), len(s))
+
+
+def pca(vectors: DataFrame, k: int = 2, keep: list[str] | None = None) -> tuple[DataFrame, list[float]]:
+    """(vectors with `pc`, or of their columns those to keep, explained shares): centred principal components, each signed so that its largest loading is positive."""
+    n, total, outer = _moments(vectors)
+    mean = total / n
+    values, axes = np.linalg.eigh((outer - n * np.outer(mean, mean)) / max(1, n - 1))
+    load = axes[:, ::-1][:, :k]
+    load = load * np.sign(load[np.argmax(np.abs(load), axis=0), range(k)])
+    keep = vectors.columns if keep is None else keep
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                pc = (_matrix(batch.column(0)) - mean) @ load
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(list(pc), pa.list_(pa.float64()))], names=[*keep, "pc"])
+
+    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+    out = vectors.select(F.col("embedding").alias("_v"), *keep).mapInArrow(run, StructType([*(vectors.schema[c] for c in keep), StructField("pc", ArrayType(DoubleType()))]))
+    return out, (values[::-1][:k] / values.sum()).tolist()
 
 
 def kmeans(vectors: DataFrame, k: int | None = None, seed: int = 42) -> DataFrame:

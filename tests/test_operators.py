@@ -710,3 +710,22 @@ def test_no_text_of_pages_is_dealt_out_by_line(spark, monkeypatch):
     from foliospark.functions.python import language_signals
 
     assert all(list(r["s"]) == [r["fr"], r["en"]] for r in both.select("*", language_signals(F.col("t")).alias("s")).collect())
+
+
+def test_components_take_two_passes_without_ml(spark, monkeypatch):
+    import pyspark.ml.feature as ML
+
+    def fitted(*_, **__):
+        raise AssertionError("vectors are made again for each of several fits")
+
+    monkeypatch.setattr(ML.PCA, "__init__", fitted)
+    rng = np.random.default_rng(2)
+    x = (rng.normal(size=(700, 6)) * [5, 3, 1, 1, 0.5, 0.1] + 2).astype(np.float32)
+    v = spark.createDataFrame([(i, [float(a) for a in r], "l") for i, r in enumerate(x)], "doc_id long, embedding array<float>, label string").repartition(3)
+    out, shares = vectors.pca(v)
+    c = x.astype(float) - x.astype(float).mean(axis=0)
+    _, s, axes = np.linalg.svd(c, full_matrices=False)
+    load = axes[:2].T * np.sign(axes[:2].T[np.argmax(np.abs(axes[:2].T), axis=0), range(2)])
+    rows = sorted(out.collect())
+    assert out.columns == ["doc_id", "embedding", "label", "pc"] and np.allclose([r["pc"] for r in rows], c @ load)
+    assert np.allclose(shares, (s**2 / (s**2).sum())[:2])
